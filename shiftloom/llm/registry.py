@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .histogram_packing import op4_histogram_packing
+from .token_output import op6_token_output
 
-QUERIES = {"op5_bpe_codec": op5_bpe_codec}
+QUERIES = {
+    "op4_histogram_packing": op4_histogram_packing,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op6_token_output": op6_token_output,
+}
 ORACLE_SQL: dict[str, str] = {}
