@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
+from .simhash_trie import op9_simhash_trie
 from .token_output import op6_token_output
 
 QUERIES = {
     "op4_histogram_packing": op4_histogram_packing,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_token_output": op6_token_output,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_simhash_trie": op9_simhash_trie,
 }
 ORACLE_SQL: dict[str, str] = {}
