@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op5_bpe_codec
 from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
+from .repeat_index import op10_repeat_index
 from .simhash_trie import op9_simhash_trie
 from .token_output import op6_token_output
 
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_fingerprints": op7_fingerprints,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_repeat_index": op10_repeat_index,
 }
 ORACLE_SQL: dict[str, str] = {}
