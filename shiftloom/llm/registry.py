@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bloom_lm import op3_bloom_lm
 from .bpe_codec import op5_bpe_codec
 from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
@@ -10,6 +11,7 @@ from .simhash_trie import op9_simhash_trie
 from .token_output import op6_token_output
 
 QUERIES = {
+    "op3_bloom_lm": op3_bloom_lm,
     "op4_histogram_packing": op4_histogram_packing,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_token_output": op6_token_output,
