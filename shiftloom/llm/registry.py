@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloom_lm import op3_bloom_lm
 from .bpe_codec import op5_bpe_codec
+from .e8_lattice import op2_e8_lattice
 from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
 from .repeat_index import op10_repeat_index
@@ -11,6 +12,7 @@ from .simhash_trie import op9_simhash_trie
 from .token_output import op6_token_output
 
 QUERIES = {
+    "op2_e8_lattice": op2_e8_lattice,
     "op3_bloom_lm": op3_bloom_lm,
     "op4_histogram_packing": op4_histogram_packing,
     "op5_bpe_codec": op5_bpe_codec,
