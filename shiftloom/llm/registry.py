@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloom_lm import op3_bloom_lm
 from .bpe_codec import op5_bpe_codec
+from .chat_events import op8_chat_events
 from .e8_lattice import op2_e8_lattice
 from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_token_output": op6_token_output,
     "op7_fingerprints": op7_fingerprints,
+    "op8_chat_events": op8_chat_events,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_repeat_index": op10_repeat_index,
 }
