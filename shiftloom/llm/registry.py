@@ -8,11 +8,13 @@ from .chat_events import op8_chat_events
 from .e8_lattice import op2_e8_lattice
 from .fingerprints import op7_fingerprints
 from .histogram_packing import op4_histogram_packing
+from .quality_qda import op1_quality_qda
 from .repeat_index import op10_repeat_index
 from .simhash_trie import op9_simhash_trie
 from .token_output import op6_token_output
 
 QUERIES = {
+    "op1_quality_qda": op1_quality_qda,
     "op2_e8_lattice": op2_e8_lattice,
     "op3_bloom_lm": op3_bloom_lm,
     "op4_histogram_packing": op4_histogram_packing,
