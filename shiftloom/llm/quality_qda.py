@@ -232,5 +232,18 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: floa
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns; each is scored where it stands."""
+    model = fit(write_shared(labelled(with_statistics(docs), labels, held_out), "labelled"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in in_chunks(batches, "text"):
+            score = shared.value.score(statistics(data, offsets)) if isinstance(shared.value, Model) else np.full(len(batch), shared.value)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold(0))
