@@ -1,0 +1 @@
+"""DataFrame operators over long tables with explicit keys."""

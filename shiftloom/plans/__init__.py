@@ -1,0 +1 @@
+"""Queries put together from operators, their SQL twins, and the batch interface."""

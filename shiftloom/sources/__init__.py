@@ -1,0 +1 @@
+"""Where operators' inputs come from and where results go."""

@@ -1,0 +1 @@
+"""Structured Streaming over the events table: additions of our own."""
