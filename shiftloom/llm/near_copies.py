@@ -119,15 +119,17 @@ def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = L
     # The least row of each group, by doc_id, then by node where doc_ids are equal or null.
     rank = F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "check")
     stay = write_shared(rooted.groupBy("root").agg(F.min(rank).alias("r")).select("r.node", "r.check", "r.least"), "staying")
-    keyed = docs.withColumn("_node", F.xxhash64(text_col())).withColumn("_check", F.xxhash64(F.lit(1), text_col())).alias("d")
-    same = F.expr("d._node = s.node AND d._check = s.check AND d.doc_id <=> s.least")
-    kept = keyed.join(stay.alias("s").hint("shuffle_hash"), same, "left_semi")
+    # Names that no column of ``docs`` has.
+    node, check = (f"{'_' * 2}near_copies_{c}" for c in ("node", "check"))
+    keyed = docs.withColumn(node, F.xxhash64(text_col())).withColumn(check, F.xxhash64(F.lit(1), text_col())).alias("d")
+    same = F.expr(f"d.{node} = s.node AND d.{check} = s.check AND d.doc_id <=> s.least")
+    kept = keyed.join(stay.alias("s").hint("shuffle_hash"), same, "left_semi").alias("d")
     # Rows that repeat both doc_id and text: one stays. As a rule there are none.
-    ids = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_col()).alias("_hash"))
-    repeated = write_shared(ids.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_hash"), "repeated-rows")
+    ids = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col()).alias("hash"))
+    repeated = write_shared(ids.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "hash"), "repeated-rows")
     if repeated.isEmpty():
         return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    match = F.expr("d.doc_id <=> _id AND d._node = _hash")
-    single = kept.join(repeated, match, "left_anti")
-    one = kept.join(repeated, match, "left_semi").dropDuplicates(["_node", "_check"])
-    return single.unionByName(one).select(*docs.columns)
+    match = F.expr(f"d.doc_id <=> r.id AND d.{node} = r.hash")
+    single = kept.join(repeated.alias("r"), match, "left_anti")
+    one = kept.join(repeated.alias("r"), match, "left_semi").dropDuplicates([node, check])
+    return single.unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
