@@ -89,7 +89,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper_words = np.bincount(owner, weights=capital, minlength=n)
     newline = data == 10
     heads = np.flatnonzero(first | np.concatenate([[False], newline[:-1]])) if len(data) else np.zeros(0, np.int64)
-    tails = np.append(heads[1:], len(data))
+    tails = np.append(heads[1:], len(data)) if len(heads) else heads
+    tails = tails - newline[tails - 1] if len(heads) else tails  # without the line break
     lines = breaks + 1
     p = histogram / np.maximum(size, 1)[:, None]
     entropy = -(p * np.log(np.where(p > 0, p, 1))).sum(1)
