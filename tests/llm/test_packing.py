@@ -71,7 +71,7 @@ def test_matrices_hold_the_documents(spark, docs, no_docs, tmp_path):
     for r in spark.read.parquet(str(tmp_path / "m")).collect():
         ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
         assert len(ids) == 512 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens :].any()
-        for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert places[a:b].tolist() == list(range(b - a))
             pieces[doc].append((piece, ids[a:b].tolist()))
     for r in docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect():
