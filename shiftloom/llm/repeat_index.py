@@ -12,8 +12,9 @@ A string of ``length`` bytes that starts twice, anywhere, is a repeat; every byt
    column from which neighbours agree are kept. As the columns stream by, the longest match of a row that ends
    in the column is with one of its neighbours, so it is read off these samples, and matches of ``length``
    bytes are marked. Texts without an anchor in common never meet.
-4. An anchor with more than ``hot_rows`` occurrences isn't gathered: its windows are counted by a 128-bit hash,
-   which a task sums up before they move.
+4. An anchor with more than ``hot_rows`` occurrences isn't gathered. Its windows are taken ``CHUNK`` neighbours at a
+   time; where the bytes that these have in common occur once, none can be a repeat. The windows that are left are
+   counted by a 128-bit hash, summed up within a task before they move.
 
 null text: as empty. Texts shorter than ``length`` bytes: kept. Rows with equal doc_id and text are rows still,
 each a repeat of the other. A null doc_id is a key like any other. Empty table: no rows. Columns other than
@@ -28,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, ids_of, in_chunks, read_table, text_col, write_shared
+from .common import batch_of, ids_of, in_chunks, ragged, read_table, text_col, write_shared
 
-LENGTH, GRAM, HOT_ROWS = 400, 32, 20_000
+LENGTH, GRAM, HOT_ROWS, CHUNK = 400, 32, 20_000, 32
 _WEIGHTS = np.random.default_rng(400).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -287,21 +288,94 @@ def match_gathered(cuts: DataFrame, length: int, parts: int) -> DataFrame:
     return cuts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(run, SPANS_DDL)
 
 
-def match_counted(cuts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many occurrences: windows are counted, none of their groups is gathered."""
-    windows = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int64())])
+CHUNKS = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+CHUNKS_DDL = "core long, doc_id long, text_hash long, start int, n int"
+WINDOWS = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int64()), ("known", pa.bool_())])
+WINDOWS_DDL = "first long, second long, doc_id long, text_hash long, start int, n long, known boolean"
+
+
+def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
+    """A row for each ``CHUNK`` neighbouring windows of a hot anchor: a hash of the anchor, the chunk's place by it and
+    the bytes that all windows of the chunk hold, and where its windows start."""
+    reach = length - GRAM
+    shared = texts.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                first, second = (spread(rolling(data, length, w)).view(np.int64) for w in (0, 1))
-                n = len(first)
-                yield batch_of(windows, first, second, [row["doc_id"]] * n, [row["text_hash"]] * n, row["lo"] + np.arange(n, dtype=np.int32), np.ones(n, np.int64))
+        for batch, whole, bounds in in_chunks(batches, "text", BUFFER):
+            for shift in range(0, max(1, len(whole) - length + 1), STRETCH):
+                data = whole[shift : shift + STRETCH + length - 1]
+                offsets = bounds if len(whole) <= STRETCH else np.array([0, len(data)])
+                row, hash_, place, lo, hi = anchors(data, offsets, length)
+                at = np.flatnonzero(np.isin(hash_, shared.value))
+                if not len(at):
+                    continue
+                row, hash_, place, lo, hi = row[at], hash_[at], place[at], lo[at], hi[at]
+                low, high = (lo - place + reach) // CHUNK, (hi - place + reach) // CHUNK
+                many = high - low + 1
+                of = np.repeat(np.arange(len(row)), many)
+                number = np.repeat(low, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                first = place[of] - reach + number * CHUNK
+                core = rolling(data, length - CHUNK + 1)[offsets[:-1][row[of]] + first + CHUNK - 1]
+                key = spread(core + spread(hash_[of].view(np.uint64) + number.astype(np.uint64)))
+                start = np.maximum(first, lo[of])
+                take = pa.array(row[of])
+                yield batch_of(CHUNKS, key.view(np.int64), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), (start + shift).astype(np.int32), (np.minimum(first + CHUNK - 1, hi[of]) - start + 1).astype(np.int32))
+
+    return texts.mapInArrow(run, CHUNKS_DDL)
+
+
+def window_rows(with_chunks: DataFrame, length: int) -> DataFrame:
+    """128-bit hashes of the windows of ``chunks`` (start, n) of each text. Of equal windows in one part of a task's rows
+    one row counts all; the others are ``known`` to be repeats."""
 
-    one = write_shared(cuts.mapInArrow(run, "first long, second long, doc_id long, text_hash long, start int, n long"), "hot-windows")
-    many = one.groupBy("first", "second").agg(F.sum("n").alias("total")).where("total > 1").select("first", "second")
-    return one.join(many, ["first", "second"], "left_semi").select("doc_id", "text_hash", "start", (F.col("start") + length).cast("int").alias("end"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            first, second, doc, text, start = (pa.concat_arrays([w[i] for w in waiting]) if i in (2, 3) else np.concatenate([w[i] for w in waiting]) for i in range(5))
+            waiting.clear()
+            order = np.lexsort((second, first))
+            a, c = first[order], second[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            many = np.diff(np.append(new, len(order)))
+            n = np.zeros(len(order), np.int64)
+            n[order[new]] = many
+            known = np.ones(len(order), bool)
+            known[order[new[many == 1]]] = False
+            return batch_of(WINDOWS, first, second, doc, text, start, n, known)
+
+        for batch, data, offsets in in_chunks(batches, "text", BUFFER):
+            chunks = batch.column(batch.schema.get_field_index("chunks"))
+            flat, per = pc.list_flatten(chunks), pc.list_value_length(chunks).to_numpy()
+            n = pc.struct_field(flat, "n").to_numpy().astype(np.int64)
+            row = np.repeat(np.repeat(np.arange(len(batch)), per), n)
+            start = ragged(pc.struct_field(flat, "start").to_numpy().astype(np.int64), n)
+            at = offsets[row] + start
+            take = pa.array(row)
+            waiting.append((*(spread(rolling(data, length, w))[at].view(np.int64) for w in (0, 1)), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), start.astype(np.int32)))
+            size += len(row)
+            if size >= 1 << 20:
+                yield out()
+                size = 0
+        if size:
+            yield out()
+
+    return with_chunks.mapInArrow(run, WINDOWS_DDL)
+
+
+def match_counted(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
+    """Spans for anchors with very many occurrences: nothing of theirs is gathered. Chunks of windows whose common bytes
+    occur once are done with; windows of the others are counted by their hashes, summed up in each task first."""
+    chunks = write_shared(hot_chunks(texts, hot, length), "hot-chunks")
+    again = chunks.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
+    of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("chunks"))
+    windows = write_shared(window_rows(joined(texts, of_doc, "inner").select("t.*", "r.chunks"), length), "hot-windows")
+    counted = windows.where("n > 0")
+    repeated = counted.groupBy("first", "second").agg(F.sum("n").alias("total")).where("total > 1").select("first", "second")
+    alone = counted.where("NOT known").join(repeated, ["first", "second"], "left_semi")
+    every = windows.where("known").select("doc_id", "text_hash", "start").unionByName(alone.select("doc_id", "text_hash", "start"))
+    return every.select("doc_id", "text_hash", "start", (F.col("start") + length).cast("int").alias("end"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -309,24 +383,32 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, text_hash, text and ``spans``: (start, end) of stretches of bytes covered by repeats, as found."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs)
+def joined(texts: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``texts`` (as t) with rows of their key (as r); the other side is the smaller."""
+    return texts.alias("t").join(right.alias("r").hint("shuffle_hash"), F.expr("t.doc_id <=> r.doc_id AND t.text_hash = r.text_hash"), how)
+
+
+def span_table(texts: DataFrame, length: int, hot_rows: int) -> DataFrame:
+    """doc_id, text_hash and ``spans``: (start, end) of stretches of bytes covered by repeats, as found."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = write_shared(find_anchors(texts, length), "anchors")
     each = found.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("a")).select("doc_id", "text_hash", "a.*")
     repeated = write_shared(found.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
     hits = each.join(repeated, "hash")
     # Rows with the same doc_id and text have the same anchors: once is enough, the texts bring the rows back.
     to_doc = lambda some: some.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("hash", "place", "lo", "hi"))).alias("hits"))
-    joined = lambda right, how: texts.alias("t").join(right.alias("r").hint("shuffle_hash"), F.expr("t.doc_id <=> r.doc_id AND t.text_hash = r.text_hash"), how)
-    cuts_of = lambda some: cut_out(joined(to_doc(some), "inner").select("t.*", "r.hits"), length)
-    spans = match_gathered(cuts_of(hits.where(F.col("n") <= hot_rows)), length, parts)
-    if not repeated.where(F.col("n") > hot_rows).isEmpty():
-        spans = spans.unionByName(match_counted(cuts_of(hits.where(F.col("n") > hot_rows)), length))
-    of_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return joined(of_doc, "left").select("t.*", "r.spans")
+    cuts = cut_out(joined(texts, to_doc(hits.where(F.col("n") <= hot_rows)), "inner").select("t.*", "r.hits"), length)
+    spans = match_gathered(cuts, length, parts)
+    hot = frozenset(r[0] for r in repeated.where(F.col("n") > hot_rows).select("hash").collect())  # at most all anchors / hot_rows
+    if hot:
+        spans = spans.unionByName(match_counted(texts, hot, length))
+    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, text_hash, text and ``spans`` (null without any) of every row."""
+    texts = keyed(docs)
+    return joined(texts, span_table(texts, length, hot_rows), "left").select("t.*", "r.spans")
 
 
 def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -375,23 +457,29 @@ def digests(found: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` with its texts less their repeats (whole characters only), and n_chars, where it is there, set anew."""
-    found = with_spans(docs, length, hot_rows).where("spans IS NOT NULL").select("doc_id", "text_hash", "text", "spans").dropDuplicates(["doc_id", "text_hash"])
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("left_text", pa.string())])
+    own, spans = "__repeat_index_hash", "__repeat_index_spans"  # names that no column of ``docs`` has
+    found = span_table(keyed(docs), length, hot_rows).alias("r").hint("shuffle_hash")
+    rows = docs.withColumn(own, F.xxhash64(text_col())).alias("t").join(found, F.expr(f"t.doc_id <=> r.doc_id AND t.{own} = r.text_hash"), "left")
+    schema, count = docs.schema, docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = schema.fieldNames().index("text")
         for batch, data, offsets in in_chunks(batches, "text"):
-            raw, out = data.tobytes(), []
-            for a, b, s in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
-                own = raw[a:b]
-                out.append(kept(own, inside_characters(own, union_of(s))).decode("utf-8", "replace"))
-            yield batch_of(schema, ids_of(batch, "doc_id"), ids_of(batch, "text_hash"), out)
-
-    changed = found.mapInArrow(run, "doc_id long, text_hash long, left_text string").alias("r")
-    left = docs.withColumn("_hash", F.xxhash64(text_col())).alias("t")
-    joined = left.join(changed, F.expr("t.doc_id <=> r.doc_id AND t._hash = r.text_hash"), "left")
-    text: Column = F.coalesce(F.col("r.left_text"), F.col("t.text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("r.left_text").isNull(), F.col("t.n_chars")).otherwise(F.char_length("r.left_text").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"t.`{c}`") for c in docs.columns])
+            columns, raw = list(batch.columns[: len(schema)]), data.tobytes()
+            found = batch.column(len(schema)).to_pylist()
+            texts, counts = columns[at].to_pylist(), columns[count].to_pylist() if count is not None else []
+            for k, s in enumerate(found):
+                if s:
+                    text = raw[offsets[k] : offsets[k + 1]]
+                    texts[k] = kept(text, inside_characters(text, union_of(s))).decode("utf-8", "replace")
+                    if counts:
+                        counts[k] = len(texts[k])
+            columns[at] = pa.array(texts, columns[at].type)
+            if counts:
+                columns[count] = pa.array(counts, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return rows.select(*[F.col(f"t.`{c}`") for c in docs.columns], F.col("r.spans").alias(spans)).mapInArrow(run, schema)
 
 
 def op10_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
