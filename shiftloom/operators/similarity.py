@@ -53,16 +53,16 @@ def orphans(moves: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def overdetermination(vectors: DataFrame, probs: DataFrame, k: int) -> DataFrame:
-    """Entropy of the base probabilities of each token's ``k`` nearest tokens, itself among them. ``vectors``
-    (token_id, vec, of one vocabulary), ``probs`` (token_id, prob)."""
+    """Per prompt, entropy of the base probabilities of each token's ``k`` nearest tokens, itself among them. ``vectors``
+    (token_id, vec) of one vocabulary, ``probs`` (prompt, token_id, prob)."""
     a = vectors.select(F.lit(0).alias("g"), F.col("token_id").alias("anchor"), F.col("vec").alias("av"))
     b = vectors.select(F.lit(0).alias("g"), "token_id", F.col("vec").alias("bv"))
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    sim = a.join(F.broadcast(b), "g").select("anchor", "token_id", F.round(dot(F.col("av"), F.col("bv")) / (norm("av") * norm("bv")), 9).alias("sim"))
-    near = sim.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("sim"), "token_id"))).where(F.col("_n") <= k)
-    near = near.join(F.broadcast(probs), "token_id")
-    p = F.col("prob") / F.sum("prob").over(Window.partitionBy("anchor"))
-    return near.withColumn("p", p).groupBy("anchor").agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-10)))).alias("entropy"))
+    sim = a.join(b, "g").select("anchor", "token_id", F.round(dot(F.col("av"), F.col("bv")) / (norm("av") * norm("bv")), 9).alias("sim"))
+    near = sim.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("sim"), "token_id"))).where(F.col("_n") <= k).select("anchor", "token_id")
+    each = probs.join(near, "token_id")
+    p = F.col("prob") / F.sum("prob").over(Window.partitionBy("prompt", "anchor"))
+    return each.withColumn("p", p).groupBy("prompt", "anchor").agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-10)))).alias("entropy"))
 
 
 def shuffled_groups(items: DataFrame, permutations: int) -> DataFrame:

@@ -225,9 +225,8 @@ def formation_links(spark, sf_dir):
 
 @query
 def overdetermination(spark, sf_dir):
-    vectors = b.table(spark, sf_dir, "embeddings").where("vec_id < 64").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vec"))
-    probs = token_probs(spark, sf_dir).where("prompt = 0 AND layer = 'base'").select("token_id", "prob")
-    return rounded(similarity.overdetermination(vectors, probs, 20))
+    probs = token_probs(spark, sf_dir).where("layer = 'base'").select("prompt", "token_id", "prob")
+    return rounded(similarity.overdetermination(b.token_vectors(spark, sf_dir), probs, 20))
 
 
 def _two_groups(spark, sf_dir):
@@ -541,8 +540,7 @@ def sample_tokens(spark, sf_dir):
 def redistributed_step(spark, sf_dir):
     probs = distributions.softmax(b.token_logits(spark, sf_dir), ["prompt", "layer"], temperature=0.05)
     side = probs.groupBy("prompt", "token_id").agg(*[F.max(F.when(F.col("layer") == s, F.col("prob"))).alias(s) for s in ("base", "sft", "dpo")]).where("base IS NOT NULL AND sft IS NOT NULL AND dpo IS NOT NULL")
-    vectors = b.vector_rows(spark, sf_dir).where("vec_row < 64").select(F.col("vec_row").cast("int").alias("token_id"), "vec")
-    return rounded(sampling.redistributed_step(side, vectors).select("prompt", "token_id", "prob"))
+    return rounded(sampling.redistributed_step(side, b.token_vectors(spark, sf_dir)).select("prompt", "token_id", "prob"))
 
 
 @query

@@ -66,7 +66,7 @@ _MOVES = (
     _W
     + """,
     vocab AS (SELECT prompt, word, row_number() OVER (PARTITION BY prompt ORDER BY word) - 1 AS rk FROM wide),
-    placed AS (SELECT prompt, word, h AS net_layer, (rk * 7 + h) % 500 AS vr FROM vocab, (VALUES (8), (16), (24)) AS t(h)),
+    placed AS (SELECT prompt, word, h AS net_layer, (rk * 7 + h) % (SELECT count(*) FROM embeddings) AS vr FROM vocab, (VALUES (8), (16), (24)) AS t(h)),
     wv AS (SELECT prompt, word, net_layer, embedding::DOUBLE[] AS vec FROM placed JOIN embeddings ON vec_id = vr),
     deltas AS (SELECT prompt, word, 'sublimation' AS axis, sft - base AS d FROM wide WHERE greatest(base, sft, dpo) > 0.0005 UNION ALL SELECT prompt, word, 'repression', dpo - sft FROM wide WHERE greatest(base, sft, dpo) > 0.0005),
     moves AS (SELECT prompt, axis, word, CASE WHEN d < -0.0005 THEN 'source' ELSE 'target' END AS side FROM deltas WHERE d < -0.0005 OR d > 0.0005),
@@ -99,7 +99,7 @@ def _transfer(version: int) -> str:
     gone AS (SELECT prompt, word, sft - dpo AS raw_mass, base AS base_drive, 1 + ln(1 + base / (mean_base + 1e-10)) AS drive_weight, (sft - dpo) * (1 + ln(1 + base / (mean_base + 1e-10))) AS effective_mass, sft, dpo FROM mb WHERE sft - dpo > 0.0002),
     allowed AS (SELECT prompt, word, dpo, base FROM wide WHERE dpo > 0.0005 AND (prompt, word) NOT IN (SELECT (prompt, word) FROM gone)),
     vocab AS (SELECT prompt, word, row_number() OVER (PARTITION BY prompt ORDER BY word) - 1 AS rk FROM wide),
-    wv AS (SELECT prompt, word, embedding::DOUBLE[] AS vec FROM vocab JOIN embeddings ON vec_id = (rk * 7 + 16) % 500),
+    wv AS (SELECT prompt, word, embedding::DOUBLE[] AS vec FROM vocab JOIN embeddings ON vec_id = (rk * 7 + 16) % (SELECT count(*) FROM embeddings)),
     p0 AS (SELECT g.prompt, g.word AS source, a.word AS target, raw_mass, drive_weight, base_drive, effective_mass, a.base AS target_base, list_dot_product(v.vec, w.vec) AS similarity
            FROM gone g JOIN wv v ON g.prompt = v.prompt AND g.word = v.word JOIN allowed a ON a.prompt = g.prompt JOIN wv w ON w.prompt = a.prompt AND w.word = a.word),
     p1 AS (SELECT *, {weight} AS weight FROM (SELECT * FROM p0 {stems}) WHERE similarity >= 0.15),
@@ -123,7 +123,7 @@ _ANALYSIS = (
         FROM wide w LEFT JOIN moved USING (prompt, word) LEFT JOIN (SELECT prompt, word, drive_weight, effective_mass FROM gone) USING (prompt, word) LEFT JOIN taken USING (prompt, word) WHERE base > 0 OR w.sft > 0 OR w.dpo > 0)"""
 )
 _GENS = """
-    gens AS (SELECT conv_id * 8 + turn AS gen_id, conv_id % 4 AS family, conv_id % 6 AS label, CASE role WHEN 'user' THEN 'base' WHEN 'assistant' THEN 'sft' ELSE 'dpo' END AS model, text AS psg, (conv_id * 8 + turn) % 500 AS vec_row FROM conversations),
+    gens AS (SELECT conv_id * 8 + turn AS gen_id, conv_id % 4 AS family, conv_id % 6 AS label, CASE role WHEN 'user' THEN 'base' WHEN 'assistant' THEN 'sft' ELSE 'dpo' END AS model, text AS psg, (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings) AS vec_row FROM conversations),
     gv AS (SELECT g.*, embedding::DOUBLE[] AS vec FROM gens g JOIN embeddings ON vec_id = vec_row),
     gd AS (SELECT gen_id, family, label, model, i AS dim, vec[i] AS x FROM gv, range(1, 65) AS t(i)),
     cen AS (SELECT label, model, dim, avg(x) AS c FROM gd GROUP BY label, model, dim),
@@ -270,7 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "orphans": f"WITH {_MOVES} SELECT prompt, axis, word AS source FROM moves WHERE side = 'source' AND (prompt, axis, word) NOT IN (SELECT (prompt, axis, source) FROM sims WHERE sim >= 0.4)",
     "source_ranking": f"WITH {_MOVES} SELECT * REPLACE (rank::INTEGER AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY prompt, axis ORDER BY similarity DESC, source) AS rank FROM (SELECT prompt, axis, source, round(max(sim), 6) AS similarity FROM sims GROUP BY ALL)) WHERE rank <= 8",
     "formation_links": f"WITH {_BEST_LINKS}, f AS (SELECT prompt, word AS sublimated_from, round(base, 6) AS source_base, round(sft, 6) AS source_sft FROM wide) SELECT prompt, sublimated_from, word, similarity, source_base, source_sft FROM (SELECT prompt, word, other AS sublimated_from, similarity FROM links WHERE link = 'source' AND axis = 'sublimation') LEFT JOIN f USING (prompt, sublimated_from)",
-    "overdetermination": f"WITH {_LOGITS}, v AS (SELECT vec_id::INTEGER AS token_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 64), s AS (SELECT a.token_id AS anchor, b.token_id, round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 9) AS sim FROM v a, v b), n AS (SELECT anchor, prob / sum(prob) OVER (PARTITION BY anchor) AS p FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, token_id) AS r FROM s) JOIN (SELECT token_id, prob FROM sm WHERE prompt = 0 AND layer = 'base') USING (token_id) WHERE r <= 20) SELECT anchor, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM n GROUP BY anchor",
+    "overdetermination": f"WITH {_LOGITS}, v AS (SELECT token_id, list(m ORDER BY i) AS vec FROM (SELECT (vec_id % 64)::INTEGER AS token_id, i, round(avg(embedding[i]::DOUBLE), 9) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY token_id), s AS (SELECT a.token_id AS anchor, b.token_id, round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 9) AS sim FROM v a, v b), n AS (SELECT prompt, anchor, prob / sum(prob) OVER (PARTITION BY prompt, anchor) AS p FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, token_id) AS r FROM s) JOIN (SELECT prompt, token_id, prob FROM sm WHERE layer = 'base') USING (token_id) WHERE r <= 20) SELECT prompt, anchor, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM n GROUP BY prompt, anchor",
     "perm_test_mean": f"WITH {_PERM.format(n=200)}, sz AS (SELECT perm, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM pm GROUP BY perm), su AS (SELECT perm, i, sum(vec[i]) FILTER (pm.grp = 0) AS s0, sum(vec[i]) FILTER (pm.grp = 1) AS s1 FROM pm JOIN it USING (id), range(1, 65) AS t(i) GROUP BY perm, i), pv AS (SELECT perm, sum(s0 * s1) / (max(n0) * max(n1)) AS value FROM su JOIN sz USING (perm) GROUP BY perm) {_P_VALUE}",
     "perm_test_best": f"WITH {_PERM.format(n=20)}, s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM it a JOIN it b ON a.id <> b.id), bm AS (SELECT x.perm, s.a, max(sim) AS m FROM s JOIN pm x ON x.id = s.a AND x.grp = 0 JOIN pm y ON y.id = s.b AND y.grp = 1 AND y.perm = x.perm GROUP BY ALL), pv AS (SELECT perm, avg(m) AS value FROM bm GROUP BY perm) {_P_VALUE}",
     "transfer_v4": f"WITH {_T4} SELECT prompt, word, round(prob, 6) AS prob FROM moved",
@@ -317,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
       sd AS (SELECT * FROM (SELECT prompt, token_id, max(prob) FILTER (layer = 'base') AS base, max(prob) FILTER (layer = 'sft') AS sft, max(prob) FILTER (layer = 'dpo') AS dpo FROM p2 GROUP BY ALL) WHERE base IS NOT NULL AND sft IS NOT NULL AND dpo IS NOT NULL),
       mm AS (SELECT *, sft - dpo AS fall, avg(CASE WHEN base > 0 THEN base END) OVER (PARTITION BY prompt) AS mean_base FROM sd),
       rr AS (SELECT *, fall > 0.001 AS gone, CASE WHEN fall > 0.001 THEN fall * (1 + ln(1 + base / (mean_base + 1e-10))) * 0.3 ELSE 0 END AS mass FROM mm),
-      vv AS (SELECT vec_id::INTEGER AS token_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 64),
+      vv AS (SELECT token_id, list(m ORDER BY i) AS vec FROM (SELECT (vec_id % 64)::INTEGER AS token_id, i, round(avg(embedding[i]::DOUBLE), 9) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY token_id),
       ss AS (SELECT prompt, token_id AS s, mass, vec AS sv FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY mass DESC, token_id) AS r FROM rr WHERE gone AND mass >= 1e-6) JOIN vv USING (token_id) WHERE r <= 20),
       tt AS (SELECT prompt, token_id AS t, vec AS tv FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY dpo DESC, token_id) AS r FROM rr WHERE NOT gone AND dpo > 1e-6) JOIN vv USING (token_id) WHERE r <= 100),
       si AS (SELECT * FROM (SELECT prompt, s, t, mass, greatest(list_dot_product(sv, tv), 0) AS sim FROM ss JOIN tt USING (prompt)) WHERE sim > 0),

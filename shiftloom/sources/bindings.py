@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import LAYERS
 
 WORD_SPLIT = "[^a-zß-öø-ÿ]+"
-#: Rows of ``embeddings`` that stand for word and passage vectors; they are there at every scale.
-VECTORS = 500
+#: Tokens of the small vocabulary that embeddings stand for as logits: one for each component.
+TOKENS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,19 @@ def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row, vec) of the ``VECTORS`` rows that stand for contextual vectors."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("vec_row"), F.col("embedding").alias("vec"))
+    """(vec_row, vec): every row of ``embeddings`` as a contextual vector."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec_row"), F.col("embedding").alias("vec"))
+
+
+def vector_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token_id, vec): a token's vector is the mean of the embeddings that fall to it."""
+    each = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % TOKENS).cast("int").alias("token_id"), F.posexplode("embedding").alias("dim", "x"))
+    mean = each.groupBy("token_id", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
+    return mean.groupBy("token_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("vec"))
 
 
 def word_vectors(words: DataFrame, spark: SparkSession, sf_dir: str, net_layers: tuple[int, ...] = (8, 16, 24)) -> DataFrame:
@@ -62,7 +73,7 @@ def word_vectors(words: DataFrame, spark: SparkSession, sf_dir: str, net_layers:
 
     ranked = words.select("prompt", "word", (F.row_number().over(Window.partitionBy("prompt").orderBy("word")) - 1).alias("rank"))
     placed = ranked.withColumn("net_layer", F.explode(F.array(*[F.lit(h) for h in net_layers])))
-    placed = placed.withColumn("vec_row", ((F.col("rank") * 7 + F.col("net_layer")) % VECTORS).cast("long"))
+    placed = placed.crossJoin(F.broadcast(vector_count(spark, sf_dir))).withColumn("vec_row", ((F.col("rank") * 7 + F.col("net_layer")) % F.col("n_vectors")).cast("long"))
     return placed.join(vector_rows(spark, sf_dir), "vec_row").select("prompt", "word", "net_layer", "vec")
 
 
@@ -70,9 +81,10 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as generated passages."""
     c = table(spark, sf_dir, "conversations")
     model = F.when(F.col("role") == "user", "base").when(F.col("role") == "assistant", "sft").otherwise("dpo")
-    return c.select(
+    gens = c.select(
         (F.col("conv_id") * 8 + F.col("turn")).alias("gen_id"), (F.col("conv_id") % 4).alias("family"), (F.col("conv_id") % 6).alias("label"), model.alias("model"), F.col("text").alias("psg")
-    ).withColumn("vec_row", F.col("gen_id") % VECTORS)
+    )
+    return gens.crossJoin(F.broadcast(vector_count(spark, sf_dir))).withColumn("vec_row", F.col("gen_id") % F.col("n_vectors")).drop("n_vectors")
 
 
 def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
