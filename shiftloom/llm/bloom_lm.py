@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, in_chunks, read_table, write_shared
 
-PRESUM_TOKENS, SLICES, SLICE_BITS = 2_000_000, 1024, 10
+PRESUM_TOKENS, SLICES, SLICE_BITS = 4_000_000, 1024, 10
 BITS, PROBES, SEGMENT_BYTES, DICTIONARY, MU = 10, 6, 256 << 20, 1 << 20, 500.0
 
 
@@ -161,13 +161,17 @@ def count_ngrams(training: DataFrame, parts: int) -> DataFrame:
 class Filter:
     """A segment of the filter: slices ``first`` .. of which each has ``bits`` bits from byte ``start`` on."""
 
-    def __init__(self, slices: list[tuple[int, bytes]]) -> None:
-        self.raw = np.frombuffer(b"".join(x for _, x in slices), np.uint8)
+    def __init__(self, sizes: list[tuple[int, int]]) -> None:
+        """Room for slices (number, bytes), to be filled by ``put``."""
+        self.raw = np.zeros(sum(n for _, n in sizes), np.uint8)
         self.bits, self.start = np.zeros(SLICES, np.uint64), np.zeros(SLICES, np.int64)
         at = 0
-        for number, x in slices:
-            self.bits[number], self.start[number] = 8 * len(x), at
-            at += len(x)
+        for number, n in sizes:
+            self.bits[number], self.start[number] = 8 * n, at
+            at += n
+
+    def put(self, number: int, data: bytes) -> None:
+        self.raw[self.start[number] : self.start[number] + len(data)] = np.frombuffer(data, np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each n-gram by repeated probes; 0 outside the segment."""
@@ -187,6 +191,30 @@ class Filter:
         return out
 
 
+def segment_filter(blocks: DataFrame, sizes: dict[int, int], segment: list[int], step: int = 64) -> Filter:
+    """The segment's filter on the driver, fetched a few slices at a time so that only one copy is held."""
+    out = Filter([(k, sizes[k]) for k in segment])
+    for at in range(0, len(segment), step):
+        part = segment[at : at + step]
+        for number, data in blocks.where(F.col("slice").between(part[0], part[-1])).select("slice", "filter").collect():
+            out.put(number, data)
+    return out
+
+
+def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of a table (key, c) of bounded size, sorted by key; it comes as a few binary rows."""
+    schema = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of(schema, [batch.column(0).to_numpy().tobytes()], [batch.column(1).to_numpy().tobytes()])
+
+    rows = counts.select("key", "c").mapInArrow(run, "keys binary, counts binary").collect()
+    key, c = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), np.int64) for i in (0, 1))
+    order = np.argsort(key)
+    return key[order], c[order]
+
+
 def segments(slices: list[tuple[int, int]], most: int) -> list[list[int]]:
     """Numbers of the slices (number, bytes) for each broadcast."""
     out: list[list[int]] = []
@@ -223,10 +251,8 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
         if v > room:
             break
         top, room = c, room - v
-    known = words.where(F.col("c") >= top).toPandas() if top is not None else None
-    keys = known["key"].to_numpy(np.int64) if known is not None else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    held = sc.broadcast((keys[order], (known["c"].to_numpy(np.int64) if known is not None else keys)[order]))
+    none = np.zeros(0, np.int64)
+    held = sc.broadcast(packed(words.where(F.col("c") >= top)) if top is not None else (none, none))
     sizes = [(r[0], r[1]) for r in blocks.select("slice", F.octet_length("filter")).collect()]  # a row per slice
     todo = segments(sizes, segment_bytes)
     divisor = n_train + 0.5 * (vocabulary + 1)
@@ -284,9 +310,7 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
             number += len(batch)
 
     for i, segment in enumerate(todo or [[]]):
-        slices = blocks.where(F.col("slice").between(segment[0], segment[-1])).select("slice", "filter").collect() if segment else []  # at most segment_bytes
-        shared = sc.broadcast(Filter([(r[0], bytes(r[1])) for r in slices]))
-        del slices
+        shared = sc.broadcast(segment_filter(blocks, dict(sizes), segment))
         last = i + 1 >= len(todo)
         step = lambda batches, shared=shared, last=last, carried=i > 0: look_up(batches, shared, last, carried)
         rows = write_shared(rows.mapInArrow(step, SCORED_DDL if last else "doc_id long, held_out boolean, text string, seen array<binary>"), "scored")
