@@ -232,14 +232,22 @@ CUTS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa
 CUTS_DDL = "hash long, doc_id long, text_hash long, lo int, left int, bytes binary"
 
 
+def once(lists: pa.Array, field: str) -> tuple[pa.Array, np.ndarray]:
+    """The structs of a column of lists, and their rows; of those with the same ``field`` in a list, one. (Rows with the
+    same doc_id and text bring the same structs.)"""
+    flat = pc.list_flatten(lists)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    first = np.unique((row << 32) | pc.struct_field(flat, field).to_numpy().astype(np.int64), return_index=True)[1]
+    return flat.take(pa.array(first)), row[first]
+
+
 def cut_out(with_hits: DataFrame, length: int) -> DataFrame:
     """The bytes of each repeated anchor's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in in_chunks(batches, "text", BUFFER):
             hits = batch.column(batch.schema.get_field_index("hits"))
-            flat, per = pc.list_flatten(hits), pc.list_value_length(hits).to_numpy()
-            row = np.repeat(np.arange(len(batch)), per)
+            flat, row = once(hits, "place")
             lo, hi, place = (pc.struct_field(flat, c).to_numpy() for c in ("lo", "hi", "place"))
             raw = data.tobytes()
             base = offsets[row]
@@ -347,9 +355,9 @@ def window_rows(with_chunks: DataFrame, length: int) -> DataFrame:
 
         for batch, data, offsets in in_chunks(batches, "text", BUFFER):
             chunks = batch.column(batch.schema.get_field_index("chunks"))
-            flat, per = pc.list_flatten(chunks), pc.list_value_length(chunks).to_numpy()
+            flat, owner = once(chunks, "start")
             n = pc.struct_field(flat, "n").to_numpy().astype(np.int64)
-            row = np.repeat(np.repeat(np.arange(len(batch)), per), n)
+            row = np.repeat(owner, n)
             start = ragged(pc.struct_field(flat, "start").to_numpy().astype(np.int64), n)
             at = offsets[row] + start
             take = pa.array(row)
@@ -369,8 +377,10 @@ def match_counted(texts: DataFrame, hot: frozenset[int], length: int) -> DataFra
     occur once are done with; windows of the others are counted by their hashes, summed up in each task first."""
     chunks = write_shared(hot_chunks(texts, hot, length), "hot-chunks")
     again = chunks.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
-    of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("chunks"))
-    windows = write_shared(window_rows(joined(texts, of_doc, "inner").select("t.*", "r.chunks"), length), "hot-windows")
+    of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("chunks"))
+    # One exchange serves the count, the join and what is known; the texts' exchange is the one that other cuts use.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = window_rows(joined(texts, of_doc, "inner").select("t.*", "r.chunks"), length).repartition(parts, "first", "second")
     counted = windows.where("n > 0")
     repeated = counted.groupBy("first", "second").agg(F.sum("n").alias("total")).where("total > 1").select("first", "second")
     alone = counted.where("NOT known").join(repeated, ["first", "second"], "left_semi")
@@ -395,8 +405,7 @@ def span_table(texts: DataFrame, length: int, hot_rows: int) -> DataFrame:
     each = found.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("a")).select("doc_id", "text_hash", "a.*")
     repeated = write_shared(found.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
     hits = each.join(repeated, "hash")
-    # Rows with the same doc_id and text have the same anchors: once is enough, the texts bring the rows back.
-    to_doc = lambda some: some.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("hash", "place", "lo", "hi"))).alias("hits"))
+    to_doc = lambda some: some.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hash", "place", "lo", "hi")).alias("hits"))
     cuts = cut_out(joined(texts, to_doc(hits.where(F.col("n") <= hot_rows)), "inner").select("t.*", "r.hits"), length)
     spans = match_gathered(cuts, length, parts)
     hot = frozenset(r[0] for r in repeated.where(F.col("n") > hot_rows).select("hash").collect())  # at most all anchors / hot_rows
