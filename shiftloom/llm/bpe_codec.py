@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunk_encoder import ChunkEncoder, library
+from .chunk_encoder import encoder, library
 from .common import batch_of, ids_of, in_chunks, ragged, read_table
 
 
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, id_col: s
     """doc_id, n_tokens, ids (little-endian uint32) and the decoded text; with ``digest`` their SHA-256 instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(path, tree=True)
+        coder = encoder(path, tree=True)
         for batch, data, offsets in in_chunks(batches, "text"):
             ids, bounds = coder.encode(data, offsets)
             raw = ids.astype("<u4").tobytes()

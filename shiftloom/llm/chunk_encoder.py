@@ -1,8 +1,8 @@
 """Whole texts to token ids through the tokenizers library, each distinct chunk of a batch encoded once.
 
-A text is cut where a character that isn't white space is followed by an ASCII one. No token of a
-byte-level or word-end BPE spans such a place and no rule of their pre-tokenizers or normalizers looks
-across it, so the ids of the text are those of its chunks one after the other.
+A text is cut where a character that isn't white space is followed by ASCII white space, and where a letter is
+followed by one of ``STOPS``. No token of a byte-level or word-end BPE spans such a place and no rule of their
+pre-tokenizers or normalizers looks across it, so the ids of the text are those of its chunks one after the other.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from .common import ragged
 
-#: Chunks kept per worker, and the longest that is kept, in bytes.
-CACHE_ENTRIES, CACHED_BYTES = 400_000, 64
+#: Chunks kept per worker (twice that for a while), and the longest that is kept, in bytes.
+CACHE_ENTRIES, CACHED_BYTES = 300_000, 64
 #: A run without white space beyond so many bytes is encoded as a tree.
 LONG_CHUNK = 4096
 #: Characters of a leaf of that tree, and tokens on either side in the first window around a join.
@@ -32,6 +32,13 @@ def library(path: str) -> Tokenizer:
     return t
 
 
+#: Punctuation that parts from a letter before it. The apostrophe isn't among them, nor what special tokens hold.
+STOPS = np.zeros(256, bool)
+STOPS[list(b".,;:!?")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted places in ``data`` where a chunk begins, the starts of texts among them."""
     if len(data) == 0:
@@ -46,17 +53,23 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         two, three = data[np.maximum(wide - 2, 0)], data[np.maximum(wide - 3, 0)]
         doubt = (two == 0xC2) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
         cut[wide[doubt]] = False
+    # After ASCII letters, and those of two bytes with the lead C3 (but for two signs).
+    stop = np.flatnonzero(STOPS[data[1:]]) + 1
+    last, lead = data[stop - 1], data[np.maximum(stop - 2, 0)]
+    cut[stop[LETTERS[last] | ((lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))]] = True
     starts = offsets[:-1]
     cut[starts[starts < offsets[1:]]] = True
     return np.flatnonzero(cut)
 
 
 class ChunkEncoder:
-    """ids of texts given as (bytes, offsets); ``tree`` encodes long unsplit runs by tree concatenation."""
+    """ids of texts given as (bytes, offsets); ``tree`` encodes long unsplit runs by tree concatenation; ``folded``
+    is for tokenizers that take lower case and drop white space, so that such chunks count as one."""
 
-    def __init__(self, path: str, tree: bool = False) -> None:
-        self.lib, self.tree = library(path), tree
+    def __init__(self, path: str, tree: bool = False, folded: bool = False) -> None:
+        self.lib, self.tree, self.folded = library(path), tree, folded
         self.cache: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32 of all texts, offsets of each text's ids)."""
@@ -64,6 +77,8 @@ class ChunkEncoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         bounds = np.append(begins, len(data))
+        if self.folded and b"<|" not in data.tobytes():  # a special token's letters aren't folded
+            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), np.where((data >= 9) & (data <= 13), np.uint8(32), data))
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         which = coded.indices.to_numpy()
@@ -75,11 +90,16 @@ class ChunkEncoder:
         return ids, before[np.searchsorted(begins, offsets)]
 
     def _distinct(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cache = self.cache
-        new = [c for c in chunks if c not in cache]
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = chunks
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache, self.former = {}, self.cache
+        cache, former = self.cache, self.former
+        new = []
+        for c in chunks:
+            if c not in cache:
+                if c in former:
+                    cache[c] = former[c]
+                else:
+                    new.append(c)
         fresh: dict[bytes, bytes] = {}
         long = [c for c in new if self.tree and len(c) > LONG_CHUNK]
         for c in long:
@@ -93,6 +113,12 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+@functools.lru_cache(4)
+def encoder(path: str, tree: bool = False, folded: bool = False) -> ChunkEncoder:
+    """A worker's encoder: it keeps its chunks from task to task."""
+    return ChunkEncoder(path, tree, folded)
+
+
 def encode_long(lib: Tokenizer, text: str, leaf: int = LEAF) -> list[int]:
     """Ids of a long text: pre-tokens longer than ``leaf`` characters by tree concatenation, others by the library."""
     out: list[int] = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import default_path
-from .chunk_encoder import ChunkEncoder
+from .chunk_encoder import encoder
 from .common import batch_of, ids_of, in_chunks, read_table, write_shared
 
 CAPACITY, END_ID = 2048, 0
@@ -50,11 +50,11 @@ def cut_pieces(bounds: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return row, number, np.minimum(capacity, sizes[row] - number * capacity)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, folded: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32. ``folded``: the tokenizer takes lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(path)
+        coder = encoder(path, folded=folded)
         for batch, data, offsets in in_chunks(batches, "text"):
             ids, bounds = with_ends(*coder.encode(data, offsets), end_id)
             row, number, length = cut_pieces(bounds, capacity)
@@ -133,9 +133,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, PACKED_DDL)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(write_shared(pieces(docs, path or default_path("word_bpe_49k.json"), capacity, end_id), "pieces"), capacity)
+    return pack(write_shared(pieces(docs, default_path("word_bpe_49k.json"), capacity, end_id, folded=True), "pieces"), capacity)
 
 
 def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import default_path
-from .chunk_encoder import ChunkEncoder
+from .chunk_encoder import encoder
 from .common import ids_of, in_chunks, read_table
 from .histogram_packing import cut_pieces, with_ends
 
@@ -146,7 +146,7 @@ def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        coder, window = ChunkEncoder(path), Window(capacity, dtype, pad_id)
+        coder, window = encoder(path), Window(capacity, dtype, pad_id)
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal first
