@@ -126,6 +126,25 @@ def test_one_row_of_each_group_of_near_copies_stays(spark, docs, no_docs):
     assert without_near_copies(no_docs).count() == 0
 
 
+def test_appended_truncated_and_replaced_copies_are_found(spark, docs):
+    """Contiguous edits that leave a likeness of just over and just under 0.8, and a passage that many texts share."""
+    rng = random.Random(21)
+    rows, passage = [], words(rng, 60)
+    for g in range(60):
+        base = words(rng, rng.randint(40, 220)).split()
+        n = len(base)
+        cut = lambda lo, hi, n=n: max(1, round(n * rng.uniform(lo, hi)))
+        at = rng.randrange(n // 2)
+        k = cut(0.06, 0.11)
+        copies = [[*base, *words(rng, cut(0.15, 0.28)).split()], base[: n - cut(0.12, 0.22)], [*base[:at], *words(rng, k).split(), *base[at + k :]]]
+        rows += [(10 * g + i, " ".join(x)) for i, x in enumerate([base, *copies])] + [(10 * g + 5, f"{words(rng, 20)} {passage}")]
+    sets = [shingle_set(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    want = Counter(min(rows[i][0] for i, g in enumerate(group) if g == root) for group in [roots(len(rows), near)] for root in set(group))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "a", "b", "c", 1, "d") for i, t in rows], docs.schema)
+    assert len(near) > 60 and Counter(r.doc_id for r in without_near_copies(df).collect()) == want
+
+
 def test_empty_fingerprints_link(spark):
     df = spark.createDataFrame([(4, None), (2, " "), (9, "a b c d")], "doc_id long, text string")
     assert {r.w0 for r in fingerprint_table(df, three_word_digests, 1).where(F.col("doc_id") < 5).collect()} == {0}
