@@ -14,7 +14,7 @@ A string of ``length`` bytes that starts twice, anywhere, is a repeat; every byt
    bytes are marked. Texts without an anchor in common never meet.
 4. An anchor with more than ``hot_rows`` occurrences isn't gathered. Its windows are taken ``CHUNK`` neighbours at a
    time; where the bytes that these have in common occur once, none can be a repeat. The windows that are left are
-   counted by a 128-bit hash, summed up within a task before they move.
+   dealt and put in order by a 128-bit hash, and equal neighbours are repeats.
 
 null text: as empty. Texts shorter than ``length`` bytes: kept. Rows with equal doc_id and text are rows still,
 each a repeat of the other. A null doc_id is a key like any other. Empty table: no rows. Columns other than
@@ -298,8 +298,8 @@ def match_gathered(cuts: DataFrame, length: int, parts: int) -> DataFrame:
 
 CHUNKS = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 CHUNKS_DDL = "core long, doc_id long, text_hash long, start int, n int"
-WINDOWS = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int64()), ("known", pa.bool_())])
-WINDOWS_DDL = "first long, second long, doc_id long, text_hash long, start int, n long, known boolean"
+WINDOWS = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
+WINDOWS_DDL = "first long, second long, doc_id long, text_hash long, start int"
 
 
 def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
@@ -333,26 +333,9 @@ def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
 
 
 def window_rows(with_chunks: DataFrame, length: int) -> DataFrame:
-    """128-bit hashes of the windows of ``chunks`` (start, n) of each text. Of equal windows in one part of a task's rows
-    one row counts all; the others are ``known`` to be repeats."""
+    """128-bit hashes of the windows of ``chunks`` (start, n) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            first, second, doc, text, start = (pa.concat_arrays([w[i] for w in waiting]) if i in (2, 3) else np.concatenate([w[i] for w in waiting]) for i in range(5))
-            waiting.clear()
-            order = np.lexsort((second, first))
-            a, c = first[order], second[order]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-            many = np.diff(np.append(new, len(order)))
-            n = np.zeros(len(order), np.int64)
-            n[order[new]] = many
-            known = np.ones(len(order), bool)
-            known[order[new[many == 1]]] = False
-            return batch_of(WINDOWS, first, second, doc, text, start, n, known)
-
         for batch, data, offsets in in_chunks(batches, "text", BUFFER):
             chunks = batch.column(batch.schema.get_field_index("chunks"))
             flat, owner = once(chunks, "start")
@@ -361,30 +344,39 @@ def window_rows(with_chunks: DataFrame, length: int) -> DataFrame:
             start = ragged(pc.struct_field(flat, "start").to_numpy().astype(np.int64), n)
             at = offsets[row] + start
             take = pa.array(row)
-            waiting.append((*(spread(rolling(data, length, w))[at].view(np.int64) for w in (0, 1)), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), start.astype(np.int32)))
-            size += len(row)
-            if size >= 1 << 20:
-                yield out()
-                size = 0
-        if size:
-            yield out()
+            yield batch_of(WINDOWS, *(spread(rolling(data, length, w))[at].view(np.int64) for w in (0, 1)), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), start.astype(np.int32))
 
     return with_chunks.mapInArrow(run, WINDOWS_DDL)
 
 
+def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their first two columns, those that have these in common with another. A batch's last row
+    waits for the next batch."""
+    last, paired = None, False
+    for batch in batches:
+        if not len(batch):
+            continue
+        first, second = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        joins = last is not None and last.column(0)[0].as_py() == first[0] and last.column(1)[0].as_py() == second[0]
+        if last is not None and (paired or joins):
+            yield last
+        same = np.concatenate([[joins], (first[1:] == first[:-1]) & (second[1:] == second[:-1])])
+        yield batch.slice(0, len(batch) - 1).filter(pa.array(same[:-1] | same[1:]))
+        last, paired = batch.slice(len(batch) - 1), bool(same[-1])
+    if paired:
+        yield last
+
+
 def match_counted(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
     """Spans for anchors with very many occurrences: nothing of theirs is gathered. Chunks of windows whose common bytes
-    occur once are done with; windows of the others are counted by their hashes, summed up in each task first."""
+    occur once are done with; windows of the others are dealt by their hashes and read once, in order, so that nothing
+    depends on how a task's rows were batched."""
     chunks = write_shared(hot_chunks(texts, hot, length), "hot-chunks")
     again = chunks.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
     of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("chunks"))
-    # One exchange serves the count, the join and what is known; the texts' exchange is the one that other cuts use.
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = window_rows(joined(texts, of_doc, "inner").select("t.*", "r.chunks"), length).repartition(parts, "first", "second")
-    counted = windows.where("n > 0")
-    repeated = counted.groupBy("first", "second").agg(F.sum("n").alias("total")).where("total > 1").select("first", "second")
-    alone = counted.where("NOT known").join(repeated, ["first", "second"], "left_semi")
-    every = windows.where("known").select("doc_id", "text_hash", "start").unionByName(alone.select("doc_id", "text_hash", "start"))
+    every = windows.sortWithinPartitions("first", "second").mapInArrow(equal_neighbours, WINDOWS_DDL)
     return every.select("doc_id", "text_hash", "start", (F.col("start") + length).cast("int").alias("end"))
 
 

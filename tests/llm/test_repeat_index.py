@@ -1,6 +1,8 @@
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shiftloom.llm import repeat_index as ri
@@ -41,6 +43,22 @@ def test_removes_what_starts_twice(docs, hot_rows):
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_windows_of_common_anchors_are_read_once(docs):
+    texts = ri.keyed(docs)
+    hot = frozenset(h for r in ri.find_anchors(texts, LENGTH).collect() for h in r.hash)
+    plan = ri.match_counted(texts, hot, LENGTH)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow run.*\[first#", plan)) == 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_equal_neighbours_across_batches(size):
+    key = np.sort(np.random.default_rng(4).integers(0, 25, 40))
+    rows = pa.RecordBatch.from_arrays([pa.array(key // 5), pa.array(key % 5), pa.array(np.arange(40))], names=["first", "second", "row"])
+    got = [x for b in ri.equal_neighbours(rows.slice(at, size) for at in range(0, 40, size)) for x in b.column(2).to_pylist()]
+    assert got == [i for i in range(40) if (key == key[i]).sum() > 1] and 0 < len(got) < 40
+    assert not list(ri.equal_neighbours(iter([])))
+
+
 def test_texts_keep_whole_characters_and_other_columns(docs):
     want = Counter()
     for t, m, _ in expected(LENGTH):
