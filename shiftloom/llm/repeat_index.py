@@ -99,8 +99,8 @@ ANCHORS_DDL = "doc_id long, text_hash long, hash array<long>, place array<int>,
 ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("hash", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
 
-def find_anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """Anchors of each text; a text longer than ``STRETCH`` gets a row for each stretch of its windows."""
+def find_anchors(keyed: DataFrame, length: int, stretch: int = STRETCH) -> DataFrame:
+    """Anchors of each text; a text longer than ``stretch`` gets a row for each stretch of its windows."""
 
     def rows(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, shift: int) -> pa.RecordBatch:
         row, *found = anchors(data, offsets, length)
@@ -111,12 +111,12 @@ def find_anchors(keyed: DataFrame, length: int) -> DataFrame:
         return out.filter(pa.array(np.diff(bounds.to_numpy()) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in in_chunks(batches, "text", BUFFER):
-            if len(data) <= STRETCH:
+        for batch, data, offsets in in_chunks(batches, "text", min(BUFFER, stretch)):
+            if len(data) <= stretch:
                 yield rows(batch, data, offsets, 0)
             else:
-                for at in range(0, len(data) - length + 1, STRETCH):
-                    part = data[at : at + STRETCH + length - 1]
+                for at in range(0, len(data) - length + 1, stretch):
+                    part = data[at : at + stretch + length - 1]
                     yield rows(batch, part, np.array([0, len(part)]), at)
 
     return keyed.mapInArrow(run, ANCHORS_DDL)
@@ -247,7 +247,8 @@ def cut_out(with_hits: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in in_chunks(batches, "text", BUFFER):
             hits = batch.column(batch.schema.get_field_index("hits"))
-            flat, row = once(hits, "place")
+            # An anchor beside the end of a stretch has two structs, with other windows each.
+            flat, row = once(hits, "lo")
             lo, hi, place = (pc.struct_field(flat, c).to_numpy() for c in ("lo", "hi", "place"))
             raw = data.tobytes()
             base = offsets[row]
@@ -302,17 +303,17 @@ WINDOWS = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", p
 WINDOWS_DDL = "first long, second long, doc_id long, text_hash long, start int"
 
 
-def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
+def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int, stretch: int = STRETCH) -> DataFrame:
     """A row for each ``CHUNK`` neighbouring windows of a hot anchor: a hash of the anchor, the chunk's place by it and
     the bytes that all windows of the chunk hold, and where its windows start."""
     reach = length - GRAM
     shared = texts.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, whole, bounds in in_chunks(batches, "text", BUFFER):
-            for shift in range(0, max(1, len(whole) - length + 1), STRETCH):
-                data = whole[shift : shift + STRETCH + length - 1]
-                offsets = bounds if len(whole) <= STRETCH else np.array([0, len(data)])
+        for batch, whole, bounds in in_chunks(batches, "text", min(BUFFER, stretch)):
+            for shift in range(0, max(1, len(whole) - length + 1), stretch):
+                data = whole[shift : shift + stretch + length - 1]
+                offsets = bounds if len(whole) <= stretch else np.array([0, len(data)])
                 row, hash_, place, lo, hi = anchors(data, offsets, length)
                 at = np.flatnonzero(np.isin(hash_, shared.value))
                 if not len(at):
@@ -367,11 +368,11 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield last
 
 
-def match_counted(texts: DataFrame, hot: frozenset[int], length: int) -> DataFrame:
+def match_counted(texts: DataFrame, hot: frozenset[int], length: int, stretch: int = STRETCH) -> DataFrame:
     """Spans for anchors with very many occurrences: nothing of theirs is gathered. Chunks of windows whose common bytes
     occur once are done with; windows of the others are dealt by their hashes and read once, in order, so that nothing
     depends on how a task's rows were batched."""
-    chunks = write_shared(hot_chunks(texts, hot, length), "hot-chunks")
+    chunks = write_shared(hot_chunks(texts, hot, length, stretch), "hot-chunks")
     again = chunks.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
     of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("chunks"))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -390,10 +391,10 @@ def joined(texts: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return texts.alias("t").join(right.alias("r").hint("shuffle_hash"), F.expr("t.doc_id <=> r.doc_id AND t.text_hash = r.text_hash"), how)
 
 
-def span_table(texts: DataFrame, length: int, hot_rows: int) -> DataFrame:
+def span_table(texts: DataFrame, length: int, hot_rows: int, stretch: int = STRETCH) -> DataFrame:
     """doc_id, text_hash and ``spans``: (start, end) of stretches of bytes covered by repeats, as found."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = write_shared(find_anchors(texts, length), "anchors")
+    found = write_shared(find_anchors(texts, length, stretch), "anchors")
     each = found.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("a")).select("doc_id", "text_hash", "a.*")
     repeated = write_shared(found.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
     hits = each.join(repeated, "hash")
@@ -402,14 +403,14 @@ def span_table(texts: DataFrame, length: int, hot_rows: int) -> DataFrame:
     spans = match_gathered(cuts, length, parts)
     hot = frozenset(r[0] for r in repeated.where(F.col("n") > hot_rows).select("hash").collect())  # at most all anchors / hot_rows
     if hot:
-        spans = spans.unionByName(match_counted(texts, hot, length))
+        spans = spans.unionByName(match_counted(texts, hot, length, stretch))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS, stretch: int = STRETCH) -> DataFrame:
     """doc_id, text_hash, text and ``spans`` (null without any) of every row."""
     texts = keyed(docs)
-    return joined(texts, span_table(texts, length, hot_rows), "left").select("t.*", "r.spans")
+    return joined(texts, span_table(texts, length, hot_rows, stretch), "left").select("t.*", "r.spans")
 
 
 def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -92,3 +92,17 @@ def test_stretches_of_a_long_text_have_the_same_anchors():
         part = data[at : at + 1399]
         for h, a, lo, hi in np.column_stack(ri.anchors(part, np.array([0, len(part)]), 400)[1:]).tolist():
             assert all(windows[at + p] == (h, at + a) for p in range(lo, hi + 1))
+
+
+@pytest.mark.parametrize("hot_rows", [20_000, 1])
+def test_repeats_across_the_ends_of_stretches(spark, hot_rows):
+    draw = np.random.default_rng(6)
+    some = lambda n: draw.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    texts = [some(3600), some(700)]
+    for k, at in enumerate(range(1000, 3600, 500)):
+        texts += [some(40) + texts[0][at - 20 - 10 * k : at + 110] + some(30)]
+    texts += [texts[0][:1500] + some(20) + texts[0][1400:2600], ""]
+    df = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    masks = covered([*texts, texts[1]], LENGTH)
+    want = Counter((i, int(m.sum())) for i, m in zip([*range(len(texts)), 1], masks, strict=True))
+    assert Counter((r.doc_id, r.n_removed) for r in digests(with_spans(df, LENGTH, hot_rows, 500)).collect()) == want
