@@ -244,6 +244,16 @@ def perm_test_best(spark, sf_dir):
     return rounded(similarity.permutation_best(_two_groups(spark, sf_dir), 20))
 
 
+@query
+def perm_test_mean_1000(spark, sf_dir):
+    return rounded(similarity.permutation_mean(_two_groups(spark, sf_dir), 1000))
+
+
+@query
+def perm_test_best_1000(spark, sf_dir):
+    return rounded(similarity.permutation_best(_two_groups(spark, sf_dir), 1000))
+
+
 def _transfer(spark, sf_dir, version: int = 4):
     w = wide(spark, sf_dir)
     gone = transfer.suppressed(w, 0.0002)

@@ -225,6 +225,25 @@ def test_permutation_mean_equals_all_cross_products(spark):
     assert math.isclose(best.observed, (x[:4] @ x[4:].T).max(1).mean(), abs_tol=1e-8)
 
 
+def test_permutation_queries_of_a_thousand_equal_brute_force(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    from shiftloom.plans import catalog
+
+    x = np.random.default_rng(1).normal(size=(9, 3))
+    rows = [(i, int(i >= 4), x[i].tolist()) for i in range(9)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, value in [("perm_test_mean_1000", lambda s: s.mean()), ("perm_test_best_1000", lambda s: s.max(1).mean())]:
+        values = []
+        for perm in range(1001):
+            order = sorted(range(9), key=lambda i: (hashlib.md5(f"{perm}:{i}".encode()).hexdigest(), i)) if perm else list(range(9))
+            values.append(round(value(x[order[:4]] @ x[order[4:]].T), 9))
+        got = catalog.QUERIES[name](spark, str(tmp_path)).first()
+        assert math.isclose(got.observed, values[0], abs_tol=1e-6) and math.isclose(got.p_value, sum(v >= values[0] for v in values[1:]) / 1000, abs_tol=1e-9)
+
+
 def test_mann_whitney(spark):
     df = spark.createDataFrame([("f", v, v in (3.0, 5.0)) for v in (1.0, 2.0, 3.0, 4.0, 5.0)], "g string, v double, a boolean")
     got = stats.mann_whitney_u(df, ["g"], "v", F.col("a")).first()
