@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def text_col(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def text_col(name: str = "text"):
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

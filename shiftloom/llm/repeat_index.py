@@ -6,15 +6,12 @@ A string of ``length`` bytes that starts twice, anywhere, is a repeat; every byt
    window's anchor. It depends on the window's bytes alone, so equal windows have equal anchors in equal places.
 2. Only anchors whose hash occurs twice can have repeated windows. Around each occurrence of such an anchor the
    bytes of its windows are cut out and sent to where all occurrences of that hash are.
-3. There the strings, aligned at their anchor, are indexed by a Burrows-Wheeler transform over columns (a
-   positional BWT): strings in the order of their reversed beginnings. Equal strings are one row, and the
-   transform advances only where a group of rows has more than one run of a byte; of each run its end and the
-   column from which neighbours agree are kept. As the columns stream by, the longest match of a row that ends
-   in the column is with one of its neighbours, so it is read off these samples, and matches of ``length``
-   bytes are marked. Texts without an anchor in common never meet.
-4. An anchor with more than ``hot_rows`` occurrences isn't gathered. Its windows are taken ``CHUNK`` neighbours at a
-   time; where the bytes that these have in common occur once, none can be a repeat. The windows that are left are
-   dealt and put in order by a 128-bit hash, and equal neighbours are repeats.
+3. There the strings, aligned at their anchor, are indexed by a run-compressed Burrows-Wheeler transform over
+   columns (a positional BWT) with samples at the ends of its runs: see ``RunIndex``. Matching statistics are
+   streamed off the samples, row by row, and matches of ``length`` bytes are marked. Equal strings are one row.
+   Texts without an anchor in common never meet.
+4. The occurrences of an anchor with more than ``hot_rows`` aren't gathered as one group: they are dealt by the bytes
+   beside the anchor, until groups of different strings are small enough for the index. See ``match_dealt``.
 
 null text: as empty. Texts shorter than ``length`` bytes: kept. Rows with equal doc_id and text are rows still,
 each a repeat of the other. A null doc_id is a key like any other. Empty table: no rows. Columns other than
@@ -32,9 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, ids_of, in_chunks, ragged, read_table, text_col, write_shared
+from .common import batch_of, free_names, ids_of, in_chunks, ragged, read_table, text_col, write_shared
 
-LENGTH, GRAM, HOT_ROWS, CHUNK = 400, 32, 20_000, 32
+LENGTH, GRAM, HOT_ROWS, CHUNK = 400, 32, 4_000, 32
 _WEIGHTS = np.random.default_rng(400).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -122,108 +119,117 @@ def find_anchors(keyed: DataFrame, length: int, stretch: int = STRETCH) -> DataF
     return keyed.mapInArrow(run, ANCHORS_DDL)
 
 
-class ColumnIndex:
-    """Positional BWT of rows (matrix of bytes, 0 outside a row's own columns ``begin``..``end``), by group.
+class RunIndex:
+    """Run-compressed positional BWT of rows (matrix of bytes, 0 outside a row's own columns ``begin``..``end``), by group.
 
-    It stands before the column ``length`` at first: ``order`` has the rows of each group in the order of their
-    reversed first columns, ``since`` the column from which a row agrees with the one before it in the order
-    (beyond all columns at a group's first row). ``stream`` advances it and gives, column by column, the rows
-    with a match of ``length`` columns that ends there.
+    The transform of a column lists its bytes with the rows of each group in the order of their reversed beginnings.
+    A row inside a run of one byte keeps its neighbours, and since when it agrees with them, into the next column;
+    only at the ends of runs do these change. So what is kept is, for each end of a run, the row, the column and
+    the columns from which it agrees with the rows before and after it in the order. Columns in which a group has
+    one run are passed over.
     """
 
     def __init__(self, matrix: np.ndarray, group: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> None:
-        self.matrix, self.begin, self.end, self.length = matrix, begin, end, length
+        self.begin, self.end, self.length, self.width = begin, end, length, matrix.shape[1]
+        self.row, self.column, self.before, self.after = (np.concatenate(x) for x in zip(*self._samples(matrix, group), strict=True))
+
+    def _samples(self, matrix: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        length, width = self.length, self.width
+        never, most = width + 1, width - length
         # No byte of a row is 0, so the fixed-width strings compare as a whole.
         reverse = np.ascontiguousarray(matrix[:, length - 1 :: -1])
         by_text = np.argsort(reverse.view(f"S{length}").ravel(), kind="stable")
-        self.order = by_text[np.argsort(group[by_text], kind="stable")]
-        self.never = matrix.shape[1] + 1
-        sorted_, own = reverse[self.order], group[self.order]
+        order = by_text[np.argsort(group[by_text], kind="stable")]
+        sorted_, own = reverse[order], group[order]
         differ = sorted_[1:] != sorted_[:-1]
         agree = np.where(differ.any(1), differ.argmax(1), length)
-        self.since = np.concatenate([[self.never], np.where(own[1:] == own[:-1], length - agree, self.never)])
-
-    def stream(self) -> Iterator[tuple[int, np.ndarray]]:
-        width = self.matrix.shape[1]
-        columns = np.ascontiguousarray(self.matrix.T)
-        for j in range(self.length - 1, width):
-            if j >= self.length:
-                self._advance(columns[j], j)
-            if not len(self.order):
-                return
-            nearest = np.minimum(self.since, np.append(self.since[1:], self.never))
-            rows = self.order
-            match = (j + 1 - np.maximum(nearest, self.begin[rows]) >= self.length) & (self.end[rows] > j)
-            yield j, rows[match]
-
-    def _advance(self, column: np.ndarray, j: int) -> None:
-        # What has not agreed since the first column a later match can start at never matters again.
-        earliest = j + 1 - self.length
-        most = self.matrix.shape[1] - self.length
-        apart = self.since > most
-        alone = apart & np.append(apart[1:], True)
-        if alone.any():
-            self.order, self.since, apart = self.order[~alone], self.since[~alone], apart[~alone]
-        if not len(self.order):
-            return
-        byte = column[self.order]
-        run = np.concatenate([[True], (byte[1:] != byte[:-1])]) & ~apart
-        if not run.any():
-            return  # each group is one run of one byte: order and samples stay
-        group = np.cumsum(apart) - 1
-        mixed = np.zeros(group[-1] + 1, bool)
-        mixed[group[run]] = True
-        at = np.flatnonzero(mixed[group])
-        key = (group[at] << 8) | byte[at]
-        to = np.argsort(key, kind="stable")
-        old, since, key = self.order[at], self.since[at], key[to]
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        new = np.full(len(at), j + 1)
-        pairs = np.flatnonzero(same)
-        if len(pairs):
-            ends = np.column_stack([to[pairs - 1] + 1, to[pairs] + 1]).ravel()
-            new[pairs] = np.maximum.reduceat(np.append(since, 0), ends)[::2]
-        new[np.concatenate([[True], (key[1:] >> 8) != (key[:-1] >> 8)])] = self.never
-        self.order = self.order.copy()
-        self.order[at], self.since = old[to], self.since.copy()
-        self.since[at] = new
-        assert earliest >= 0
-
-
-def repeated_windows(group: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        since = np.concatenate([[never], np.where(own[1:] == own[:-1], length - agree, never)])
+        yield order, np.full(len(order), length - 1), since, np.append(since[1:], never)
+        columns = np.ascontiguousarray(matrix.T)
+        of = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))
+        several = columns[length:, order[1:]] != columns[length:, order[:-1]]
+        several &= of[1:] == of[:-1]
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        mixed = np.logical_or.reduceat(np.concatenate([np.zeros((width - length, 1), bool), several], axis=1), heads, axis=1) if width > length else None
+        for j in range(length, width):
+            at = np.flatnonzero(mixed[j - length][of])
+            if not len(at):
+                continue
+            # What has agreed with neither neighbour since the last start of a match never matters again.
+            lost = since[at] > most
+            lost &= np.append(since, never)[at + 1] > most
+            if 4 * lost.sum() > len(at):
+                stay = np.ones(len(order), bool)
+                stay[at[lost]] = False
+                order, since, of = order[stay], since[stay], of[stay]
+                at = np.flatnonzero(mixed[j - length][of])
+                if not len(at):
+                    continue
+            key = (of[at] << 8) | columns[j][order[at]]
+            starts = np.concatenate([[True], key[1:] != key[:-1]])
+            if not (starts[1:] & (of[at][1:] == of[at][:-1])).any():
+                continue
+            ends = starts | np.append(starts[1:], True)
+            to = np.argsort(key, kind="stable")
+            key, old = key[to], since[at]
+            same = np.flatnonzero(key[1:] == key[:-1]) + 1
+            new = np.full(len(at), j + 1)
+            new[same] = old[to[same]]
+            moved = same[to[same] != to[same - 1] + 1]
+            if len(moved):
+                new[moved] = np.maximum.reduceat(np.append(old, 0), np.column_stack([to[moved - 1] + 1, to[moved] + 1]).ravel())[::2]
+            new[np.concatenate([[True], (key[1:] >> 8) != (key[:-1] >> 8)])] = never
+            order, since = order.copy(), since.copy()
+            order[at], since[at] = order[at][to], new
+            kept = np.flatnonzero(ends[to])
+            yield order[at[kept]], np.full(len(kept), j), new[kept], np.append(since, never)[at[kept] + 1]
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, end) of the runs of columns at which a string starts that another row of the group has there. The
+        longest match that ends in a column is with a neighbour, and is read off the samples of a row as they come."""
+        at = np.lexsort((self.column, self.row))
+        row, column, nearest = self.row[at], self.column[at], np.minimum(self.before, self.after)[at]
+        until = np.append(np.where(row[1:] == row[:-1], column[1:], self.width), self.width)[: len(row)]
+        first = np.maximum(column, np.maximum(nearest, self.begin[row]) + self.length - 1)
+        stop = np.minimum(until, self.end[row])
+        some = np.flatnonzero(first < stop)
+        row, first, stop = row[some], first[some], stop[some]
+        joins = np.concatenate([[False], (row[1:] == row[:-1]) & (first[1:] == stop[:-1])]) if len(row) else np.zeros(0, bool)
+        last = np.append(~joins[1:], True)[: len(row)]
+        return row[~joins], first[~joins] + 1 - self.length, stop[last] + 1 - self.length
+
+
+def repeated_windows(group: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, end) of the runs of bytes covered by repeats, within each row's string. ``group`` is sorted;
-    a string's anchor stands ``left`` bytes after its start."""
-    reach = length - GRAM
+    the strings of a group are aligned at the place ``left`` (at most ``reach``) bytes after their starts."""
     width = reach + length
     sizes = np.diff(offsets)
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode().indices.to_numpy()
     _, first, back, many = np.unique(np.column_stack([group, left, coded]), axis=0, return_index=True, return_inverse=True, return_counts=True)
     back = back.ravel()
-    repeated = np.zeros((len(first), reach + 1), bool)
     begin, size = reach - left[first], sizes[first]
+    # Strings that are there twice are repeats as a whole.
+    whole = np.flatnonzero(many > 1)
+    found = [(whole, np.zeros(len(whole), np.int64), size[whole])]
     several = np.flatnonzero(np.bincount(group[first] - group.min())[group[first] - group.min()] > 1)  # rows of groups with more than one
     if len(several):
         matrix = np.zeros((len(several), width), np.uint8)
         n = size[several]
-        from_, run = offsets[first[several]], np.cumsum(n) - n
-        k = np.arange(n.sum()) - np.repeat(run, n)
-        matrix[np.repeat(np.arange(len(several)), n), np.repeat(begin[several], n) + k] = data[np.repeat(from_, n) + k] + np.uint8(1)
-        index = ColumnIndex(matrix, group[first[several]], begin[several], (begin + size)[several], length)
-        for j, rows in index.stream():
-            repeated[several[rows], j + 1 - length] = True
-    own = np.arange(reach + 1)
-    whole = np.flatnonzero(many > 1)
-    repeated[whole] = (own >= begin[whole][:, None]) & (own <= (begin + size)[whole][:, None] - length)
-    edge = np.diff(repeated.astype(np.int8), axis=1, prepend=0, append=0)
-    row, start = np.nonzero(edge == 1)
-    stop = np.nonzero(edge == -1)[1]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        matrix[np.repeat(np.arange(len(several)), n), np.repeat(begin[several], n) + k] = data[np.repeat(offsets[first[several]], n) + k] + np.uint8(1)
+        row, start, stop = RunIndex(matrix, group[first[several]], begin[several], (begin + size)[several], length).matches()
+        row = several[row]
+        part = many[row] == 1
+        row, start, stop = row[part], start[part], stop[part]
+        found.append((row, start - begin[row], stop - 1 + length - begin[row]))
+    row, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    row, start, stop = row[order], start[order], stop[order]
     # Spans of the distinct rows, for every row that has the string.
     count = np.bincount(row, minlength=len(first))
-    head = np.cumsum(count) - count
     each = count[back]
-    pick = np.repeat(head[back], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    of = np.repeat(np.arange(len(back)), each)
-    return of, start[pick] - begin[row[pick]], stop[pick] - 1 + length - begin[row[pick]]
+    pick = ragged((np.cumsum(count) - count)[back], each)
+    return np.repeat(np.arange(len(back)), each), start[pick], stop[pick]
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -261,7 +267,10 @@ def cut_out(with_hits: DataFrame, length: int) -> DataFrame:
     return with_hits.mapInArrow(run, CUTS_DDL)
 
 
-def match_gathered(cuts: DataFrame, length: int, parts: int) -> DataFrame:
+def match_gathered(cuts: DataFrame, length: int, reach: int) -> DataFrame:
+    """Spans of the cut strings; all of one hash meet in one task. Their alignment lies at most ``reach`` bytes in."""
+    parts = int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def spans(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         strings = rows.column("bytes").combine_chunks().cast(pa.large_binary())
@@ -269,7 +278,7 @@ def match_gathered(cuts: DataFrame, length: int, parts: int) -> DataFrame:
         data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         hash_ = rows.column("hash").to_numpy()
         group = np.cumsum(np.concatenate([[False], hash_[1:] != hash_[:-1]]))
-        of, start, end = repeated_windows(group, rows.column("left").to_numpy().astype(np.int64), data, offsets - offsets[0], length)
+        of, start, end = repeated_windows(group, rows.column("left").to_numpy().astype(np.int64), data, offsets - offsets[0], length, reach)
         lo = rows.column("lo").to_numpy()[of]
         take = pa.array(of)
         return batch_of(SPANS, rows.column("doc_id").combine_chunks().take(take), rows.column("text_hash").combine_chunks().take(take), (lo + start).astype(np.int32), (lo + end).astype(np.int32))
@@ -297,88 +306,75 @@ def match_gathered(cuts: DataFrame, length: int, parts: int) -> DataFrame:
     return cuts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(run, SPANS_DDL)
 
 
-CHUNKS = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-CHUNKS_DDL = "core long, doc_id long, text_hash long, start int, n int"
-WINDOWS = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
-WINDOWS_DDL = "first long, second long, doc_id long, text_hash long, start int"
-
-
-def hot_chunks(texts: DataFrame, hot: frozenset[int], length: int, stretch: int = STRETCH) -> DataFrame:
-    """A row for each ``CHUNK`` neighbouring windows of a hot anchor: a hash of the anchor, the chunk's place by it and
-    the bytes that all windows of the chunk hold, and where its windows start."""
-    reach = length - GRAM
-    shared = texts.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64))
+PIECES = pa.schema([("core", pa.int64()), ("whole0", pa.int64()), ("whole1", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+PIECES_DDL = "core long, whole0 long, whole1 long, doc_id long, text_hash long, first int, start int, n int"
+
+
+def pieces(with_runs: DataFrame, length: int, size: int, stretch: int = STRETCH) -> DataFrame:
+    """Runs of windows (``parent``, ``first``: where the first possible one starts, ``start``, ``n``) cut into pieces of
+    ``size`` neighbours at most. ``core`` names the bytes that all possible windows of a piece hold, its place and the
+    parent; ``whole0`` and ``whole1`` all its bytes and its place."""
+
+    def rows(batch: pa.RecordBatch, data: np.ndarray, base: np.ndarray, owner: np.ndarray, parent: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        low, high = (start - first) // size, (start + n - 1 - first) // size
+        many = high - low + 1
+        of = np.repeat(np.arange(len(start)), many)
+        number = ragged(low, many)
+        head = first[of] + number * size
+        begin = np.maximum(head, start[of])
+        count = np.minimum(head + size, (start + n)[of]) - begin
+        core = rolling(data, length - size + 1)[base[of] + head + size - 1]
+        own = spread(parent[of].view(np.uint64) + number.astype(np.uint64))
+        place = ((begin - head) * size + count).astype(np.uint64)
+        wholes = []
+        for w in (0, 1):
+            windows = rolling(data, length, w)
+            wholes.append(spread(spread(windows[base[of] + begin] + own) * np.uint64(3) + spread(windows[base[of] + begin + count - 1] + place)).view(np.int64))
+        take = pa.array(owner[of])
+        return batch_of(PIECES, spread(core + own).view(np.int64), *wholes, ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), head.astype(np.int32), begin.astype(np.int32), count.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, whole, bounds in in_chunks(batches, "text", min(BUFFER, stretch)):
-            for shift in range(0, max(1, len(whole) - length + 1), stretch):
-                data = whole[shift : shift + stretch + length - 1]
-                offsets = bounds if len(whole) <= stretch else np.array([0, len(data)])
-                row, hash_, place, lo, hi = anchors(data, offsets, length)
-                at = np.flatnonzero(np.isin(hash_, shared.value))
-                if not len(at):
-                    continue
-                row, hash_, place, lo, hi = row[at], hash_[at], place[at], lo[at], hi[at]
-                low, high = (lo - place + reach) // CHUNK, (hi - place + reach) // CHUNK
-                many = high - low + 1
-                of = np.repeat(np.arange(len(row)), many)
-                number = np.repeat(low, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-                first = place[of] - reach + number * CHUNK
-                core = rolling(data, length - CHUNK + 1)[offsets[:-1][row[of]] + first + CHUNK - 1]
-                key = spread(core + spread(hash_[of].view(np.uint64) + number.astype(np.uint64)))
-                start = np.maximum(first, lo[of])
-                take = pa.array(row[of])
-                yield batch_of(CHUNKS, key.view(np.int64), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), (start + shift).astype(np.int32), (np.minimum(first + CHUNK - 1, hi[of]) - start + 1).astype(np.int32))
+        for batch, data, offsets in in_chunks(batches, "text", min(BUFFER, stretch)):
+            flat, owner = once(batch.column(batch.schema.get_field_index("runs")), "start")
+            parent, first, start, n = (pc.struct_field(flat, c).to_numpy().astype(np.int64) for c in ("parent", "first", "start", "n"))
+            if len(data) <= stretch:
+                yield rows(batch, data, offsets[owner], owner, parent, first, start, n)
+                continue
+            for at in range(0, len(data), stretch):  # one long text
+                some = np.flatnonzero((start >= at) & (start < at + stretch))
+                if len(some):
+                    # The windows of a run start within ``length`` bytes, and so do the cores.
+                    part = data[at : at + stretch + 2 * length]
+                    yield rows(batch, part, np.full(len(some), -at), owner[some], parent[some], first[some], start[some], n[some])
 
-    return texts.mapInArrow(run, CHUNKS_DDL)
+    return with_runs.mapInArrow(run, PIECES_DDL)
 
 
-def window_rows(with_chunks: DataFrame, length: int) -> DataFrame:
-    """128-bit hashes of the windows of ``chunks`` (start, n) of each text."""
+def match_dealt(texts: DataFrame, runs: DataFrame, length: int, hot_rows: int, stretch: int = STRETCH) -> DataFrame:
+    """Spans for ``runs`` (doc_id, text_hash, parent, first, start, n) of windows of anchors with very many occurrences.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in in_chunks(batches, "text", BUFFER):
-            chunks = batch.column(batch.schema.get_field_index("chunks"))
-            flat, owner = once(chunks, "start")
-            n = pc.struct_field(flat, "n").to_numpy().astype(np.int64)
-            row = np.repeat(owner, n)
-            start = ragged(pc.struct_field(flat, "start").to_numpy().astype(np.int64), n)
-            at = offsets[row] + start
-            take = pa.array(row)
-            yield batch_of(WINDOWS, *(spread(rolling(data, length, w))[at].view(np.int64) for w in (0, 1)), ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), start.astype(np.int32))
-
-    return with_chunks.mapInArrow(run, WINDOWS_DDL)
-
-
-def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their first two columns, those that have these in common with another. A batch's last row
-    waits for the next batch."""
-    last, paired = None, False
-    for batch in batches:
-        if not len(batch):
-            continue
-        first, second = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        joins = last is not None and last.column(0)[0].as_py() == first[0] and last.column(1)[0].as_py() == second[0]
-        if last is not None and (paired or joins):
-            yield last
-        same = np.concatenate([[joins], (first[1:] == first[:-1]) & (second[1:] == second[:-1])])
-        yield batch.slice(0, len(batch) - 1).filter(pa.array(same[:-1] | same[1:]))
-        last, paired = batch.slice(len(batch) - 1), bool(same[-1])
-    if paired:
-        yield last
-
-
-def match_counted(texts: DataFrame, hot: frozenset[int], length: int, stretch: int = STRETCH) -> DataFrame:
-    """Spans for anchors with very many occurrences: nothing of theirs is gathered. Chunks of windows whose common bytes
-    occur once are done with; windows of the others are dealt by their hashes and read once, in order, so that nothing
-    depends on how a task's rows were batched."""
-    chunks = write_shared(hot_chunks(texts, hot, length, stretch), "hot-chunks")
-    again = chunks.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
-    of_doc = chunks.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("chunks"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = window_rows(joined(texts, of_doc, "inner").select("t.*", "r.chunks"), length).repartition(parts, "first", "second")
-    every = windows.sortWithinPartitions("first", "second").mapInArrow(equal_neighbours, WINDOWS_DDL)
-    return every.select("doc_id", "text_hash", "start", (F.col("start") + length).cast("int").alias("end"))
+    A run is dealt by the bytes beside its anchor, in pieces of a few neighbours. A piece that is there twice as a whole
+    is a span at once, and stands for its copies from then on. Pieces that share the bytes common to their windows and
+    differ beyond meet in an index, if at most ``hot_rows`` differ; if more, they are cut in halves and dealt anew.
+    """
+    size, spans = CHUNK, None
+    whole_of = ["core", "whole0", "whole1"]
+    while True:
+        of_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("parent", "first", "start", "n")).alias("runs"))
+        found = write_shared(pieces(joined(texts, of_doc, "inner").select("t.*", "r.runs"), length, size, stretch), "pieces")
+        wholes = write_shared(found.groupBy(*whole_of).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "text_hash", "first", "start", "n")).alias("p")), "whole-pieces")
+        again = found.join(wholes.where("m > 1").select(*whole_of), whole_of, "left_semi")
+        spans_here = again.select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + length).cast("int").alias("end"))
+        kinds = write_shared(wholes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "cores")
+        unlike = wholes.join(kinds, "core").select("core", "kinds", "p.*")
+        hits = F.struct(F.col("core").alias("hash"), (F.col("first") + (size - 1)).cast("int").alias("place"), F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).cast("int").alias("hi"))
+        few = unlike.where(F.col("kinds") <= hot_rows).groupBy("doc_id", "text_hash").agg(F.collect_list(hits).alias("hits"))
+        spans_here = spans_here.unionByName(match_gathered(cut_out(joined(texts, few, "inner").select("t.*", "r.hits"), length), length, size - 1))
+        spans = spans_here if spans is None else spans.unionByName(spans_here)
+        if size == 1 or kinds.where(F.col("kinds") > hot_rows).isEmpty():
+            return spans
+        runs = unlike.where(F.col("kinds") > hot_rows).select("doc_id", "text_hash", F.col("core").alias("parent"), "first", "start", "n")
+        size //= 2
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -393,17 +389,16 @@ def joined(texts: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def span_table(texts: DataFrame, length: int, hot_rows: int, stretch: int = STRETCH) -> DataFrame:
     """doc_id, text_hash and ``spans``: (start, end) of stretches of bytes covered by repeats, as found."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = write_shared(find_anchors(texts, length, stretch), "anchors")
     each = found.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("a")).select("doc_id", "text_hash", "a.*")
     repeated = write_shared(found.select(F.explode("hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
     hits = each.join(repeated, "hash")
-    to_doc = lambda some: some.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hash", "place", "lo", "hi")).alias("hits"))
-    cuts = cut_out(joined(texts, to_doc(hits.where(F.col("n") <= hot_rows)), "inner").select("t.*", "r.hits"), length)
-    spans = match_gathered(cuts, length, parts)
-    hot = frozenset(r[0] for r in repeated.where(F.col("n") > hot_rows).select("hash").collect())  # at most all anchors / hot_rows
-    if hot:
-        spans = spans.unionByName(match_counted(texts, hot, length, stretch))
+    few = hits.where(F.col("n") <= hot_rows).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hash", "place", "lo", "hi")).alias("hits"))
+    spans = match_gathered(cut_out(joined(texts, few, "inner").select("t.*", "r.hits"), length), length, length - GRAM)
+    if not repeated.where(F.col("n") > hot_rows).isEmpty():
+        hot = hits.where(F.col("n") > hot_rows)
+        runs = hot.select("doc_id", "text_hash", F.col("hash").alias("parent"), (F.col("place") - (length - GRAM)).alias("first"), F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + 1).alias("n"))
+        spans = spans.unionByName(match_dealt(texts, runs, length, hot_rows, stretch))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -444,22 +439,24 @@ def inside_characters(raw: bytes, removed: list[tuple[int, int]]) -> list[tuple[
 
 
 def digests(found: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    """The counts and the digest of the remaining bytes, and these as text (less the rest of characters cut in two)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in in_chunks(batches, "text"):
             raw, rows = data.tobytes(), []
             for a, b, s in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
                 removed = union_of(s)
-                rows.append((b - a, sum(y - x for x, y in removed), len(removed), hashlib.sha256(kept(raw[a:b], removed)).hexdigest()))
+                left = kept(raw[a:b], removed)
+                rows.append((b - a, sum(y - x for x, y in removed), len(removed), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
             yield batch_of(schema, ids_of(batch, "doc_id"), *zip(*rows, strict=True))
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` with its texts less their repeats (whole characters only), and n_chars, where it is there, set anew."""
-    own, spans = "__repeat_index_hash", "__repeat_index_spans"  # names that no column of ``docs`` has
+    own, spans = free_names(docs, "hash", "spans")
     found = span_table(keyed(docs), length, hot_rows).alias("r").hint("shuffle_hash")
     rows = docs.withColumn(own, F.xxhash64(text_col())).alias("t").join(found, F.expr(f"t.doc_id <=> r.doc_id AND t.{own} = r.text_hash"), "left")
     schema, count = docs.schema, docs.columns.index("n_chars") if "n_chars" in docs.columns else None

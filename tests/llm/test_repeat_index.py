@@ -1,8 +1,6 @@
-import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from shiftloom.llm import repeat_index as ri
@@ -35,28 +33,50 @@ def expected(length):
 
 @pytest.mark.parametrize("hot_rows", [20_000, 2])
 def test_removes_what_starts_twice(docs, hot_rows):
-    """Gathered, and with nearly every anchor counted instead."""
+    """Gathered, and with nearly every anchor dealt further."""
     import hashlib
 
     want = Counter((len(t.encode()), int(m.sum()), int((np.diff(m.astype(int), prepend=0) == 1).sum()), hashlib.sha256(k).hexdigest()) for t, m, k in expected(LENGTH))
     got = digests(with_spans(docs, LENGTH, hot_rows)).collect()
+    assert Counter(r.text for r in got) == Counter(k.decode("utf-8", "ignore") for _, _, k in expected(LENGTH))
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
-def test_windows_of_common_anchors_are_read_once(docs):
-    texts = ri.keyed(docs)
-    hot = frozenset(h for r in ri.find_anchors(texts, LENGTH).collect() for h in r.hash)
-    plan = ri.match_counted(texts, hot, LENGTH)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"MapInArrow run.*\[first#", plan)) == 1
-
-
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
-def test_equal_neighbours_across_batches(size):
-    key = np.sort(np.random.default_rng(4).integers(0, 25, 40))
-    rows = pa.RecordBatch.from_arrays([pa.array(key // 5), pa.array(key % 5), pa.array(np.arange(40))], names=["first", "second", "row"])
-    got = [x for b in ri.equal_neighbours(rows.slice(at, size) for at in range(0, 40, size)) for x in b.column(2).to_pylist()]
-    assert got == [i for i in range(40) if (key == key[i]).sum() > 1] and 0 < len(got) < 40
-    assert not list(ri.equal_neighbours(iter([])))
+def test_index_keeps_the_ends_of_runs_and_finds_all_matches():
+    """Against brute force, on groups of copies with few differences; samples are far fewer than cells."""
+    draw = np.random.default_rng(4)
+    n, length, width = 120, 50, 130
+    group = np.sort(draw.integers(0, 4, n))
+    matrix = draw.integers(1, 5, (4, width)).astype(np.uint8)[group]
+    for _ in range(60):
+        matrix[draw.integers(n), draw.integers(width)] = 9
+    begin, end = draw.integers(0, 30, n), draw.integers(100, width + 1, n)
+    own = np.arange(width)
+    matrix[(own < begin[:, None]) | (own >= end[:, None])] = 0
+    index = ri.RunIndex(matrix, group, begin, end, length)
+    got = np.zeros((n, width), bool)
+    for row, first, stop in zip(*index.matches(), strict=True):
+        got[row, first:stop] = True
+    want = np.zeros((n, width), bool)
+    for k in range(width - length + 1):
+        inside = np.flatnonzero((begin <= k) & (end >= k + length))
+        seen = Counter((group[i], matrix[i, k : k + length].tobytes()) for i in inside)
+        want[inside, k] = [seen[group[i], matrix[i, k : k + length].tobytes()] > 1 for i in inside]
+    assert (got == want).all() and want.any() and not want[:, 0].all()
+    assert len(index.row) < n * width / 8
+
+
+@pytest.mark.parametrize("hot_rows", [3, 40])
+def test_a_passage_in_very_many_places(spark, hot_rows):
+    """One passage with different neighbours, and groups of its variants, all of one anchor group."""
+    draw = np.random.default_rng(8)
+    some = lambda n: draw.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage = some(160)
+    texts = [some(int(draw.integers(0, 60))) + passage + some(int(draw.integers(0, 60))) for _ in range(60)]
+    texts += [some(30) + passage[:70] + "#" + passage[71:] + some(9), passage[20:], some(5) + passage[:130]] * 2 + texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: int(m.sum()) for i, m in enumerate(covered(texts, LENGTH))}
+    assert {r.doc_id: r.n_removed for r in digests(with_spans(df, LENGTH, hot_rows)).collect()} == want
 
 
 def test_texts_keep_whole_characters_and_other_columns(docs):
