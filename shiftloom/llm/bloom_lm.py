@@ -1,22 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter (op3).
 
-Counting: tasks sum words and word pairs of the training texts over about ``PRESUM_TOKENS`` tokens at a time,
-and send hash and count to the slice of the hash. There the counts are added up and quantised on a logarithmic
-scale (``LEVELS``: exact at first, then steps of a quarter), and an n-gram of level q is put into the slice's Bloom
-filter q times, as (n-gram, 1) .. (n-gram, q). A slice's filter has ``BITS`` bits for each of its own entries,
-so the filter grows with the corpus.
+Counting: tasks sum words and word pairs of the training texts over about ``PRESUM_TOKENS`` tokens at a time and send
+them to the slice of their hash, of which there are as many as the corpus is large. A slice adds the counts up,
+quantises them on a logarithmic scale (``LEVELS``: exact at first, then steps of a quarter), and puts an n-gram of
+level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter is blocked: a probe is one 64-bit
+word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that all false
+hits in V probes together count for less than a hundredth of ``MU``; that is 10 bits a probe for each entry.
 
 Scoring: the filter goes to all workers by broadcast, in segments of at most ``SEGMENT_BYTES``. While one holds it
 all, one pass over the texts does; else each pass looks up one segment's n-grams, and the levels found so far stay
-beside the text in a table. A level is found by probing (n-gram, 1), (n-gram, 2) .. until one is missing. Then
+beside the text in a table. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one
+is missing, and then of those between. Then
 
-    p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU),   p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | h) = (c(h w) + MU p(w)) / (t(h) + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
 
-with c the middle of a level's counts. A pair's count is at most that of its words, so that a false hit of the
-filter counts for little. The score is the sum of log10 p over all words and the end.
+with c(h w) the middle of a level's counts, t(h) the sum of these over all words after h, and t that of c(w): so both
+sum to 1 over the vocabulary and one unknown word. t(h) is the count of h and what quantising added, which slices give
+out only for pairs that it changed. The score is the sum of log10 p over all words and the end.
 
 ``base_score`` and ``n_known`` are exact. Words in a broadcast dictionary (all from a count on, the least that leaves
-no more than ``DICTIONARY`` words) are looked up there; the others meet their counts in a join.
+no more than ``DICTIONARY`` words) are looked up there, with their t; the others meet theirs in a join.
 
 Words are compared by 64-bit hashes. null text: as empty (the end alone). A null doc_id is a training row.
 Repeated rows: each is scored, and counted, for itself. Empty table: no rows. No training rows: N = 0, and p(w) is
@@ -26,6 +29,7 @@ Repeated rows: each is scored, and counted, for itself. Empty table: no rows. No
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, in_chunks, read_table, write_shared
+from .common import batch_of, in_chunks, read_table, text_col, write_shared
 
-PRESUM_TOKENS, SLICES, SLICE_BITS = 4_000_000, 1024, 10
-BITS, PROBES, SEGMENT_BYTES, DICTIONARY, MU = 10, 6, 256 << 20, 1 << 20, 500.0
+PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
+PROBE_BITS, WORD_BITS, SEGMENT_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
+#: Share of words of the filter that hold all bits of a probe that isn't there.
+FALSE = 0.015
 
 
 def level_starts() -> np.ndarray:
@@ -63,7 +69,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(hashes of all tokens, each text's end among them; offsets by text)."""
     raw, digest = data.tobytes().lower(), xxhash.xxh64_digest
     parts, sizes = [], []
-    end = END.astype(">u8").tobytes()
+    end = int(END).to_bytes(8, "big")
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         words = raw[a:b].split()
         parts.append(b"".join([digest(w, 42) for w in words]))
@@ -83,151 +89,263 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) * np.uint64(3) + words)
 
 
-def slice_of(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys) >> np.uint64(64 - SLICE_BITS)).astype(np.int32)
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Number of each key's slice, of ``slices`` (a power of two)."""
+    return (mixed(keys) >> np.uint64(44)).astype(np.int64) & (slices - 1)
 
 
-COUNTS = pa.schema([("slice", pa.int32()), ("pair", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
-BLOCKS = pa.schema([("slice", pa.int32()), ("filter", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+def slices_for(texts: DataFrame) -> int:
+    """Slices of the filter: one for each ``SLICE_BYTES`` of text or so."""
+    size = texts.agg(F.sum(F.octet_length(text_col()))).first()[0] or 0
+    return 1 << min(20, max(4, int(size // SLICE_BYTES).bit_length()))
 
 
-def bit_places(keys: np.ndarray, level: np.ndarray, probe: int, bits: np.ndarray) -> np.ndarray:
-    """Place of the probe's bit within the slice's ``bits``."""
-    h = mixed(keys + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
-    return (((low + np.uint64(probe) * (high | np.uint64(1))) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)
+COUNTS = pa.schema([("slice", pa.int32()), ("pair", pa.bool_()), ("keys", pa.binary()), ("before", pa.binary()), ("counts", pa.binary())])
+COUNTS_DDL = "slice int, pair boolean, keys binary, before binary, counts binary"
+BLOCKS = pa.schema([("slice", pa.int32()), ("probes", pa.int32()), ("filter", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("histories", pa.list_(pa.int64())), ("surplus", pa.list_(pa.float64()))])
+BLOCKS_DDL = "slice int, probes int, filter binary, keys array<long>, counts array<long>, histories array<long>, surplus array<double>"
 
 
-def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def probe_places(keys: np.ndarray, level: np.ndarray, probe: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word within the slice, bits that must be set there) of a probe."""
+    h = mixed(keys + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(probe * 0x5851F42D4C957F2D % (1 << 64)))
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(PROBE_BITS):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64), bits
+
+
+def probes_for(vocabulary: float, mu: float) -> int:
+    """Probes after which false hits among ``vocabulary`` words are fewer than a hundredth of ``mu``."""
+    return max(1, int(np.ceil(np.log(max(1.0, vocabulary) / (0.01 * mu)) / -np.log(FALSE))))
+
+
+def built(keys: np.ndarray, counts: np.ndarray, probes: int) -> bytes:
     """The Bloom filter of a slice's n-grams."""
     level = np.searchsorted(LEVELS, counts, side="right")
-    bits = np.uint64(8 * max(8, -(-int(level.sum()) * BITS // 8)))
-    out = np.zeros(int(bits) // 8, np.uint8)
+    words = max(8, -(-int(level.sum()) * WORD_BITS * probes // 64))
+    out = np.zeros(words, np.uint64)
     q = 1
     while len(keys):
-        for i in range(PROBES):
-            at = bit_places(keys, np.full(len(keys), q), i, bits)
-            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for i in range(probes):
+            at, bits = probe_places(keys, np.full(len(keys), q), i, np.uint64(words))
+            np.bitwise_or.at(out, at, bits)
         more = level > q
         keys, level, q = keys[more], level[more], q + 1
     return out.tobytes()
 
 
-def count_ngrams(training: DataFrame, parts: int) -> DataFrame:
-    """Per slice its filter, and the exact counts of its words."""
+def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -> DataFrame:
+    """Per slice its filter, the exact counts of its words, and what quantising its pairs added to their histories."""
 
-    def summed(pair: bool, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        for at in range(0, len(key), 1 << 17):
-            k = key[at : at + (1 << 17)]
-            yield batch_of(COUNTS, slice_of(k), np.full(len(k), pair), k.view(np.int64), n[at : at + (1 << 17)])
+    def packed_rows(pair: bool, keys: list[np.ndarray], before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, at, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        first = np.concatenate(before)[at] if pair else np.zeros(0, np.uint64)
+        to = slice_of(key, slices)
+        order = np.argsort(to, kind="stable")
+        key, n, to, first = key[order], n[order], to[order], first[order] if pair else first
+        heads = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(heads[1:], len(key))
+        for k in range(0, len(heads), 64):
+            cut = list(zip(heads[k : k + 64].tolist(), ends[k : k + 64].tolist(), strict=True))
+            of = lambda x: [x[a:b].tobytes() for a, b in cut]  # noqa: E731, B023
+            yield batch_of(COUNTS, to[heads[k : k + 64]], [pair] * len(cut), of(key), of(first), of(n.astype(np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
+        before: list[np.ndarray] = []
         size = 0
         for _, data, offsets in in_chunks(batches, "text"):
             got, bounds = tokens(data, offsets)
             words.append(got)
-            pairs.append(pair_keys(histories(got, bounds), got))
+            before.append(histories(got, bounds))
+            pairs.append(pair_keys(before[-1], got))
             size += len(got)
             if size >= PRESUM_TOKENS:
-                yield from summed(False, words)
-                yield from summed(True, pairs)
-                words, pairs, size = [], [], 0
+                yield from packed_rows(False, words, [])
+                yield from packed_rows(True, pairs, before)
+                words, pairs, before, size = [], [], [], 0
         if words:
-            yield from summed(False, words)
-            yield from summed(True, pairs)
+            yield from packed_rows(False, words, [])
+            yield from packed_rows(True, pairs, before)
+
+    def summed(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, before, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64), strict=True)) if rows else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        return key[head], before[order][head] if len(before) else before, np.add.reduceat(n, head) if len(head) else n
+
+    def block(number: int, rows: dict[bool, list]) -> pa.RecordBatch:
+        word, _, n = summed(rows[False])
+        pair, before, m = summed(rows[True])
+        # Slices are alike, so this one's words tell the vocabulary.
+        probes = probes_for(len(word) * slices, mu)
+        keys, counts = np.concatenate([word, pair]), np.concatenate([n, m])
+        more = MIDDLES[np.searchsorted(LEVELS, m, side="right")] - m
+        some = more != 0
+        history, which = np.unique(before[some], return_inverse=True)
+        surplus = np.bincount(which, more[some], len(history))
+        return batch_of(BLOCKS, [number], [probes], [built(keys, counts, probes)], *[[x] for x in (word.view(np.int64), n, history.view(np.int64), surplus)])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if len(b)]  # a partition: its share of the distinct n-grams
-        if not rows:
-            return
-        slice_, pair, key, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in range(4))
-        del rows
-        order = np.lexsort((key, pair, slice_))
-        slice_, pair, key, n = slice_[order], pair[order], key[order], n[order]
-        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
-        slice_, pair, key, n = slice_[head], pair[head], key[head], np.add.reduceat(n, head)
-        ends = np.flatnonzero(np.concatenate([[True], slice_[1:] != slice_[:-1], [True]]))
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            word = ~pair[a:b]
-            yield batch_of(BLOCKS, [int(slice_[a])], [built(key[a:b].view(np.uint64), n[a:b])], [key[a:b][word]], [n[a:b][word]])
-
-    counted = training.select("text").mapInArrow(count, "slice int, pair boolean, key long, n long")
-    return counted.repartition(min(parts, SLICES), "slice").mapInArrow(build, "slice int, filter binary, keys array<long>, counts array<long>")
+        now, rows = None, {False: [], True: []}  # one slice at a time
+        for batch in batches:
+            for number, pair, *parts_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now:
+                    if now is not None:
+                        yield block(now, rows)
+                    now, rows = number, {False: [], True: []}
+                rows[pair].append(tuple(parts_))
+        if now is not None:
+            yield block(now, rows)
+
+    counted = training.select("text").mapInArrow(count, COUNTS_DDL)
+    return counted.repartition(min(parts, slices), "slice").sortWithinPartitions("slice").mapInArrow(build, BLOCKS_DDL)
 
 
 class Filter:
-    """A segment of the filter: slices ``first`` .. of which each has ``bits`` bits from byte ``start`` on."""
+    """A segment of the filter: its slices with ``words`` 64-bit words each, from ``start`` on."""
 
-    def __init__(self, sizes: list[tuple[int, int]]) -> None:
-        """Room for slices (number, bytes), to be filled by ``put``."""
-        self.raw = np.zeros(sum(n for _, n in sizes), np.uint8)
-        self.bits, self.start = np.zeros(SLICES, np.uint64), np.zeros(SLICES, np.int64)
+    def __init__(self, slices: int, sizes: list[tuple[int, int, int]]) -> None:
+        """Room for slices (number, probes, bytes), to be filled by ``put``."""
+        self.slices = slices
+        self.raw = np.zeros(sum(n for _, _, n in sizes) // 8, np.uint64)
+        self.words, self.start, self.probes = np.zeros(slices, np.uint64), np.zeros(slices, np.int64), np.zeros(slices, np.int64)
         at = 0
-        for number, n in sizes:
-            self.bits[number], self.start[number] = 8 * n, at
-            at += n
+        for number, probes, n in sizes:
+            self.words[number], self.start[number], self.probes[number] = n // 8, at, probes
+            at += n // 8
 
     def put(self, number: int, data: bytes) -> None:
-        self.raw[self.start[number] : self.start[number] + len(data)] = np.frombuffer(data, np.uint8)
+        self.raw[self.start[number] : self.start[number] + len(data) // 8] = np.frombuffer(data, np.uint64)
+
+    def has(self, keys: np.ndarray, level: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Membership of (n-gram, level): every probe of its slice finds its bits."""
+        here = np.arange(len(keys))
+        for i in range(int(self.probes.max(initial=0))):
+            at = where[here]
+            place, bits = probe_places(keys[here], level[here], i, self.words[at])
+            here = here[(self.raw[self.start[at] + place] & bits == bits) | (self.probes[at] <= i)]
+        out = np.zeros(len(keys), bool)
+        out[here] = True
+        return out
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each n-gram by repeated probes; 0 outside the segment."""
-        out = np.zeros(len(keys), np.uint8)
-        where = slice_of(keys)
-        at = np.flatnonzero(self.bits[where])
-        q = 1
+        where = slice_of(keys, self.slices)
+        low, high = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
+        at, q = np.flatnonzero(self.words[where]), 1
         while len(at):
-            key, bits, start = keys[at], self.bits[where[at]], self.start[where[at]]
-            here = np.arange(len(at))
-            for i in range(PROBES):
-                place = bit_places(key[here], np.full(len(here), q), i, bits[here])
-                here = here[(self.raw[start[here] + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            at = at[here]
-            out[at] = q
-            q += 1
-        return out
-
-
-def segment_filter(blocks: DataFrame, sizes: dict[int, int], segment: list[int], step: int = 64) -> Filter:
+            found = self.has(keys[at], np.full(len(at), q), where[at])
+            high[at[~found]] = q
+            at = at[found]
+            low[at], high[at] = q, 2 * q
+            q *= 2
+        while len(at := np.flatnonzero(high - low > 1)):
+            mid = (low[at] + high[at]) // 2
+            found = self.has(keys[at], mid, where[at])
+            low[at[found]], high[at[~found]] = mid[found], mid[~found]
+        return low.astype(np.uint8)
+
+
+def segment_filter(blocks: DataFrame, slices: int, sizes: list[tuple[int, int, int]], step: int = 16) -> Filter:
     """The segment's filter on the driver, fetched a few slices at a time so that only one copy is held."""
-    out = Filter([(k, sizes[k]) for k in segment])
-    for at in range(0, len(segment), step):
-        part = segment[at : at + step]
-        for number, data in blocks.where(F.col("slice").between(part[0], part[-1])).select("slice", "filter").collect():
+    out = Filter(slices, sizes)
+    for at in range(0, len(sizes), step):
+        part = sizes[at : at + step]
+        for number, data in blocks.where(F.col("slice").between(part[0][0], part[-1][0])).select("slice", "filter").collect():
             out.put(number, data)
     return out
 
 
-def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of a table (key, c) of bounded size, sorted by key; it comes as a few binary rows."""
-    schema = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
+def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, sums t) of a table (key, c, t) of bounded size, sorted by key; it comes as a few binary rows."""
+    schema = pa.schema([(c, pa.binary()) for c in ("keys", "counts", "sums")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, [batch.column(0).to_numpy().tobytes()], [batch.column(1).to_numpy().tobytes()])
+            yield batch_of(schema, *[[c.to_numpy().tobytes()] for c in batch.columns])
 
-    rows = counts.select("key", "c").mapInArrow(run, "keys binary, counts binary").collect()
-    key, c = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), np.int64) for i in (0, 1))
+    rows = counts.select("key", "c", "t").mapInArrow(run, "keys binary, counts binary, sums binary").collect()
+    key, c, t = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
     order = np.argsort(key)
-    return key[order], c[order]
+    return key[order], c[order], t[order]
 
 
-def segments(slices: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Numbers of the slices (number, bytes) for each broadcast."""
-    out: list[list[int]] = []
+def segments(slices: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int, int]]]:
+    """The slices (number, probes, bytes) for each broadcast."""
+    out: list[list[tuple[int, int, int]]] = []
     size = most + 1
-    for number, n in sorted(slices):
-        if size + n > most or not out:
+    for each in sorted(slices):
+        if size + each[2] > most or not out:
             out.append([])
             size = 0
-        out[-1].append(number)
-        size += n
+        out[-1].append(each)
+        size += each[2]
     return out
 
 
+@dataclass
+class Model:
+    """What training leaves: tables of blocks (filter by slice) and of words (key, count c, sum t of what follows), the
+    dictionary (arrays by key), the count from which words are in it, N, V, and the sums t of all words and of the start."""
+
+    blocks: DataFrame
+    words: DataFrame
+    slices: int
+    common: tuple[np.ndarray, np.ndarray, np.ndarray]
+    top: int | None
+    n_train: int
+    vocabulary: int
+    total: float
+    start: float
+
+
+def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) -> Model:
+    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices_for(training)
+    blocks = write_shared(count_ngrams(training, parts, slices, mu), "ngrams")
+    counts = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.counts").alias("c"))
+    surplus = blocks.select(F.explode(F.arrays_zip("histories", "surplus")).alias("w")).select(F.col("w.histories").alias("key"), F.col("w.surplus").alias("s")).groupBy("key").agg(F.sum("s").alias("s"))
+    words = write_shared(counts.join(surplus, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), (F.coalesce("c", F.lit(0)) + F.coalesce("s", F.lit(0.0))).alias("t")), "words")
+    ends = {r["key"]: r for r in words.where(F.col("key").isin(int(START.view(np.int64)), int(END.view(np.int64)))).collect()}
+    texts = ends.get(int(END.view(np.int64)))
+    start = (texts["c"] if texts else 0) + (ends[int(START.view(np.int64))]["t"] if int(START.view(np.int64)) in ends else 0.0)
+    words = words.where("c > 0")  # the start alone is no word
+    by_count = words.groupBy("c").agg(F.count(F.lit(1)).alias("v"))
+    sums = by_count.agg(F.coalesce(F.sum(F.col("c") * F.col("v")), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    # Distinct counts at the top: the dictionary starts at the count that keeps it within its bound.
+    top, room = None, dictionary
+    for c, v in ((r[0], r[1]) for r in by_count.orderBy(F.desc("c")).limit(dictionary).toLocalIterator()):
+        if v > room:
+            break
+        top, room = c, room - v
+
+    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, v = (x.to_numpy() for x in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([float((MIDDLES[np.searchsorted(LEVELS, c, side="right")] * v).sum())])], names=["t"])
+
+    rare = by_count.where(F.col("c") < top) if top is not None else by_count
+    common = by_count.where(F.col("c") >= top).agg(F.sum(F.col("c") * F.col("v"))).first()[0] if top is not None else 0
+    total = float(common or 0) + (rare.select("c", "v").mapInArrow(middles, "t double").agg(F.sum("t")).first()[0] or 0.0)
+    none = np.zeros(0, np.int64)
+    held = packed(words.where(F.col("c") >= top)) if top is not None else (none, none, none.astype(np.float64))
+    return Model(blocks, words, slices, held, top, int(sums[0]), int(sums[1]), total, float(start))
+
+
+def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether each word is in the dictionary, its count, its sum t)."""
+    keys, counts, sums = common
+    if not len(keys):
+        return np.zeros(len(words), bool), np.zeros(len(words), np.int64), np.zeros(len(words))
+    at = np.minimum(np.searchsorted(keys, words.view(np.int64)), len(keys) - 1)
+    hit = keys[at] == words.view(np.int64)
+    return hit, np.where(hit, counts[at], 0), np.where(hit, sums[at], 0.0)
+
+
 SCORED_DDL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>"
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int64()))])
 LOOKED_UP = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("seen", pa.list_(pa.binary()))])
@@ -236,39 +354,27 @@ LOOKED_UP = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text"
 def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int = SEGMENT_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; ``held_out`` is a
     boolean column, true for the rows that aren't learnt from."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    blocks = write_shared(count_ngrams(rows.where(~F.col("held_out")), parts), "ngrams")
-    words = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.counts").alias("c"))
-    by_count = words.groupBy("c").agg(F.count(F.lit(1)).alias("v"))
-    total = by_count.agg(F.coalesce(F.sum(F.col("c") * F.col("v")), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n_train, vocabulary = int(total[0]), int(total[1])
-    # Distinct counts at the top: the dictionary starts at the count that keeps it within its bound.
-    top, room = None, dictionary
-    for c, v in ((r[0], r[1]) for r in by_count.orderBy(F.desc("c")).limit(dictionary).toLocalIterator()):
-        if v > room:
-            break
-        top, room = c, room - v
-    none = np.zeros(0, np.int64)
-    held = sc.broadcast(packed(words.where(F.col("c") >= top)) if top is not None else (none, none))
-    sizes = [(r[0], r[1]) for r in blocks.select("slice", F.octet_length("filter")).collect()]  # a row per slice
+    model = train(rows.where(~F.col("held_out")), mu, dictionary)
+    blocks, words, slices, top, n_train, start = model.blocks, model.words, model.slices, model.top, model.n_train, model.start
+    held = sc.broadcast(model.common)
+    sizes = [(r[0], r[1], r[2]) for r in blocks.select("slice", "probes", F.octet_length("filter")).collect()]  # a row per slice
     todo = segments(sizes, segment_bytes)
-    divisor = n_train + 0.5 * (vocabulary + 1)
+    divisor, of_model = n_train + 0.5 * (model.vocabulary + 1), model.total + 0.5 * (model.vocabulary + 1)
 
     def look_up(batches, shared, last: bool, carried: bool) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        filter_ = shared.value if shared is not None else Filter([])
+        filter_ = shared.value
         number = TaskContext.get().partitionId() << 40
-        common, common_n = held.value
         for batch, data, offsets in in_chunks(batches, "text", 1 << 20):
             word, bounds = tokens(data, offsets)
-            before = histories(word, bounds)
             distinct, which = np.unique(word, return_inverse=True)
-            one = filter_.levels(distinct)[which]
-            two = filter_.levels(pair_keys(before, word))
+            hit, exact, sums = known(distinct, held.value)
+            level = np.zeros(len(distinct), np.uint8)
+            level[~hit] = filter_.levels(distinct[~hit])
+            one, two = level[which], filter_.levels(pair_keys(histories(word, bounds), word))
             if carried:
                 seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
                 one = np.maximum(one, np.frombuffer(b"".join(x[0] for x in seen), np.uint8))
@@ -278,19 +384,14 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
                 found = [[one[a:b].tobytes(), two[a:b].tobytes()] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield batch_of(LOOKED_UP, ids, out, batch.column(batch.schema.get_field_index("text")).cast(pa.string()), found)
                 continue
-            # Counts for the model. What stands before the first word has the count of the ends.
-            own = MIDDLES[one]
-            ahead = np.concatenate([[0.0], own[:-1]])
-            ahead[bounds[:-1]] = own[bounds[1:] - 1]
-            both = np.minimum(MIDDLES[two], np.minimum(own, ahead))
-            logs = np.log10((both + mu * (own + 0.5) / divisor) / (ahead + mu))
-            # Exact counts for the base.
-            at = np.searchsorted(common, distinct.view(np.int64))
-            hit = common[np.minimum(at, len(common) - 1)] == distinct.view(np.int64) if len(common) else np.zeros(len(distinct), bool)
-            exact = np.zeros(len(distinct), np.int64)
-            exact[hit] = common_n[at[hit]]
             in_common = hit[which]
-            base = np.where(in_common, np.log10((exact[which] + 0.5) / divisor), 0.0)
+            own = np.where(in_common, exact[which], MIDDLES[one])
+            # Divisors of words outside the dictionary come with the join, as many as the word is there.
+            after = np.where(hit, np.log10(sums + mu), 0.0)[which]
+            ahead = np.concatenate([[0.0], after[:-1]])
+            ahead[bounds[:-1]] = np.log10(start + mu)
+            logs = np.log10(MIDDLES[two] + mu * (own + 0.5) / of_model) - ahead
+            base = np.where(in_common, np.log10((exact + 0.5) / divisor)[which], 0.0)
             text = np.repeat(np.arange(len(batch)), np.diff(bounds))
             rare = np.flatnonzero(~in_common)
             pair, n = np.unique(np.column_stack([text[rare], which[rare]]), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
@@ -310,16 +411,17 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
             number += len(batch)
 
     for i, segment in enumerate(todo or [[]]):
-        shared = sc.broadcast(segment_filter(blocks, dict(sizes), segment))
+        shared = sc.broadcast(segment_filter(blocks, slices, segment))
         last = i + 1 >= len(todo)
         step = lambda batches, shared=shared, last=last, carried=i > 0: look_up(batches, shared, last, carried)
         rows = write_shared(rows.mapInArrow(step, SCORED_DDL if last else "doc_id long, held_out boolean, text string, seen array<binary>"), "scored")
         shared.unpersist()
-    # Words outside the dictionary: exact counts by a join.
+    # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     term = F.col("n") * F.log10((F.col("c") + F.lit(0.5)) / F.lit(divisor))
-    rest = met.groupBy("row").agg(F.sum(term).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
+    after = F.when(F.col("key") == F.lit(int(END.view(np.int64))), F.lit(0.0)).otherwise(F.col("n") * F.log10(F.coalesce("t", F.lit(0.0)) + F.lit(mu)))
+    rest = met.groupBy("row").agg(F.sum(term).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(after).alias("d"))
     return rows.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
@@ -327,7 +429,7 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") - F.coalesce("d", F.lit(0.0))).alias("score"),
     )
 
 

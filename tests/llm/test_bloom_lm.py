@@ -10,21 +10,57 @@ from shiftloom.llm import bloom_lm as lm
 from .conftest import corpus
 
 
+def filled(slices, made):
+    """A filter of blocks (number: probes, bytes)."""
+    got = lm.Filter(slices, [(k, p, len(x)) for k, (p, x) in made.items()])
+    for k, (_, x) in made.items():
+        got.put(k, x)
+    return got
+
+
 def test_filter_gives_levels_back():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 5000, np.uint64)
     counts = rng.integers(1, 3000, 5000)
-    slices = lm.slice_of(keys)
-    made = {int(s): lm.built(keys[slices == s], counts[slices == s]) for s in np.unique(slices)}
-    got = lm.Filter([(k, len(x)) for k, x in made.items()])
-    for k, x in made.items():
-        got.put(k, x)
-    level = np.searchsorted(lm.LEVELS, counts, side="right")
-    assert (got.levels(keys) >= level).all() and (got.levels(keys) == level).mean() > 0.97
-    assert (got.levels(rng.integers(0, 1 << 63, 5000, np.uint64)) > 0).mean() < 0.03
+    slices = lm.slice_of(keys, 8)
+    for probes in ([1, 2], [3]):  # slices may differ
+        many = [probes[s % len(probes)] for s in range(8)]
+        got = filled(8, {s: (many[s], lm.built(keys[slices == s], counts[slices == s], many[s])) for s in range(8)})
+        level = np.searchsorted(lm.LEVELS, counts, side="right")
+        assert (got.levels(keys) >= level).all() and (got.levels(keys) == level).mean() > (0.999 if probes == [3] else 0.9)
+        other = rng.integers(0, 1 << 63, 200_000, np.uint64)
+        false, at = got.levels(other) > 0, lm.slice_of(other, 8)
+        for s in range(8):
+            assert false[at == s].mean() < 1.4 * lm.FALSE ** many[s] + 0.0005
     assert (np.abs(lm.MIDDLES[level] - counts) <= 0.13 * counts).all() and lm.MIDDLES[:5].tolist() == [0, 1, 2, 3, 4]
 
 
+def test_probabilities_sum_to_one_over_the_vocabulary(spark):
+    """For common and rare histories, in a vocabulary large enough for false hits to count if there were many."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(12_000)]
+    draw = np.minimum(rng.zipf(1.25, 150_000) - 1, len(vocabulary) - 1)
+    draw[: len(vocabulary)] = np.arange(len(vocabulary))
+    texts = [" ".join(vocabulary[k] for k in draw[at : at + 500]) for at in range(0, len(draw), 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(df)
+    assert (model.vocabulary, model.n_train) == (len(vocabulary) + 1, len(draw) + len(texts))
+    rows = model.blocks.select("slice", "probes", "filter").collect()
+    got = filled(model.slices, {r[0]: (r[1], bytes(r[2])) for r in rows})
+    hashed = lambda x: lm.tokens(np.frombuffer(" ".join(x).encode(), np.uint8), np.array([0, len(" ".join(x))]))[0]
+    words = hashed(vocabulary)  # and the end
+    hit, counts, _ = lm.known(words, model.common)
+    assert hit.all()
+    p = (counts + 0.5) / (model.total + 0.5 * (model.vocabulary + 1))
+    unknown = 0.5 / (model.total + 0.5 * (model.vocabulary + 1))
+    asked = np.concatenate([[lm.START], hashed(vocabulary[:20] + vocabulary[-20:] + ["w300", "w777", "never"])[:-1]])
+    for h in asked:
+        t = model.start if h == lm.START else float(lm.known(np.array([h]), model.common)[2][0])
+        c = lm.MIDDLES[got.levels(lm.pair_keys(np.full(len(words), h), words))]
+        total = ((c + lm.MU * p) / (t + lm.MU)).sum() + lm.MU * unknown / (t + lm.MU)
+        assert abs(total - 1) < 0.02, (h, total)
+
+
 def expected():
     rows = [(i, [*((t or "").encode().lower().split()), None]) for i, t in corpus()]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
@@ -69,5 +105,6 @@ def test_without_training_rows_and_without_rows(docs, no_docs):
 
 
 def test_segments_hold_every_slice():
-    assert lm.segments([(2, 5), (0, 5), (1, 9), (3, 20)], 10) == [[0], [1], [2], [3]]
-    assert lm.segments([(0, 5), (1, 5), (2, 1)], 10) == [[0, 1], [2]] and lm.segments([], 10) == []
+    numbers = lambda sizes: [[x[0] for x in part] for part in lm.segments([(k, 3, n) for k, n in sizes], 10)]
+    assert numbers([(2, 5), (0, 5), (1, 9), (3, 20)]) == [[0], [1], [2], [3]]
+    assert numbers([(0, 5), (1, 5), (2, 1)]) == [[0, 1], [2]] and lm.segments([], 10) == []
