@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from shiftloom.llm.bpe_codec import default_path, encode_documents
+from shiftloom.llm.bpe_codec import TreeEncoder, default_path, encode_documents
 from shiftloom.llm.chunk_encoder import ChunkEncoder, encode_long
 
 ALPHABETS = ["ab", "abcdefghijklmnopqrstuvwxyz", "aé日", "!.-_=", "\n\t ", "a1 ", "the'sre  　 x", "aZ.,é!?'s×", "<|endoftext|> .A", "<|ENDOFTEXT|> .A"]
@@ -29,6 +29,32 @@ def test_chunks_and_trees_give_the_librarys_ids(name):
             assert encode_long(lib, text, leaf=rng.choice([1, 7, 32])) == want
 
 
+def test_trees_join_leaves_to_the_librarys_ids():
+    """Many small leaves, cut anywhere; words, long runs without a space, special tokens across leaves."""
+    path = default_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    for leaf in (16, 40, 200):
+        coder = TreeEncoder(path, leaf)
+        texts = []
+        for k in range(60):
+            text = "".join(rng.choice(rng.choice(ALPHABETS)) if k % 2 else rng.choice(["the ", "dog.", "Ünïted", "s ", "  ", "it's ", "\n\n", "日本", "aaaa"]) for _ in range(rng.randint(0, 500)))
+            texts.append(text[:100] + "<|endoftext|>" + text[100:] if k % 3 == 0 else text)
+        raw = [t.encode() for t in [*texts, "", "x" * 7000, "日" * 900]]
+        got, bounds = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+        for x, a, b in zip(raw, bounds[:-1], bounds[1:], strict=True):
+            assert got[a:b].tolist() == lib.encode(x.decode(), add_special_tokens=False).ids
+        assert coder.joins >= sum(len(x) for x in raw) // (2 * leaf) and coder.grown > 0
+
+
+def test_documents_are_joined_from_leaves(spark, docs):
+    """Every text of more than one leaf goes through the tree."""
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    coder = TreeEncoder(default_path("byte_bpe_50k.json"))
+    coder.encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts]))
+    assert coder.joins >= sum(-(-len(x) // 512) - 1 for x in texts) > 50
+
+
 def test_codes_every_row(spark, docs, no_docs):
     lib = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
     got = encode_documents(docs, default_path("byte_bpe_50k.json")).collect()
