@@ -306,14 +306,15 @@ def match_gathered(cuts: DataFrame, length: int, reach: int) -> DataFrame:
     return cuts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(run, SPANS_DDL)
 
 
-PIECES = pa.schema([("core", pa.int64()), ("whole0", pa.int64()), ("whole1", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
-PIECES_DDL = "core long, whole0 long, whole1 long, doc_id long, text_hash long, first int, start int, n int"
+PIECES = pa.schema([("core", pa.int64()), ("whole0", pa.int64()), ("whole1", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("stands", pa.bool_())])
+PIECES_DDL = "core long, whole0 long, whole1 long, doc_id long, text_hash long, first int, start int, n int, known boolean, stands boolean"
 
 
 def pieces(with_runs: DataFrame, length: int, size: int, stretch: int = STRETCH) -> DataFrame:
     """Runs of windows (``parent``, ``first``: where the first possible one starts, ``start``, ``n``) cut into pieces of
     ``size`` neighbours at most. ``core`` names the bytes that all possible windows of a piece hold, its place and the
-    parent; ``whole0`` and ``whole1`` all its bytes and its place."""
+    parent; ``whole0`` and ``whole1`` all its bytes and its place. A piece is ``known`` to be a repeat if another of the same
+    chunk of rows equals it; one of these ``stands`` for the others, as does one that equals none."""
 
     def rows(batch: pa.RecordBatch, data: np.ndarray, base: np.ndarray, owner: np.ndarray, parent: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         low, high = (start - first) // size, (start + n - 1 - first) // size
@@ -330,8 +331,13 @@ def pieces(with_runs: DataFrame, length: int, size: int, stretch: int = STRETCH)
         for w in (0, 1):
             windows = rolling(data, length, w)
             wholes.append(spread(spread(windows[base[of] + begin] + own) * np.uint64(3) + spread(windows[base[of] + begin + count - 1] + place)).view(np.int64))
+        core = spread(core + own).view(np.int64)
+        order = np.lexsort((*wholes, core))
+        new = np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in (core, *wholes)], axis=0)])
+        known, stands = np.zeros((2, len(core)), bool)
+        known[order], stands[order] = ~(new & np.append(new[1:], True)), new
         take = pa.array(owner[of])
-        return batch_of(PIECES, spread(core + own).view(np.int64), *wholes, ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), head.astype(np.int32), begin.astype(np.int32), count.astype(np.int32))
+        return batch_of(PIECES, core, *wholes, ids_of(batch, "doc_id").take(take), ids_of(batch, "text_hash").take(take), head.astype(np.int32), begin.astype(np.int32), count.astype(np.int32), known, stands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in in_chunks(batches, "text", min(BUFFER, stretch)):
@@ -362,8 +368,8 @@ def match_dealt(texts: DataFrame, runs: DataFrame, length: int, hot_rows: int, s
     while True:
         of_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("parent", "first", "start", "n")).alias("runs"))
         found = write_shared(pieces(joined(texts, of_doc, "inner").select("t.*", "r.runs"), length, size, stretch), "pieces")
-        wholes = write_shared(found.groupBy(*whole_of).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "text_hash", "first", "start", "n")).alias("p")), "whole-pieces")
-        again = found.join(wholes.where("m > 1").select(*whole_of), whole_of, "left_semi")
+        wholes = write_shared(found.where("stands").groupBy(*whole_of).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "text_hash", "first", "start", "n")).alias("p")), "whole-pieces")
+        again = found.where("NOT known").join(wholes.where("m > 1").select(*whole_of), whole_of, "left_semi").unionByName(found.where("known"))
         spans_here = again.select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + length).cast("int").alias("end"))
         kinds = write_shared(wholes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "cores")
         unlike = wholes.join(kinds, "core").select("core", "kinds", "p.*")
