@@ -4,18 +4,18 @@ Counting: tasks sum words and word pairs of the training texts over about ``PRES
 them to the slice of their hash, of which there are as many as the corpus is large. A slice adds the counts up,
 quantises them on a logarithmic scale (``LEVELS``: exact at first, then steps of a quarter), and puts an n-gram of
 level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter is blocked: a probe is one 64-bit
-word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that all false
-hits in V probes together count for less than a hundredth of ``MU``; that is 10 bits a probe for each entry.
+word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that fewer
+than ``FALSE_MASS`` times ``MU`` of V pairs that aren't there are hit; that is 10 bits a probe for each entry.
 
-Scoring: the filter goes to all workers by broadcast, in segments of at most ``SEGMENT_BYTES``. While one holds it
-all, one pass over the texts does; else each pass looks up one segment's n-grams, and the levels found so far stay
+Scoring: the filter goes to all workers by broadcast, in segments of at most ``SEGMENT_BYTES``, each in parts so that the
+driver never holds one whole. While one segment holds it all, one pass over the texts does; else each pass looks up one segment's n-grams, and the levels found so far stay
 beside the text in a table. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one
 is missing, and then of those between. Then
 
-    p(w | h) = (c(h w) + MU p(w)) / (t(h) + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
+    p(w | h) = (c(h w) + MU p(w)) / (t(h) + f + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
 
-with c(h w) the middle of a level's counts, t(h) the sum of these over all words after h, and t that of c(w): so both
-sum to 1 over the vocabulary and one unknown word. t(h) is the count of h and what quantising added, which slices give
+with c(h w) the middle of a level's counts, t(h) the sum of these over all words after h, t that of c(w), and f the
+false hits in V probes, from the filter's bits: so both sum to 1 over the vocabulary and one unknown word. t(h) is the count of h and what quantising added, which slices give
 out only for pairs that it changed. The score is the sum of log10 p over all words and the end.
 
 ``base_score`` and ``n_known`` are exact. Words in a broadcast dictionary (all from a count on, the least that leaves
@@ -41,8 +41,10 @@ from .common import batch_of, in_chunks, read_table, text_col, write_shared
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
 PROBE_BITS, WORD_BITS, SEGMENT_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
-#: Share of words of the filter that hold all bits of a probe that isn't there.
-FALSE = 0.015
+#: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
+FALSE, FALSE_MASS = 0.015, 0.04
+#: Bytes of a part of the filter that the driver holds at once.
+PART_BYTES = 8 << 20
 
 
 def level_starts() -> np.ndarray:
@@ -102,8 +104,8 @@ def slices_for(texts: DataFrame) -> int:
 
 COUNTS = pa.schema([("slice", pa.int32()), ("pair", pa.bool_()), ("keys", pa.binary()), ("before", pa.binary()), ("counts", pa.binary())])
 COUNTS_DDL = "slice int, pair boolean, keys binary, before binary, counts binary"
-BLOCKS = pa.schema([("slice", pa.int32()), ("probes", pa.int32()), ("filter", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("histories", pa.list_(pa.int64())), ("surplus", pa.list_(pa.float64()))])
-BLOCKS_DDL = "slice int, probes int, filter binary, keys array<long>, counts array<long>, histories array<long>, surplus array<double>"
+BLOCKS = pa.schema([("slice", pa.int32()), ("probes", pa.int32()), ("false", pa.float64()), ("filter", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("histories", pa.list_(pa.int64())), ("surplus", pa.list_(pa.float64()))])
+BLOCKS_DDL = "slice int, probes int, false double, filter binary, keys array<long>, counts array<long>, histories array<long>, surplus array<double>"
 
 
 def probe_places(keys: np.ndarray, level: np.ndarray, probe: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +118,14 @@ def probe_places(keys: np.ndarray, level: np.ndarray, probe: int, words: np.ndar
 
 
 def probes_for(vocabulary: float, mu: float) -> int:
-    """Probes after which false hits among ``vocabulary`` words are fewer than a hundredth of ``mu``."""
-    return max(1, int(np.ceil(np.log(max(1.0, vocabulary) / (0.01 * mu)) / -np.log(FALSE))))
+    """Probes after which false hits among ``vocabulary`` words are fewer than ``FALSE_MASS`` times ``mu``."""
+    return max(1, int(np.ceil(np.log(max(1.0, vocabulary) / (FALSE_MASS * mu)) / -np.log(FALSE))))
+
+
+def false_rate(filter_: bytes, probes: int) -> float:
+    """Share of n-grams that the filter holds by chance."""
+    full = np.bitwise_count(np.frombuffer(filter_, np.uint64)) / 64.0
+    return float((full**PROBE_BITS).mean() ** probes)
 
 
 def built(keys: np.ndarray, counts: np.ndarray, probes: int) -> bytes:
@@ -187,7 +195,8 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
         some = more != 0
         history, which = np.unique(before[some], return_inverse=True)
         surplus = np.bincount(which, more[some], len(history))
-        return batch_of(BLOCKS, [number], [probes], [built(keys, counts, probes)], *[[x] for x in (word.view(np.int64), n, history.view(np.int64), surplus)])
+        made = built(keys, counts, probes)
+        return batch_of(BLOCKS, [number], [probes], [false_rate(made, probes)], [made], *[[x] for x in (word.view(np.int64), n, history.view(np.int64), surplus)])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, {False: [], True: []}  # one slice at a time
@@ -206,37 +215,39 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
 
 
 class Filter:
-    """A segment of the filter: its slices with ``words`` 64-bit words each, from ``start`` on."""
+    """Neighbouring slices of the filter: ``words`` 64-bit words each, from ``start`` on."""
 
     def __init__(self, slices: int, sizes: list[tuple[int, int, int]]) -> None:
         """Room for slices (number, probes, bytes), to be filled by ``put``."""
-        self.slices = slices
+        self.slices, self.first = slices, sizes[0][0]
         self.raw = np.zeros(sum(n for _, _, n in sizes) // 8, np.uint64)
-        self.words, self.start, self.probes = np.zeros(slices, np.uint64), np.zeros(slices, np.int64), np.zeros(slices, np.int64)
+        self.words, self.start, self.probes = np.zeros((3, sizes[-1][0] - self.first + 1), np.int64)
         at = 0
         for number, probes, n in sizes:
-            self.words[number], self.start[number], self.probes[number] = n // 8, at, probes
+            self.words[number - self.first], self.start[number - self.first], self.probes[number - self.first] = n // 8, at, probes
             at += n // 8
 
     def put(self, number: int, data: bytes) -> None:
-        self.raw[self.start[number] : self.start[number] + len(data) // 8] = np.frombuffer(data, np.uint64)
+        at = self.start[number - self.first]
+        self.raw[at : at + len(data) // 8] = np.frombuffer(data, np.uint64)
 
     def has(self, keys: np.ndarray, level: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Membership of (n-gram, level): every probe of its slice finds its bits."""
         here = np.arange(len(keys))
         for i in range(int(self.probes.max(initial=0))):
             at = where[here]
-            place, bits = probe_places(keys[here], level[here], i, self.words[at])
+            place, bits = probe_places(keys[here], level[here], i, self.words[at].astype(np.uint64))
             here = here[(self.raw[self.start[at] + place] & bits == bits) | (self.probes[at] <= i)]
         out = np.zeros(len(keys), bool)
         out[here] = True
         return out
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each n-gram by repeated probes; 0 outside the segment."""
-        where = slice_of(keys, self.slices)
+        """Level of each n-gram by repeated probes; 0 outside these slices."""
+        where = slice_of(keys, self.slices) - self.first
         low, high = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
-        at, q = np.flatnonzero(self.words[where]), 1
+        at = np.flatnonzero((where >= 0) & (where < len(self.words)))
+        at, q = at[self.words[where[at]] > 0], 1
         while len(at):
             found = self.has(keys[at], np.full(len(at), q), where[at])
             high[at[~found]] = q
@@ -250,13 +261,22 @@ class Filter:
         return low.astype(np.uint8)
 
 
-def segment_filter(blocks: DataFrame, slices: int, sizes: list[tuple[int, int, int]], step: int = 16) -> Filter:
-    """The segment's filter on the driver, fetched a few slices at a time so that only one copy is held."""
+def levels_in(parts: list[Filter], keys: np.ndarray) -> np.ndarray:
+    """Level of each n-gram in a segment that comes in parts."""
+    out = np.zeros(len(keys), np.uint8)
+    if parts:
+        part = np.searchsorted([p.first for p in parts], slice_of(keys, parts[0].slices), side="right") - 1
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(len(parts) + 1))
+        for p, a, b in zip(parts, bounds[:-1], bounds[1:], strict=True):
+            out[order[a:b]] = p.levels(keys[order[a:b]])
+    return out
+
+
+def part_of_filter(blocks: DataFrame, slices: int, sizes: list[tuple[int, int, int]]) -> Filter:
     out = Filter(slices, sizes)
-    for at in range(0, len(sizes), step):
-        part = sizes[at : at + step]
-        for number, data in blocks.where(F.col("slice").between(part[0][0], part[-1][0])).select("slice", "filter").collect():
-            out.put(number, data)
+    for number, data in blocks.where(F.col("slice").between(sizes[0][0], sizes[-1][0])).select("slice", "filter").collect():
+        out.put(number, data)
     return out
 
 
@@ -290,7 +310,7 @@ def segments(slices: list[tuple[int, int, int]], most: int) -> list[list[tuple[i
 @dataclass
 class Model:
     """What training leaves: tables of blocks (filter by slice) and of words (key, count c, sum t of what follows), the
-    dictionary (arrays by key), the count from which words are in it, N, V, and the sums t of all words and of the start."""
+    dictionary (arrays by key), the count from which words are in it, N, V, the sums t of all words and of the start, and f."""
 
     blocks: DataFrame
     words: DataFrame
@@ -301,6 +321,7 @@ class Model:
     vocabulary: int
     total: float
     start: float
+    false: float
 
 
 def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) -> Model:
@@ -333,7 +354,8 @@ def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) ->
     total = float(common or 0) + (rare.select("c", "v").mapInArrow(middles, "t double").agg(F.sum("t")).first()[0] or 0.0)
     none = np.zeros(0, np.int64)
     held = packed(words.where(F.col("c") >= top)) if top is not None else (none, none, none.astype(np.float64))
-    return Model(blocks, words, slices, held, top, int(sums[0]), int(sums[1]), total, float(start))
+    false = blocks.agg(F.avg("false")).first()[0] or 0.0
+    return Model(blocks, words, slices, held, top, int(sums[0]), int(sums[1]), total, float(start), int(sums[1]) * false)
 
 
 def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,7 +379,7 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     model = train(rows.where(~F.col("held_out")), mu, dictionary)
-    blocks, words, slices, top, n_train, start = model.blocks, model.words, model.slices, model.top, model.n_train, model.start
+    blocks, words, slices, top, n_train, start, more = model.blocks, model.words, model.slices, model.top, model.n_train, model.start, model.false + mu
     held = sc.broadcast(model.common)
     sizes = [(r[0], r[1], r[2]) for r in blocks.select("slice", "probes", F.octet_length("filter")).collect()]  # a row per slice
     todo = segments(sizes, segment_bytes)
@@ -366,15 +388,15 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
     def look_up(batches, shared, last: bool, carried: bool) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        filter_ = shared.value
+        parts = [x.value for x in shared]
         number = TaskContext.get().partitionId() << 40
         for batch, data, offsets in in_chunks(batches, "text", 1 << 20):
             word, bounds = tokens(data, offsets)
             distinct, which = np.unique(word, return_inverse=True)
             hit, exact, sums = known(distinct, held.value)
             level = np.zeros(len(distinct), np.uint8)
-            level[~hit] = filter_.levels(distinct[~hit])
-            one, two = level[which], filter_.levels(pair_keys(histories(word, bounds), word))
+            level[~hit] = levels_in(parts, distinct[~hit])
+            one, two = level[which], levels_in(parts, pair_keys(histories(word, bounds), word))
             if carried:
                 seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
                 one = np.maximum(one, np.frombuffer(b"".join(x[0] for x in seen), np.uint8))
@@ -387,9 +409,9 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
             in_common = hit[which]
             own = np.where(in_common, exact[which], MIDDLES[one])
             # Divisors of words outside the dictionary come with the join, as many as the word is there.
-            after = np.where(hit, np.log10(sums + mu), 0.0)[which]
+            after = np.where(hit, np.log10(sums + more), 0.0)[which]
             ahead = np.concatenate([[0.0], after[:-1]])
-            ahead[bounds[:-1]] = np.log10(start + mu)
+            ahead[bounds[:-1]] = np.log10(start + more)
             logs = np.log10(MIDDLES[two] + mu * (own + 0.5) / of_model) - ahead
             base = np.where(in_common, np.log10((exact + 0.5) / divisor)[which], 0.0)
             text = np.repeat(np.arange(len(batch)), np.diff(bounds))
@@ -411,16 +433,17 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
             number += len(batch)
 
     for i, segment in enumerate(todo or [[]]):
-        shared = sc.broadcast(segment_filter(blocks, slices, segment))
+        shared = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(segment, PART_BYTES)]
         last = i + 1 >= len(todo)
         step = lambda batches, shared=shared, last=last, carried=i > 0: look_up(batches, shared, last, carried)
         rows = write_shared(rows.mapInArrow(step, SCORED_DDL if last else "doc_id long, held_out boolean, text string, seen array<binary>"), "scored")
-        shared.unpersist()
+        for x in shared:
+            x.unpersist()
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     term = F.col("n") * F.log10((F.col("c") + F.lit(0.5)) / F.lit(divisor))
-    after = F.when(F.col("key") == F.lit(int(END.view(np.int64))), F.lit(0.0)).otherwise(F.col("n") * F.log10(F.coalesce("t", F.lit(0.0)) + F.lit(mu)))
+    after = F.when(F.col("key") == F.lit(int(END.view(np.int64))), F.lit(0.0)).otherwise(F.col("n") * F.log10(F.coalesce("t", F.lit(0.0)) + F.lit(more)))
     rest = met.groupBy("row").agg(F.sum(term).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(after).alias("d"))
     return rows.join(rest, "row", "left").select(
         "doc_id",
