@@ -28,10 +28,10 @@ def test_events_fold_to_final_messages(spark):
         (1, 2, 6, "delta", None, "rig"), (1, 2, 9, "delta", None, "ht"), (1, 1, 7, "edit", None, "hello"), (1, 3, 8, "message", "user", "gone"), (1, 3, 10, "delete", None, None), (None, 1, 1, "message", None, None),
     ]
     df = spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string").repartition(3)
-    out = {r.conv_id: r for r in chat.render(chat.fold_events(df)).collect()}
+    out = {r.conv_id: r for r in chat.format_events(df).collect()}
     assert chat.read_back(out[1].formatted) == [("user", "hello"), ("assistant", "right")] and chat.read_back(out[None].formatted) == [("", "")]
     assert [out[1].formatted[x.start : x.end] for x in out[1].loss] == ["right"]
-    assert chat.render(chat.fold_events(df.where("false"))).count() == 0
+    assert chat.format_events(df.where("false")).count() == 0
 
 
 def test_query_over_ties_nulls_and_a_long_conversation(spark, tmp_path):
