@@ -29,14 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/shiftloom-{spark.sparkContext.applicationId}"
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(table: DataFrame) -> None:
+    """Delete what ``write_shared`` wrote; nothing may read it any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A text column as large_string without nulls (null: empty)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

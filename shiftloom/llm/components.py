@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import drop_shared, write_shared
 
 
 def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = write_shared(small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        former, edges = edges, write_shared(small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        drop_shared(former)
         old, mark = mark, _mark(edges)
         if mark == old:
             break
