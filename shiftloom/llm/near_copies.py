@@ -5,13 +5,15 @@ one shingle) have a Jaccard likeness of ``LIKENESS`` or more. Groups are what su
 
 Equal texts are one node. A node's fingerprint has 128 bits over its distinct words: texts that share four in five
 shingles share nearly all of these, while unrelated ones share only common words. The trie self-join over sampled
-tables links fingerprints within ``BUDGET`` bits; what these links connect is a cluster. Within a cluster every pair is
-verified on the whole shingle sets, a large cluster by pairs of blocks, and only verified links make groups.
+tables links fingerprints within ``BUDGET`` bits; what these links connect is a cluster. Within a cluster of up to
+``BLOCK`` texts every pair is verified on the whole shingle sets. In a larger one the trie's own links are: first one for
+each text, then those between texts that aren't in one group yet. Only verified links make groups.
 
 The trie can miss pairs, so a prefix-filter join finds all others: with every set in one order of all shingles, sets of
-n shingles that are near copies share one of their first n - ceil(LIKENESS n) + 1. Pairs of different clusters that do
-are counted by the shingles they share there, and verified unless sizes, count and places rule the likeness out. The
-order has shingles that are common in a sample of the texts last; any order gives the same pairs.
+n shingles that are near copies share one of their first n - ceil(LIKENESS n) + 1. Pairs that do, and are neither in one
+small cluster nor in one group, are counted by the shingles they share there, and verified unless sizes, count and
+places rule the likeness out. The order has shingles that are common in a sample of the texts last; any order gives
+the same pairs.
 
 Of each group the row with the least doc_id stays; of rows with that doc_id and equal texts, one. null text: as empty;
 empty texts are copies of each other. A null doc_id stays only where a group has no other. Empty table: no rows. Further
@@ -28,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, text_col, write_shared
+from .common import free_names, in_chunks, text_col, write_shared
 from .components import components, unite
 from .e8_lattice import by_cell
 from .simhash_trie import Tables, expand, linked, majority_bits, shingles, split_by, word_set_digests
 
 WIDTH, LIKENESS = 5, 0.8
 BITS, BUDGET, TABLES, SAMPLE = 128, 18, 24, 20
-#: Members of a cluster that are compared in one task; columns of the membership matrix at once.
+#: Texts that are compared in one task; columns of the membership matrix at once.
 BLOCK, COLUMNS = 1024, 2048
 #: One text in so many is looked at for common shingles; how often these occur there at least, and the most of them.
 SAMPLED, COMMON, MOST = 16, 4, 1 << 20
@@ -108,13 +110,12 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(x, 42) for x in shingles(raw, width)]), ">u8").astype(np.uint64))
 
 
-def like_pairs(sets: list[np.ndarray], block: np.ndarray, likeness: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (of different blocks, if there are two) whose Jaccard likeness is enough; two empty sets are alike."""
+def like_pairs(sets: list[np.ndarray], likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose Jaccard likeness is enough; two empty sets are alike."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(n), size)
-    all_ = np.concatenate(sets) if n else np.zeros(0)
-    kinds, code, count = np.unique(all_, return_inverse=True, return_counts=True)
+    kinds, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[code] > 1
     row, code = row[shared], (np.cumsum(count > 1) - 1)[code[shared]]
     order = np.argsort(code, kind="stable")
@@ -125,15 +126,18 @@ def like_pairs(sets: list[np.ndarray], block: np.ndarray, likeness: float) -> It
         member = np.zeros((n, COLUMNS), np.float32)
         member[row[a:b], code[a:b] - at] = 1
         common += member @ member.T
-    union = size[:, None] + size[None, :] - common
-    alike = np.triu((common >= likeness * union) if n else common > 0, 1)
-    if n and block.min() != block.max():
-        alike &= block[:, None] != block[None, :]
-    yield np.nonzero(alike)
+    return np.nonzero(np.triu(common >= likeness * (size[:, None] + size[None, :] - common), 1))
+
+
+def like_hub(hub: np.ndarray, sets: list[np.ndarray], likeness: float) -> np.ndarray:
+    """Which of the sets have Jaccard likeness enough with ``hub``."""
+    common = np.array([np.isin(s, hub, assume_unique=True).sum() for s in sets], np.int64)
+    return np.flatnonzero(common >= likeness * (len(hub) + np.array([len(s) for s in sets]) - common))
 
 
 def other_pairs(nodes: DataFrame, clusters: DataFrame, likeness: float) -> DataFrame:
-    """Pairs (a, b) of texts of different clusters whose first shingles leave a likeness of ``likeness`` possible."""
+    """Pairs (a, b) of texts of different ``clusters`` (node, root) whose first shingles leave a likeness of ``likeness``
+    possible."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +159,8 @@ def other_pairs(nodes: DataFrame, clusters: DataFrame, likeness: float) -> DataF
         for some in split_by(np.flatnonzero(start < stop), stop - start, 1 << 20):
             a, b = expand(some, some + 1, start[some], stop[some])
             fit = np.minimum(size[a], size[b]) >= likeness * np.maximum(size[a], size[b]) - SLACK
+            # If this is the first shingle that both have, they can share what follows it and no more.
+            fit &= np.minimum(size[a] - place[a], size[b] - place[b]) >= likeness / (1 + likeness) * (size[a] + size[b]) - SLACK
             a, b = a[fit], b[fit]
             a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], size[a], size[b], place[a], place[b])], names=["a", "b", "size_a", "size_b", "place_a", "place_b"])
@@ -164,58 +170,83 @@ def other_pairs(nodes: DataFrame, clusters: DataFrame, likeness: float) -> DataF
     ordered = dealt.repartition(parts, "key").sortWithinPartitions("key").select("key", F.lit(0).alias("part"), F.coalesce("root", "node").alias("root"), "node", "size", "place")
     met = ordered.mapInArrow(lambda batches: by_cell(batches, meet), "a long, b long, size_a int, size_b int, place_a int, place_b int")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size_a", "size_b", "place_a", "place_b")])
-    # What is shared besides lies beyond the first shingles of one set, and in both beyond the last that is shared there.
-    beyond = F.greatest(*[F.ceil(likeness * F.col(c) - SLACK) - 1 for c in ("size_a", "size_b")])
+    # What is shared besides lies, in both sets, beyond the last of these.
     after = F.least(F.expr("size_a - place_a - 1"), F.expr("size_b - place_b - 1"))
     enough = F.ceil(likeness / (1 + likeness) * F.expr("size_a + size_b") - SLACK)
-    return pairs.where(F.col("n") + F.least(beyond, after) >= enough).select("a", "b")
+    return pairs.where(F.col("n") + after >= enough).select("a", "b")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int, likeness: float) -> DataFrame:
-    """Links (a, b) that connect what the cluster's pairs of near copies connect."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = clusters.join(sizes, "root").join(nodes.select("node", "least"), "node").withColumn("block", F.pmod(F.xxhash64("node", "root"), F.col("blocks")).cast("int"))
+def compared(docs: DataFrame, members: DataFrame, width: int, likeness: float) -> DataFrame:
+    """Links (a, b) that connect what the near copies in each cell of ``members`` (cell, block, hub, node, least) connect: all
+    its pairs or, where it has a hub, those with the hub."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text")).withColumn("node", F.xxhash64("text"))
-    rows = texts.join(member.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).select("root", "pair", "block", "node", "text")
+    rows = texts.join(members.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("cell", "block", "hub", "node", "text")
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.column_stack([rows.column(i).to_numpy() for i in (0, 1)])
         ends = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
-        block, node, texts = rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4)
+        hub, node, texts = rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy(), rows.column(4)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             own, first = np.unique(node[a:b], return_index=True)
             if len(own) < 2:
                 continue
             sets = [shingle_set(texts[a + int(i)].as_py().encode(), width) for i in first]
-            parent = np.arange(len(own))
-            for i, j in like_pairs(sets, block[a:b][first], likeness):
-                parent = unite(parent, i, j)
-            at = np.flatnonzero(parent != np.arange(len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[parent[at]])], names=["a", "b"])
-
-    ordered = rows.repartition(parts, "root", "pair").sortWithinPartitions("root", "pair")
+            at = np.flatnonzero(hub[a:b][first])
+            if len(at):
+                like = like_hub(sets[at[0]], sets, likeness)
+                like = like[like != at[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[like]), pa.array(np.full(len(like), own[at[0]]))], names=["a", "b"])
+            else:
+                parent = unite(np.arange(len(own)), *like_pairs(sets, likeness))
+                at = np.flatnonzero(parent != np.arange(len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[parent[at]])], names=["a", "b"])
+
+    ordered = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block")
     return ordered.mapInArrow(lambda batches: by_cell(batches, compare, 512), "a long, b long")
 
 
+def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, likeness: float) -> DataFrame:
+    """Those of the links (a, b) that are near copies. All of one b are stars around it, of ``BLOCK`` links or so."""
+    many = links.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rays = links.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
+    hubs = many.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    members = rays.select(F.col("b").alias("cell"), "block", F.lit(False).alias("hub"), F.col("a").alias("node")).unionByName(hubs.select(F.col("b").alias("cell"), "block", F.lit(True).alias("hub"), F.col("b").alias("node")))
+    return compared(docs, members.join(nodes.select("node", "least"), "node"), width, likeness)
+
+
+def labels_and_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, width: int, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of texts whose pairs need no other look, and the verified links among the trie's clusters."""
+    links = write_shared(near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "trie-links")
+    clusters = write_shared(components(links), "clusters")
+    large = write_shared(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root"), "large-clusters")
+    small = clusters.join(large, "root", "left_anti")
+    members = small.select(F.col("root").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("hub"), "node").join(nodes.select("node", "least"), "node")
+    found = compared(docs, members, width, likeness)
+    if large.isEmpty():
+        return clusters, found
+    within = links.join(clusters.join(large, "root", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    first = write_shared(verified(docs, nodes, within.groupBy("a").agg(F.min("b").alias("b")), width, likeness), "first-links")
+    groups = components(first)
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = within.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
+    second = write_shared(verified(docs, nodes, apart, width, likeness), "second-links")
+    both = first.unionByName(second)
+    return small.select("node", "root").unionByName(components(both)), found.unionByName(both)
+
+
 def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
     nodes = write_shared(text_nodes(docs, width, likeness), "text-nodes")
     near = linked(nodes.select("node", "w0", "w1"), Tables.sampled(BITS, BUDGET, TABLES, SAMPLE))
-    clusters = write_shared(components(near), "clusters")
-    # A pair is verified as a cluster of its own.
-    pairs = write_shared(other_pairs(nodes, clusters, likeness), "other-pairs")
-    both = clusters.select("node", "root").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("root")))
-    groups = components(verified(docs, nodes, both, width, likeness))
+    labels, found = labels_and_links(docs, nodes, near, width, likeness)
+    pairs = write_shared(other_pairs(nodes, labels, likeness), "other-pairs")
+    groups = components(found.unionByName(verified(docs, nodes, pairs, width, likeness)))
     rooted = nodes.join(groups, "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
     # The least row of each group, by doc_id, then by node where doc_ids are equal or null.
     rank = F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "check")
     stay = write_shared(rooted.groupBy("root").agg(F.min(rank).alias("r")).select("r.node", "r.check", "r.least"), "staying")
-    # Names that no column of ``docs`` has.
-    node, check = (f"{'_' * 2}near_copies_{c}" for c in ("node", "check"))
+    node, check = free_names(docs, "node", "check")
     keyed = docs.withColumn(node, F.xxhash64(text_col())).withColumn(check, F.xxhash64(F.lit(1), text_col())).alias("d")
     same = F.expr(f"d.{node} = s.node AND d.{check} = s.check AND d.doc_id <=> s.least")
     kept = keyed.join(stay.alias("s").hint("shuffle_hash"), same, "left_semi").alias("d")

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shiftloom.llm.components import components, unite
+from shiftloom.llm import near_copies
 from shiftloom.llm.near_copies import without_near_copies
 from shiftloom.llm.simhash_trie import Tables, fingerprint_table, linked, majority_bits, three_word_digests, trie_join
 
@@ -103,7 +104,10 @@ def alike(a, b):
     return not a and not b or bool(a | b) and len(a & b) >= 0.8 * len(a | b)
 
 
-def test_one_row_of_each_group_of_near_copies_stays(spark, docs, no_docs):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_one_row_of_each_group_of_near_copies_stays(spark, docs, no_docs, monkeypatch, block):
+    """With whole clusters compared, and with the trie's links and the prefix-filter join for all of more than three texts."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = random.Random(3)
     rows = []
     for g in range(6):
