@@ -115,6 +115,7 @@ def meet(one_home, one_visits, two_home, two_visits) -> tuple[np.ndarray, np.nda
 def matrix_of(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = values.reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -196,11 +197,14 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, hot_cell: int = HOT_CEL
                         yield batch_of(CELLS, keys.ravel().view(np.int64), np.repeat(table, each), np.full(keys.size, at_home), np.repeat(node, many), np.repeat(sign[:, 0], many), np.repeat(sign[:, 1], many))
 
     cells = write_shared(nodes.select("node", "embedding").mapInArrow(place, CELLS_DDL), "cells")
-    hot = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_cell)
-    blocks = F.coalesce(F.ceil(F.col("n") / hot_cell), F.lit(1)).cast("int")
-    rows = cells.join(hot, "cell", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    hot = write_shared(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_cell), "hot-cells")
+    if hot.isEmpty():
+        rows = cells.withColumn("block", F.lit(0)).withColumn("pair", F.lit(0))
+    else:
+        blocks = F.coalesce(F.ceil(F.col("n") / hot_cell), F.lit(1)).cast("int")
+        rows = cells.join(hot, "cell", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
     rows = rows.select("cell", "pair", "tbl", "home", "node", "block", "s0", "s1").repartition(parts, "cell", "pair").sortWithinPartitions("cell", "pair")
 
     def sift_rows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
