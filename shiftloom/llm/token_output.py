@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .bpe_codec import default_path
-from .chunk_encoder import encoder
-from .common import ids_of, in_chunks, read_table
+from .chunk_encoder import encoder, library
+from .common import ids_of, in_chunks, read_table, shared_path
 from .histogram_packing import cut_pieces, with_ends
 
 CAPACITY, END_ID, WINDOW_TOKENS = 2048, 50256, 8 << 20
@@ -141,6 +140,11 @@ NO_ID = np.iinfo(np.int64).min
 
 def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, pad_id: int = 0, window_tokens: int = WINDOW_TOKENS, dtype: str = "<u2") -> DataFrame:
     """Sequences as described above; a sequence_id is the task's number x 2^40 plus a running number."""
+    ids, most = library(path).get_vocab_size(with_added_tokens=True), np.iinfo(dtype).max
+    if max(ids - 1, end_id, pad_id) > most:
+        raise ValueError(f"ids up to {max(ids - 1, end_id, pad_id)} don't fit {dtype}: take '<u4'")
+    if capacity > np.iinfo("<u2").max:
+        raise ValueError("positions are kept as uint16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,6 +175,7 @@ def write_matrices(packed: DataFrame, path: str) -> None:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence; the id matrix' row as binary, positions as their CRC-32 beside the boundaries they follow from."""
-    packed = packed_sequences(read_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
-    return packed.withColumn("position_crc32", F.crc32("position_ids")).drop("position_ids")
+    """Every sequence, read back from the written matrices."""
+    path = shared_path(spark, "id-matrices")
+    write_matrices(packed_sequences(read_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")), path)
+    return spark.read.schema(SEQUENCES_DDL).parquet(path)
