@@ -17,21 +17,24 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_col
+from .common import free_names, read_table, text_col
 
 K, WIDTH = 128, 5
+#: Bytes of text of a range of doc_ids, and most ranges.
+RANGE_BYTES, RANGES = 64 << 20, 1 << 13
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, width: int = WIDTH) -> DataFrame:
     """``df`` with the column ``out``: the sorted ``k`` least shingle hashes of the column ``text`` (no nulls)."""
-    words = F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    df = df.withColumn("_words", words)
-    shingle = lambda i: F.xxhash64(*[F.col("_words")[i + j] for j in range(width)])
-    some = F.when(F.size("_words") >= width, F.transform(F.sequence(F.lit(0), F.size("_words") - width), shingle))
-    few = F.when(F.size("_words") > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_shingles", F.coalesce(some, few)).drop("_words")
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct("_shingles")), 1, k)).drop("_shingles")
+    words_, shingles_ = free_names(df, "words", "shingles")
+    words = F.transform(F.filter(F.split(F.col(text), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    df = df.withColumn(words_, words)
+    shingle = lambda i: F.xxhash64(*[F.col(words_)[i + j] for j in range(width)])
+    some = F.when(F.size(words_) >= width, F.transform(F.sequence(F.lit(0), F.size(words_) - width), shingle))
+    few = F.when(F.size(words_) > 0, F.array(F.xxhash64(words_))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(shingles_, F.coalesce(some, few)).drop(words_)
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(shingles_)), 1, k)).drop(shingles_)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -72,9 +75,13 @@ def printed(a: Column) -> Column:
 
 
 def with_range(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, list[tuple[int, int | None]]]:
-    """``df`` with ``_range``, the number of its range of ``key`` (about equal in rows), and (range, least key) of each."""
-    ends = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    ends = sorted(set(ends))
+    """``df`` with ``_range``, the number of its range of ``key`` (about equal in rows; at least ``parts``, more where they
+    would be of over ``RANGE_BYTES``), and (range, least key) of each."""
+    size = sum(F.octet_length(c) for c, t in df.dtypes if t == "string")
+    most = max(parts, RANGES)
+    ends, total = df.agg(F.percentile_approx(key, [i / most for i in range(1, most)], 4 * most), F.sum(size)).first()
+    parts = max(parts, min(most, (total or 0) // RANGE_BYTES))
+    ends = sorted({x for i, x in enumerate(ends or []) if (i + 1) * parts // most != i * parts // most})
     step = isqrt(len(ends)) + 1
     all_, coarse = F.lit(ends).cast("array<bigint>"), F.lit(ends[step - 1 :: step]).cast("array<bigint>")
     c = F.size(F.filter(coarse, lambda x: x <= F.col("_key")))
