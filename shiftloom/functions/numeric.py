@@ -54,10 +54,31 @@ def log_perplexity(p: Column) -> Column:
 
 
 def number_or_zero(x: Column) -> Column:
-    value = F.expr("try_cast(__x AS double)") if isinstance(x, str) else x.try_cast("double")
+    """A number from any column; what is none, or NaN, is 0."""
+    value = x.try_cast("double")
     return F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value)
 
 
 def log_change(a: Column, b: Column) -> Column:
     """log10(b / a), floored and scaled to -1 .. 1 (for colours)."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log10(F.greatest(b, F.lit(1e-7)) / F.greatest(a, F.lit(1e-7))) / F.lit(1.5)))
+
+
+def change_colour(a: Column, b: Column, alpha: str = "0.6") -> Column:
+    """Colour of a change: blue for a rise, red for a fall, grey between (as ``rgba(r,g,b,alpha)``)."""
+    t = F.round(log_change(a, b), 9)
+    grey = F.lit(1.0) - F.abs(t)
+    shade = lambda x: F.floor(x).cast("string")
+    red, blue = (F.lit(200.0) * F.greatest(s, F.lit(0.0)) + F.lit(120.0) * grey for s in (-t, t))
+    return F.concat(F.lit("rgba("), shade(red), F.lit(","), shade(F.lit(100.0) * grey + F.lit(80.0)), F.lit(","), shade(blue), F.lit(f",{alpha})"))
+
+
+def ordering(base: Column, sft: Column, dpo: Column) -> Column:
+    """How three stages follow each other, without a threshold."""
+    return (
+        F.when((base > sft) & (sft > dpo), "falls")
+        .when((base < sft) & (sft < dpo), "rises")
+        .when((base > sft) & (sft < dpo), "falls, then rises")
+        .when((base < sft) & (sft > dpo), "rises, then falls")
+        .otherwise("other")
+    )

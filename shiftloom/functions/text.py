@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import STAGE_ALIASES
+from ..schemas import STAGE_ALIASES, STAGE_LABELS
 
 # What is stripped from a generated first word, and from a discovered word.
 FIRST_WORD_STRIP = ".,;:!?\"()[]"
@@ -57,6 +57,39 @@ def category_of(label: Column) -> Column:
     return F.regexp_replace(label, r"_\d+$", "")
 
 
+# Names of the nine categories of prompts, by what their labels begin with.
+CATEGORY_NAMES = {
+    "sexual_liminal": "sexual (liminal)",
+    "sexual_explicit": "sexual (explicit)",
+    "violence_liminal": "violence (liminal)",
+    "violence_explicit": "violence (explicit)",
+    "death": "death",
+    "power": "power",
+    "profanity": "profanity",
+    "substance": "substance",
+    "neutral": "neutral",
+}
+
+
+def coarse_category(label: Column) -> Column:
+    """One of five categories by the beginning of a label."""
+    out = F.when(label.startswith("sexual_liminal"), "sexual (liminal)").when(label.startswith("sexual_explicit"), "sexual (explicit)")
+    return out.when(label.startswith("violence"), "violence").when(label.startswith("neutral"), "neutral").otherwise("other")
+
+
+def full_category(label: Column) -> Column:
+    """One of nine categories: a label that ends in a digit less what follows its last underscore; others stay as they are."""
+    stem = F.when(label.rlike(r"\d$"), F.regexp_replace(label, r"_[^_]*$", "")).otherwise(label)
+    known = F.create_map(*[F.lit(x) for kv in CATEGORY_NAMES.items() for x in kv])
+    return F.coalesce(known[stem], stem)
+
+
+def stage_label(stage: Column) -> Column:
+    """How a stage is captioned; others stay."""
+    known = F.create_map(*[F.lit(x) for kv in STAGE_LABELS.items() for x in kv])
+    return F.coalesce(known[stage], stage)
+
+
 def slug(prompt: Column) -> Column:
     """For file names: lower case, runs of other than letters and digits to one underscore, fifty characters, stripped."""
     return F.btrim(F.substring(F.regexp_replace(F.lower(F.trim(prompt)), "[^a-z0-9]+", "_"), 1, 50), F.lit("_"))

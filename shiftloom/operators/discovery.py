@@ -51,3 +51,12 @@ def word_logprobs(candidates: DataFrame, first: DataFrame, moves: DataFrame, siz
     rest = steps.join(moves.select("prompt", "cur", "nxt", "lp"), ["prompt", "cur", "nxt"]).groupBy("prompt", "word").agg(F.sum("lp").alias("rlp"))
     head = cut.select("prompt", "word", F.col("pieces")[0].alias("cur")).join(firsts, ["prompt", "cur"])
     return softmax(head.join(rest, ["prompt", "word"]).withColumn("logp", F.round(F.col("flp") + F.col("rlp"), 12)), ["prompt"], "logp", "prob")
+
+
+def first_piece_scores(candidates: DataFrame, first: DataFrame) -> DataFrame:
+    """(prompt, word, prob): each candidate (prompt, word, piece) scored by its first piece alone, so words that begin with
+    the same piece score the same. One without a piece, or with one that no word of the prompt begins with, drops out."""
+    total = F.sum("n").over(Window.partitionBy("prompt"))
+    known = first.select("prompt", "piece", (F.col("n") / total).alias("p"))
+    scored = candidates.join(known, ["prompt", "piece"])
+    return scored.select("prompt", "word", (F.col("p") / F.sum("p").over(Window.partitionBy("prompt"))).alias("prob"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
 from ..functions.text import first_token, first_word, is_real_word
+from .blocks import distance_sums
 
 
 def first_words(gens: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,14 +64,10 @@ def mean_cosine(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def silhouette(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Mean silhouette of the models' passages (Euclidean), over models with two passages or more and groups with two
-    such models. Distances are between distinct vectors, weighted by their counts."""
+    such models. Distances are between distinct vectors, weighted by their counts, and worked out by pairs of blocks."""
     size = F.sum("n").over(Window.partitionBy(*keys, "model"))
     rows = counted.withColumn("size", size).where("size > 1")
-    a = rows.select(*keys, F.col("model").alias("m"), F.col("vec_row").alias("i"), F.col("n").alias("ni"), F.col("vec").alias("v"))
-    b = rows.select(*keys, F.col("model").alias("o"), F.col("vec_row").alias("j"), F.col("n").alias("nj"), F.col("size").alias("so"), F.col("vec").alias("w"))
-    square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    d = a.join(b, keys).withColumn("d", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.sqrt(square)))
-    means = d.groupBy(*keys, "m", "i", "ni", "o", "so").agg(F.sum(F.col("nj") * F.col("d")).alias("t"))
+    means = distance_sums(rows, keys)
     own = F.max(F.when(F.col("o") == F.col("m"), F.col("t") / (F.col("so") - 1)))
     other = F.min(F.when(F.col("o") != F.col("m"), F.col("t") / F.col("so")))
     s = means.groupBy(*keys, "m", "i", "ni").agg(own.alias("a"), other.alias("b")).where("b IS NOT NULL")
@@ -89,7 +86,7 @@ def concept_axis(seeds: DataFrame) -> DataFrame:
 
 def concept_scores(counted: DataFrame, axis: DataFrame, keys: list[str]) -> DataFrame:
     """Mean score of each group's passages along each axis (an axis has a row per dimension)."""
-    each = counted.select(*keys, "n", F.posexplode("vec").alias("dim", "x")).join(F.broadcast(axis), "dim")
+    each = counted.select(*keys, "n", F.posexplode("vec").alias("dim", "x")).join(axis, "dim")
     dims = each.groupBy(*keys, "axis", "dim", "w", "mid").agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("c"))
     return dims.groupBy(*keys, "axis").agg(F.sum((F.col("c") - F.col("mid")) * F.col("w")).alias("mean_score"))
 

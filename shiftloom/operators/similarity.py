@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
+from .blocks import best_across, nearest
 
 
 def movement(wide: DataFrame, threshold: float, least: float) -> DataFrame:
@@ -55,11 +56,8 @@ def orphans(moves: DataFrame, pairs: DataFrame) -> DataFrame:
 def overdetermination(vectors: DataFrame, probs: DataFrame, k: int) -> DataFrame:
     """Per prompt, entropy of the base probabilities of each token's ``k`` nearest tokens, itself among them. ``vectors``
     (token_id, vec) of one vocabulary, ``probs`` (prompt, token_id, prob)."""
-    a = vectors.select(F.lit(0).alias("g"), F.col("token_id").alias("anchor"), F.col("vec").alias("av"))
-    b = vectors.select(F.lit(0).alias("g"), "token_id", F.col("vec").alias("bv"))
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    sim = a.join(b, "g").select("anchor", "token_id", F.round(dot(F.col("av"), F.col("bv")) / (norm("av") * norm("bv")), 9).alias("sim"))
-    near = sim.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("sim"), "token_id"))).where(F.col("_n") <= k).select("anchor", "token_id")
+    near = nearest(vectors, "token_id", k)
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("sim"), "token_id"))).where(F.col("_n") <= k).select("anchor", "token_id")
     each = probs.join(near, "token_id")
     p = F.col("prob") / F.sum("prob").over(Window.partitionBy("prompt", "anchor"))
     return each.withColumn("p", p).groupBy("prompt", "anchor").agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-10)))).alias("entropy"))
@@ -95,11 +93,9 @@ def permutation_mean(items: DataFrame, permutations: int) -> DataFrame:
 
 
 def permutation_best(items: DataFrame, permutations: int) -> DataFrame:
-    """Mean over group 0 of the best match in group 1, against shuffled groups. Similarities are worked out once."""
-    a = items.select(F.lit(0).alias("g"), F.col("id").alias("a"), F.col("vec").alias("av"))
-    b = items.select(F.lit(0).alias("g"), F.col("id").alias("b"), F.col("vec").alias("bv"))
-    sims = a.join(b, "g").where("a <> b").select("a", "b", dot(F.col("av"), F.col("bv")).alias("sim"))
+    """Mean over group 0 of the best match in group 1, against shuffled groups. Similarities are worked out once for all
+    permutations, by pairs of blocks."""
     groups = shuffled_groups(items.select("id", "grp"), permutations)
-    left, right = groups.where("grp = 0").select("perm", F.col("id").alias("a")), groups.where("grp = 1").select("perm", F.col("id").alias("b"))
-    best = sims.join(left, "a").join(right, ["perm", "b"]).groupBy("perm", "a").agg(F.max("sim").alias("m"))
+    masks = groups.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "grp"))), lambda x: x["grp"].cast("tinyint")).alias("grps"))
+    best = best_across(items.select(F.col("id").cast("long").alias("id"), "vec"), masks)
     return p_value(best.groupBy("perm").agg(F.avg("m").alias("value")), "value")

@@ -10,7 +10,7 @@ from .distributions import metrics
 
 def smoothed(counts: DataFrame) -> DataFrame:
     """(step, label, token, p): add-one probabilities on the grid of all steps, labels and tokens (a registry each)."""
-    grid = counts.select("step", "label").distinct().crossJoin(F.broadcast(counts.select("token").distinct()))
+    grid = counts.select("step", "label").distinct().crossJoin(counts.select("token").distinct())
     full = grid.join(counts, ["step", "label", "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy("step", "label")
     return full.withColumn("p", (F.col("n") + F.lit(1.0)) / (F.sum("n").over(w) + F.count(F.lit(1)).over(w))).drop("n")
@@ -30,7 +30,7 @@ def step_metrics(probs: DataFrame, k: int) -> DataFrame:
 def step_words(probs: DataFrame, tracked: DataFrame) -> DataFrame:
     """Tracked tokens per step; a token's category is that of the first list that has it, else ``empirical``."""
     first = tracked.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy("ord"))).where("_n = 1").select("token", "category")
-    rows = against_base(probs).join(F.broadcast(first), "token")
+    rows = against_base(probs).join(first, "token")
     return rows.select("step", "label", "token", F.coalesce("category", F.lit("empirical")).alias("word_category"), F.col("pb").alias("probability"), F.col("pa").alias("base_probability"), (F.col("pb") - F.col("pa")).alias("delta"))
 
 
@@ -47,4 +47,4 @@ def lag_pair(probs: DataFrame) -> DataFrame:
     change = rows.withColumn("last", last).where("step = last").withColumn("d", F.round(F.col("pb") - F.col("pa"), 12))
     pick = lambda order, name: change.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(order, "token"))).where("_n = 1").select("label", "token", F.lit(name).alias("series"))
     chosen = pick(F.asc("d"), "falling").unionByName(pick(F.desc("d"), "rising"))
-    return probs.join(F.broadcast(chosen), ["label", "token"]).select("label", "series", "token", "step", F.col("p").alias("probability"))
+    return probs.join(chosen, ["label", "token"]).select("label", "series", "token", "step", F.col("p").alias("probability"))

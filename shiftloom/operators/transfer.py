@@ -42,7 +42,7 @@ def redistributed(wide: DataFrame, gone: DataFrame, allowed: DataFrame, links: D
     mass = wide.where("dpo > 0").select("prompt", "word", "dpo").join(gain, ["prompt", "word"], "left").withColumn("m", F.col("dpo") + F.coalesce("gain", F.lit(0.0)))
     both = gone.select("prompt").distinct().join(allowed.select("prompt").distinct(), "prompt").withColumn("works", F.lit(True))
     total = F.sum("m").over(Window.partitionBy("prompt"))
-    return mass.join(F.broadcast(both), "prompt", "left").select("prompt", "word", F.when(F.col("works") & (total > 0), F.col("m") / total).otherwise(F.col("dpo")).alias("prob"))
+    return mass.join(both, "prompt", "left").select("prompt", "word", F.when(F.col("works") & (total > 0), F.col("m") / total).otherwise(F.col("dpo")).alias("prob"))
 
 
 def absorption(links: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import distributions, shift, similarity, transfer
+from ..operators import distributions, reports, shift, similarity, transfer
+from ..sources.tables import KeyedTable
 
 
 @dataclass
@@ -64,6 +65,39 @@ class Engine:
         moved = transfer.redistributed(self.stages, gone, allowed, links)
         return {"suppressed": gone, "edges": links, "transferred": moved, "absorption": transfer.absorption(links), "analysis": transfer.analysis(self.stages, moved, gone, links)}
 
+    def focused_shift(self, a: str = "base", b: str = "sft", k: int = 20) -> DataFrame:
+        """The shift over the union of all stages' first ``k`` tokens, each stage scored on all of them."""
+        logits = self._need("token_logits")
+        first = distributions.top_k(logits, ["prompt", "layer"], [F.desc("logit"), "token_id"], k)
+        scored = distributions.restricted(logits, first, ["prompt"], "token_id").withColumn("word", F.col("token").cast("string"))
+        return shift.shift_table(distributions.merged_stages(scored, ["prompt"]), a, b, self.threshold)
+
+    def analyze(self, prompts: DataFrame) -> "Engine":
+        """The engine for some prompts (a column ``prompt``) alone."""
+        of = lambda t: None if t is None else t.join(prompts.select("prompt").distinct(), "prompt", "left_semi")
+        return Engine(of(self.word_dist), of(self.token_logits), of(self.word_vec), self.threshold, self.net_layers, self.labels)
+
+    def cached_formation(self, cache: KeyedTable, prompts: DataFrame, batch: int = 0) -> DataFrame:
+        """The formation of the prompts, worked out only for those that the cache (keyed by prompt) lacks."""
+        return cache.read_through(prompts, lambda missing: self.analyze(missing).formation(), batch)
+
+    def formation_report(self, least: float = 0.005, n: int = 15) -> DataFrame:
+        """Lines of text: what each stage brings in and takes away."""
+        out = None
+        for a, b, down, up in (("base", "sft", "sublimated", "introduced"), ("sft", "dpo", "repressed", "amplified"), ("dpo", "rlvr", "further suppressed", "further amplified")):
+            part = reports.shift_sections(self.shift(a, b), down, up, least, n)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def shift_report(self, n: int = 15) -> DataFrame:
+        return reports.ratio_sections(self.shift("sft", "dpo"), n)
+
+    def metrics_report(self, k: int = 50) -> DataFrame:
+        return reports.metric_lines(self.metrics(k))
+
+    def pairs_report(self, n: int = 25) -> DataFrame:
+        return reports.pair_lines(self.displacement_map()["pairs"], n)
+
     def report(self, n: int = 10) -> DataFrame:
         """Lines of text: the largest shifts of each prompt, largest first."""
         rows = self.shift("sft", "dpo").where("down OR up").withColumn("size", F.abs("delta"))

@@ -12,6 +12,7 @@ from ..functions.text import category_of, part_of_speech
 from ..operators import discovery, distributions, generations, lens, sampling, shift, similarity, stats, steps, taxonomy, transfer
 from ..schemas import LAYERS
 from ..sources import bindings as b
+from ..sources.shared import write_shared
 from .oracle import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +34,23 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
     return df.select(*[F.round(c, places.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = b.stage_counts(b.tokens(spark, sf_dir), "prompt")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.stage_counts(b.tokens(spark, sf_dir), "prompt")
+
+
+def wide_of(counts: DataFrame) -> DataFrame:
     return distributions.merged_stages(distributions.word_distribution(b.long_counts(counts, "prompt"), ["prompt"], TOP), ["prompt"])
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_of(word_counts(spark, sf_dir))
+
+
+def kept_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``wide`` as a table, for queries that read it more than once: the documents are scanned once."""
+    return write_shared(wide(spark, sf_dir), "wide")
+
+
 def token_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.softmax(b.token_logits(spark, sf_dir), ["prompt", "layer"])
 
@@ -176,8 +189,8 @@ def score_vocabulary(spark, sf_dir):
     return rounded(distributions.restricted(logits, vocabulary, ["prompt"], "token_id").select("prompt", "layer", "token_id", "prob"))
 
 
-def moves_and_sims(spark, sf_dir):
-    w = wide(spark, sf_dir)
+def moves_and_sims(spark, sf_dir, w: DataFrame | None = None):
+    w = kept_wide(spark, sf_dir) if w is None else w
     moves = similarity.movement(w, SHIFT, LEAST)
     return moves, similarity.similarity_join(moves, b.word_vectors(w, spark, sf_dir, NET_LAYERS))
 
@@ -187,9 +200,13 @@ def sim_pairs(spark, sf_dir):
     return rounded(moves_and_sims(spark, sf_dir)[1].where(F.col("sim") >= SIMILAR).withColumnRenamed("sim", "similarity"))
 
 
+def _best_links(spark, sf_dir, w: DataFrame | None = None):
+    return similarity.best_links(moves_and_sims(spark, sf_dir, w)[1], MIDDLE, SIMILAR)
+
+
 @query
 def best_links(spark, sf_dir):
-    return similarity.best_links(moves_and_sims(spark, sf_dir)[1], MIDDLE, SIMILAR)
+    return _best_links(spark, sf_dir)
 
 
 @query
@@ -218,8 +235,9 @@ def source_ranking(spark, sf_dir):
 @query
 def formation_links(spark, sf_dir):
     """The formation of every word that has a best source, beside it (left join)."""
-    links = best_links(spark, sf_dir).where("link = 'source' AND axis = 'sublimation'").select("prompt", "word", F.col("other").alias("sublimated_from"), "similarity")
-    f = formation_table(spark, sf_dir).select("prompt", F.col("word").alias("sublimated_from"), F.col("base").alias("source_base"), F.col("sft").alias("source_sft"))
+    w = kept_wide(spark, sf_dir)
+    links = _best_links(spark, sf_dir, w).where("link = 'source' AND axis = 'sublimation'").select("prompt", "word", F.col("other").alias("sublimated_from"), "similarity")
+    f = shift.formation(w, threshold=SHIFT).select("prompt", F.col("word").alias("sublimated_from"), F.col("base").alias("source_base"), F.col("sft").alias("source_sft"))
     return links.join(f, ["prompt", "sublimated_from"], "left")
 
 
@@ -255,7 +273,7 @@ def perm_test_best_1000(spark, sf_dir):
 
 
 def _transfer(spark, sf_dir, version: int = 4):
-    w = wide(spark, sf_dir)
+    w = kept_wide(spark, sf_dir)
     gone = transfer.suppressed(w, 0.0002)
     allowed = transfer.permitted(w, gone, 0.0005)
     vectors = b.word_vectors(w, spark, sf_dir, (MIDDLE,))
@@ -440,18 +458,23 @@ def step_category(spark, sf_dir):
 
 @query
 def perplexity(spark, sf_dir):
-    """Benchmark passages under the corpus' add-one bigram model."""
+    """Benchmark passages under the corpus' add-one bigram model. Only the pairs that are asked for are counted; words are
+    counted once for the vocabulary and for how often each is followed by another."""
+
+    def words_of(name: str, key: str) -> DataFrame:
+        return b.table(spark, sf_dir, name).select(key, F.filter(F.split(F.lower("text"), b.WORD_SPLIT), lambda w: w != "").alias("w"))
 
-    def bigrams(rows: DataFrame, key: str) -> DataFrame:
-        words = rows.select(key, F.filter(F.split(F.lower("text"), b.WORD_SPLIT), lambda w: w != "").alias("w"))
+    def bigrams(words: DataFrame, key: str) -> DataFrame:
         pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.col("w")[i - 1].alias("a"), F.col("w")[i].alias("c"))))
         return words.select(key, F.explode_outer(pairs).alias("x")).select(key, "x.a", "x.c")
 
-    corpus = bigrams(b.table(spark, sf_dir, "documents"), "doc_id").where("a IS NOT NULL").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
-    firsts = corpus.groupBy("a").agg(F.sum("n").alias("na"))
-    size = b.tokens(spark, sf_dir).agg(F.countDistinct("word").alias("v"))
-    asked = bigrams(b.table(spark, sf_dir, "benchmark"), "item_id").join(corpus, ["a", "c"], "left").join(firsts, "a", "left").crossJoin(F.broadcast(size))
-    logp = F.when(F.col("a").isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + F.lit(1.0)) / (F.coalesce("na", F.lit(0)) + F.col("v"))))
+    asked = bigrams(words_of("benchmark", "item_id"), "item_id")
+    pairs = asked.where("a IS NOT NULL").select("a", "c").distinct()
+    corpus = bigrams(words_of("documents", "doc_id"), "doc_id").join(pairs, ["a", "c"], "left_semi").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+    each = words_of("documents", "doc_id").select(F.posexplode("w").alias("i", "a"), F.size("w").alias("many"))
+    counts = write_shared(each.groupBy("a").agg(F.count(F.when(F.col("i") < F.col("many") - 1, 1)).alias("na")), "followed-words")
+    asked = asked.join(corpus, ["a", "c"], "left").join(counts, "a", "left")
+    logp = F.when(F.col("a").isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + F.lit(1.0)) / (F.coalesce("na", F.lit(0)) + F.lit(counts.count()))))
     return rounded(distributions.perplexity(asked.withColumn("logp", logp), ["item_id"]), perplexity=4)
 
 
@@ -474,29 +497,31 @@ def lens_peak(spark, sf_dir):
     return rounded(lens.peaks(_lens(spark, sf_dir)), probability=8)
 
 
-def _taxonomy(spark, sf_dir):
-    counts = b.stage_counts(b.tokens(spark, sf_dir), "prompt")
-    frequency = taxonomy.zipf(counts.groupBy("word").agg(F.sum("n_base").alias("n")))
-    lexicon = frequency.withColumn("pos", part_of_speech(F.col("word")))
-    moves, sims = moves_and_sims(spark, sf_dir)
+def taxonomy_rows(spark, sf_dir, lexicon: DataFrame | None = None):
+    """``lexicon`` (word, pos, zipf): a tagger's and a frequency table; without one, parts of speech by suffix and the
+    corpus' own frequencies."""
+    counts = write_shared(word_counts(spark, sf_dir), "word-counts")
+    if lexicon is None:
+        lexicon = taxonomy.zipf(counts.groupBy("word").agg(F.sum("n_base").alias("n"))).withColumn("pos", part_of_speech(F.col("word")))
+    moves, sims = moves_and_sims(spark, sf_dir, write_shared(wide_of(counts), "wide"))
     pairs = sims.where(F.col("sim") >= 0.3).select("prompt", "axis", "source", "target", F.col("sim").alias("similarity"), "net_layer")
     return taxonomy.classified(pairs, similarity.orphans(moves, pairs), lexicon)
 
 
 @query
 def taxonomy_pairs(spark, sf_dir):
-    return rounded(_taxonomy(spark, sf_dir).withColumn("net_layer", F.col("net_layer").cast("double")))
+    return rounded(taxonomy_rows(spark, sf_dir).withColumn("net_layer", F.col("net_layer").cast("double")))
 
 
 @query
 def taxonomy_pct(spark, sf_dir):
-    return rounded(taxonomy.shares(_taxonomy(spark, sf_dir), ["axis"], "displacement_type"))
+    return rounded(taxonomy.shares(taxonomy_rows(spark, sf_dir), ["axis"], "displacement_type"))
 
 
 @query
 def taxonomy_crosstab(spark, sf_dir):
     kinds = ("genre_change", "archaic", "register_shift", "category_shift")
-    return _taxonomy(spark, sf_dir).groupBy("prompt").agg(*[F.count(F.when(F.col("displacement_type") == k, 1)).alias(k) for k in kinds])
+    return taxonomy_rows(spark, sf_dir).groupBy("prompt").agg(*[F.count(F.when(F.col("displacement_type") == k, 1)).alias(k) for k in kinds])
 
 
 def _token_mass(spark, sf_dir):
@@ -568,3 +593,6 @@ def generation_deficit(spark, sf_dir):
     have = kept.groupBy("family", "label", "model").agg(F.count(F.lit(1)).alias("n"))
     grid = gens.select("family").distinct().crossJoin(F.broadcast(gens.select("label").distinct())).crossJoin(F.broadcast(gens.select("model").distinct()))
     return grid.join(have, ["family", "label", "model"], "left").select("family", "label", "model", F.greatest(F.lit(0), F.lit(30) - F.coalesce("n", F.lit(0))).cast("long").alias("deficit"))
+
+
+from . import catalog_tables  # noqa: E402, F401  (registers its queries)

@@ -123,7 +123,7 @@ _ANALYSIS = (
         FROM wide w LEFT JOIN moved USING (prompt, word) LEFT JOIN (SELECT prompt, word, drive_weight, effective_mass FROM gone) USING (prompt, word) LEFT JOIN taken USING (prompt, word) WHERE base > 0 OR w.sft > 0 OR w.dpo > 0)"""
 )
 _GENS = """
-    gens AS (SELECT conv_id * 8 + turn AS gen_id, conv_id % 4 AS family, conv_id % 6 AS label, CASE role WHEN 'user' THEN 'base' WHEN 'assistant' THEN 'sft' ELSE 'dpo' END AS model, text AS psg, (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings) AS vec_row FROM conversations),
+    gens AS (SELECT conv_id * 4096 + turn AS gen_id, conv_id % 4 AS family, conv_id % 6 AS label, CASE role WHEN 'user' THEN 'base' WHEN 'assistant' THEN 'sft' ELSE 'dpo' END AS model, text AS psg, (conv_id * 4096 + turn) % (SELECT count(*) FROM embeddings) AS vec_row FROM conversations),
     gv AS (SELECT g.*, embedding::DOUBLE[] AS vec FROM gens g JOIN embeddings ON vec_id = vec_row),
     gd AS (SELECT gen_id, family, label, model, i AS dim, vec[i] AS x FROM gv, range(1, 65) AS t(i)),
     cen AS (SELECT label, model, dim, avg(x) AS c FROM gd GROUP BY label, model, dim),
@@ -162,12 +162,12 @@ _LENS = """
 _TAXONOMY = (
     _MOVES
     + f""",
-    fr AS (SELECT word, log10(sum(n_base)::DOUBLE / (SELECT sum(n_base) FROM counts)::DOUBLE * 1e9) AS zipf, CASE WHEN regexp_matches(word, '(ing|ed)$') THEN 'VERB' WHEN regexp_matches(word, 'ly$') THEN 'ADV' WHEN regexp_matches(word, 's$') THEN 'NOUN' ELSE 'X' END AS pos FROM counts GROUP BY word),
-    tp AS (SELECT prompt, axis, source, target, sim AS similarity, net_layer FROM sims WHERE sim >= 0.3),
+    fr AS MATERIALIZED (SELECT word, log10(sum(n_base)::DOUBLE / (SELECT sum(n_base) FROM counts)::DOUBLE * 1e9) AS zipf, CASE WHEN regexp_matches(word, '(ing|ed)$') THEN 'VERB' WHEN regexp_matches(word, 'ly$') THEN 'ADV' WHEN regexp_matches(word, 's$') THEN 'NOUN' ELSE 'X' END AS pos FROM counts GROUP BY word),
+    tp AS MATERIALIZED (SELECT prompt, axis, source, target, sim AS similarity, net_layer FROM sims WHERE sim >= 0.3),
     tx AS (SELECT prompt, axis, source, target, similarity, net_layer, s.pos AS source_pos, t.pos AS target_pos, t.zipf AS target_freq,
              CASE WHEN target IN ({', '.join(f"'{x}'" for x in GENRE_TOKENS)}) THEN 'genre_change' WHEN t.zipf < 3.0 THEN 'archaic' WHEN s.pos = t.pos THEN 'register_shift' ELSE 'category_shift' END AS displacement_type
              FROM tp LEFT JOIN fr s ON s.word = source LEFT JOIN fr t ON t.word = target
-           UNION ALL SELECT prompt, axis, m.word, NULL, NULL, NULL, f.pos, NULL, NULL, 'genre_change' FROM moves m LEFT JOIN fr f ON f.word = m.word WHERE side = 'source' AND (prompt, axis, m.word) NOT IN (SELECT (prompt, axis, source) FROM tp))"""
+           UNION ALL SELECT prompt, axis, m.word, NULL, NULL, NULL, f.pos, NULL, NULL, 'genre_change' FROM (SELECT * FROM moves WHERE side = 'source') m ANTI JOIN tp ON tp.prompt = m.prompt AND tp.axis = m.axis AND tp.source = m.word LEFT JOIN fr f ON f.word = m.word)"""
 )
 _PIECES = f"""
     tw AS (SELECT prompt, word, count(*) AS n FROM (SELECT lang AS prompt, unnest(regexp_split_to_array(lower(text), '{_SPLIT}')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),

@@ -22,3 +22,6 @@ TOKEN_MASS = "family string, label string, category string, base_mass double, dp
 
 #: Names that users of the earlier vocabulary know; see ``functions.text.stage_alias``.
 STAGE_ALIASES = {"base": "base", "ego": "sft", "superego": "dpo", "instruct": "rlvr"}
+
+#: Captions of the stages, in their order.
+STAGE_LABELS = {"base": "BASE", "sft": "SFT", "dpo": "DPO", "rlvr": "RLVR"}

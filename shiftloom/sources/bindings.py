@@ -10,6 +10,8 @@ from ..schemas import LAYERS
 WORD_SPLIT = "[^a-zß-öø-ÿ]+"
 #: Tokens of the small vocabulary that embeddings stand for as logits: one for each component.
 TOKENS = 64
+#: More than a conversation has turns.
+TURNS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +84,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     model = F.when(F.col("role") == "user", "base").when(F.col("role") == "assistant", "sft").otherwise("dpo")
     gens = c.select(
-        (F.col("conv_id") * 8 + F.col("turn")).alias("gen_id"), (F.col("conv_id") % 4).alias("family"), (F.col("conv_id") % 6).alias("label"), model.alias("model"), F.col("text").alias("psg")
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("gen_id"), (F.col("conv_id") % 4).alias("family"), (F.col("conv_id") % 6).alias("label"), model.alias("model"), F.col("text").alias("psg")
     )
     return gens.crossJoin(F.broadcast(vector_count(spark, sf_dir))).withColumn("vec_row", F.col("gen_id") % F.col("n_vectors")).drop("n_vectors")
 

@@ -67,6 +67,33 @@ class KeyedTable:
         return self.rows().join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
 
 
+class AppendLog:
+    """A log that only grows: each batch's rows get the next numbers of their key (``seq``), in a given order."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]) -> None:
+        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.schema = f"{schema}, seq long"
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        except Exception as e:  # the log isn't there yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    def append(self, df: DataFrame, order: list) -> None:
+        last = self.rows().groupBy(*self.keys).agg(F.max("seq").alias("_last"))
+        number = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*order))
+        rows = df.withColumn("_n", number).join(last, self.keys, "left").withColumn("seq", F.col("_n") + F.coalesce("_last", F.lit(0)))
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").parquet(self.path)
+
+
+def from_json_rows(rows: DataFrame, schema: str) -> DataFrame:
+    """The rows that ``json_rows`` wrote."""
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
 def deficit(log: DataFrame, wanted: DataFrame, keys: list[str], n: int) -> DataFrame:
     """(keys, deficit) of the wanted keys whose append log holds fewer than ``n`` rows."""
     have = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"))

@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 from shiftloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-HELD = ("shift_sft_dpo", "formation_table", "id_scores", "battery_summary", "metrics_wide", "top_movers", "best_links", "orphans", "transfer_v4", "absorption", "prompt_words", "silhouette", "step_metrics", "perplexity", "lens_rows", "taxonomy_pairs", "mann_whitney", "discover_words", "sample_tokens", "redistributed_step")
+HELD = ("shift_sft_dpo", "formation_table", "id_scores", "battery_summary", "metrics_wide", "top_movers", "best_links", "orphans", "transfer_v4", "absorption", "prompt_words", "silhouette", "step_metrics", "perplexity", "lens_rows", "taxonomy_pairs", "mann_whitney", "discover_words", "sample_tokens", "redistributed_step",
+        "overdetermination", "perm_test_best_1000", "formation_links", "link_plot", "formation_report", "pairs_report", "lens_words", "generation_metrics", "cached_scores", "logged_passages", "csv_round_trip", "json_round_trip", "contextual_vectors", "prompt_labels", "label_categories", "first_piece_scores")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
@@ -35,11 +36,50 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_of_the_same_columns(spark, duck):
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
-    for name, sql in catalog.ORACLE_SQL.items():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) | {"generated_ids"}
+    for name in sorted(set(catalog.ORACLE_SQL) - set(HELD)):
+        sql = catalog.ORACLE_SQL[name]
         assert sorted(catalog.QUERIES[name](spark, SF).columns) == sorted(r[0] for r in duck.execute(f"DESCRIBE {sql}").fetchall())
 
 
+def test_generated_ids_against_a_plain_loop(spark, duck):
+    """Three redistributed steps of some prompts, worked out one at a time."""
+    import hashlib
+
+    import numpy as np
+
+    logits = {(v // 4, v % 4): np.array(e, float) for v, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()}
+    many = 1 + max(p for p, s in logits if all((p, t) in logits for t in range(3)))
+    soft = lambda x: np.exp(x / 0.05 - (x / 0.05).max()) / np.exp(x / 0.05 - (x / 0.05).max()).sum()
+    vectors = np.array([np.mean([e for v, e in ((4 * p + s, x) for (p, s), x in logits.items()) if v % 64 == t], axis=0) for t in range(64)])
+
+    def step(like):
+        base, sft, dpo = (soft(logits[like, s]) for s in range(3))
+        fall = sft - dpo
+        gone = fall > 0.001
+        mass = np.where(gone, fall * (1 + np.log(1 + base / (base[base > 0].mean() + 1e-10))) * 0.3, 0.0)
+        out = np.where(gone, 0.0, dpo)
+        sources = sorted(np.flatnonzero(gone & (mass >= 1e-6)), key=lambda t: (-mass[t], t))[:20]
+        targets = sorted(np.flatnonzero(~gone & (dpo > 1e-6)), key=lambda t: (-dpo[t], t))[:100]
+        for s in sources:
+            sim = np.maximum(vectors[targets] @ vectors[s], 0)
+            if sim.sum() > 0:
+                out[targets] += mass[s] * sim / sim.sum()
+        return out / out.sum()
+
+    got = {r.prompt: r.ids for r in catalog.QUERIES["generated_ids"](spark, SF).collect()}
+    same = 0
+    for prompt in range(0, 40):
+        ids = []
+        for k in range(3):
+            p = step((prompt + sum(ids)) % many)
+            order = sorted(range(64), key=lambda t: (-p[t], t))
+            u = int(hashlib.md5(f"{prompt}:{k}:0".encode()).hexdigest()[:8], 16) / 4294967296
+            ids.append(next((t for t, c in zip(order, np.cumsum(p[order]), strict=True) if c >= u), order[-1]))
+        same += got[prompt] == ",".join(map(str, ids))
+    assert same == 40
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -72,3 +72,33 @@ def test_streamed_windows_equal_batch_counts(spark, tmp_path):
     query.stop()
     got = spark.table("windows")
     assert got.agg(F.sum("n")).first()[0] == 200 and got.select("start").distinct().count() == 3
+
+
+def test_log_numbers_rows_of_each_key_from_batch_to_batch(spark, tmp_path):
+    log = tables.AppendLog(spark, str(tmp_path / "log"), "k string, v int", ("k",))
+    assert log.rows().count() == 0
+    log.append(spark.createDataFrame([("a", 2), ("a", 1), ("b", 7)], "k string, v int"), ["v"])
+    log.append(spark.createDataFrame([("a", 0), ("c", 5)], "k string, v int"), ["v"])
+    assert sorted((r.k, r.seq, r.v) for r in log.rows().collect()) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 0), ("b", 1, 7), ("c", 1, 5)]
+    assert {(r.k, r.v) for r in tables.first_of_log(log.rows(), ["k"], 2).collect()} == {("a", 1), ("a", 2), ("b", 7), ("c", 5)}
+
+
+def test_lists_and_labels(spark):
+    assert registry.numbers(" 1,20, ,3") == [1, 20, 3]
+    first = {r.token: r.category for r in registry.tracked_words(spark, {"x": ["a", "b"], "y": ["c"]}).collect()}
+    assert first == {"a": "x", "b": "x", "c": "y"}
+    prompts = spark.createDataFrame([(0, "l0", "p"), (1, "l1", "p"), (2, "l2", "q")], "ord int, label string, prompt string")
+    asked = spark.createDataFrame([("p",), ("q",), ("r",)], "prompt string")
+    got = registry.label_of(asked, prompts, spark.createDataFrame([("l1",), ("l2",)], "label string"))
+    assert {(r.prompt, r.label) for r in got.collect()} == {("p", "l1"), ("q", "l2")}
+
+
+def test_jobs_write_a_commands_tables(spark, tmp_path, capsys, monkeypatch):
+    from shiftloom.plans import jobs
+
+    monkeypatch.setitem(jobs.COMMANDS, "battery", ("one", "two"))
+    monkeypatch.setitem(jobs.QUERIES, "one", lambda s, d: s.createDataFrame([("en_1", 1), ("de_1", 2)], "label string, v int"))
+    monkeypatch.setitem(jobs.QUERIES, "two", lambda s, d: s.createDataFrame([(1,)], "v int"))
+    assert jobs.main(["battery", "--data", "x", "--output", str(tmp_path), "--category", "en"]) == 0
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "one")).collect()] == [1] and spark.read.parquet(str(tmp_path / "two")).count() == 1
+    assert jobs.main(["info", "--family", "amber"]) == 0 and len(capsys.readouterr().out.splitlines()) == 4
