@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, in_chunks, read_table, text_col, write_shared
+from .common import batch_of, in_chunks, read_table, release, text_col, write_shared
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
 PROBE_BITS, WORD_BITS, SEGMENT_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
-FALSE, FALSE_MASS = 0.015, 0.04
+FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.
 PART_BYTES = 8 << 20
 
@@ -288,8 +288,11 @@ def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for batch in batches:
             yield batch_of(schema, *[[c.to_numpy().tobytes()] for c in batch.columns])
 
-    rows = counts.select("key", "c", "t").mapInArrow(run, "keys binary, counts binary, sums binary").collect()
-    key, c, t = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+    parts: tuple[list, list, list] = ([], [], [])
+    for row in counts.select("key", "c", "t").mapInArrow(run, "keys binary, counts binary, sums binary").toLocalIterator():
+        for part, value, kind in zip(parts, row, (np.int64, np.int64, np.float64), strict=True):
+            part.append(np.frombuffer(value, kind))
+    key, c, t = (np.concatenate([np.zeros(0, kind), *part]) for part, kind in zip(parts, (np.int64, np.int64, np.float64), strict=True))
     order = np.argsort(key)
     return key[order], c[order], t[order]
 
@@ -328,12 +331,14 @@ def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) ->
     parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = slices_for(training)
     blocks = write_shared(count_ngrams(training, parts, slices, mu), "ngrams")
+    release(training.sparkSession)
     counts = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.counts").alias("c"))
     surplus = blocks.select(F.explode(F.arrays_zip("histories", "surplus")).alias("w")).select(F.col("w.histories").alias("key"), F.col("w.surplus").alias("s")).groupBy("key").agg(F.sum("s").alias("s"))
     words = write_shared(counts.join(surplus, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), (F.coalesce("c", F.lit(0)) + F.coalesce("s", F.lit(0.0))).alias("t")), "words")
     ends = {r["key"]: r for r in words.where(F.col("key").isin(int(START.view(np.int64)), int(END.view(np.int64)))).collect()}
     texts = ends.get(int(END.view(np.int64)))
     start = (texts["c"] if texts else 0) + (ends[int(START.view(np.int64))]["t"] if int(START.view(np.int64)) in ends else 0.0)
+    release(training.sparkSession)
     words = words.where("c > 0")  # the start alone is no word
     by_count = words.groupBy("c").agg(F.count(F.lit(1)).alias("v"))
     sums = by_count.agg(F.coalesce(F.sum(F.col("c") * F.col("v")), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -438,7 +443,8 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int =
         step = lambda batches, shared=shared, last=last, carried=i > 0: look_up(batches, shared, last, carried)
         rows = write_shared(rows.mapInArrow(step, SCORED_DDL if last else "doc_id long, held_out boolean, text string, seen array<binary>"), "scored")
         for x in shared:
-            x.unpersist()
+            x.destroy()
+        release(docs.sparkSession)
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +43,13 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts that nothing refers to any more: Spark deletes them when the driver's collector
+    runs, which with a roomy heap can be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_shared(table: DataFrame) -> None:
     """Delete what ``write_shared`` wrote; nothing may read it any more."""
     spark = table.sparkSession
