@@ -238,7 +238,8 @@ def labels_and_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, width:
 def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
     nodes = write_shared(text_nodes(docs, width, likeness), "text-nodes")
-    near = linked(nodes.select("node", "w0", "w1"), Tables.sampled(BITS, BUDGET, TABLES, SAMPLE))
+    size = max(SAMPLE, nodes.count().bit_length() + 3)  # so that few texts share a key by chance
+    near = linked(nodes.select("node", "w0", "w1"), Tables.sampled(BITS, BUDGET, TABLES, size))
     labels, found = labels_and_links(docs, nodes, near, width, likeness)
     pairs = write_shared(other_pairs(nodes, labels, likeness), "other-pairs")
     groups = components(found.unionByName(verified(docs, nodes, pairs, width, likeness)))

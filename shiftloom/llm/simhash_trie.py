@@ -204,6 +204,8 @@ def expand(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) ->
 
 #: Rows of one key beyond which it is dealt further, and bits of the nodes that it is dealt by.
 HOT_ROWS, HOT_BITS = 20_000, 6
+#: Rows that a task joins at once, about.
+TASK_ROWS = 1 << 20
 
 
 def linked(nodes: DataFrame, tables: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -211,7 +213,7 @@ def linked(nodes: DataFrame, tables: Tables, hot_rows: int = HOT_ROWS) -> DataFr
     one row per fingerprint, kept in a table."""
     words = [f"w{i}" for i in range(tables.bits // 64)]
     spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(tables.masks) // TASK_ROWS)
     dealt = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("node", pa.int64()), *[(w, pa.int64()) for w in words]])
     ddl = "key long, side byte, node long, " + ", ".join(f"{w} long" for w in words)
 
