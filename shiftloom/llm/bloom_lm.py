@@ -7,10 +7,10 @@ level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter
 word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that fewer
 than ``FALSE_MASS`` times ``MU`` of V pairs that aren't there are hit; that is 10 bits a probe for each entry.
 
-Scoring: the filter goes to all workers by broadcast, in segments of at most ``SEGMENT_BYTES``, each in parts so that the
-driver never holds one whole. While one segment holds it all, one pass over the texts does; else each pass looks up one segment's n-grams, and the levels found so far stay
-beside the text in a table. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one
-is missing, and then of those between. Then
+Scoring: a filter of up to ``BROADCAST_BYTES`` goes to all workers by broadcast, in parts so that the driver never holds it
+whole. A larger one stays in its table: each chunk of texts sends its distinct n-grams to their slices and gets their
+levels back. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing, and
+then of those between. Then
 
     p(w | h) = (c(h w) + MU p(w)) / (t(h) + f + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
 
@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, in_chunks, read_table, release, text_col, write_shared
+from .common import batch_of, buffers, in_chunks, read_table, release, text_col, texts_of, write_shared
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
-PROBE_BITS, WORD_BITS, SEGMENT_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
+PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.
@@ -262,7 +262,7 @@ class Filter:
 
 
 def levels_in(parts: list[Filter], keys: np.ndarray) -> np.ndarray:
-    """Level of each n-gram in a segment that comes in parts."""
+    """Level of each n-gram in a filter that comes in parts."""
     out = np.zeros(len(keys), np.uint8)
     if parts:
         part = np.searchsorted([p.first for p in parts], slice_of(keys, parts[0].slices), side="right") - 1
@@ -298,7 +298,7 @@ def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def segments(slices: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int, int]]]:
-    """The slices (number, probes, bytes) for each broadcast."""
+    """The slices (number, probes, bytes) in parts of at most ``most`` bytes."""
     out: list[list[tuple[int, int, int]]] = []
     size = most + 1
     for each in sorted(slices):
@@ -375,76 +375,135 @@ def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 SCORED_DDL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>"
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int64()))])
-LOOKED_UP = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("seen", pa.list_(pa.binary()))])
-
-
-def score_texts(docs: DataFrame, held_out, mu: float = MU, segment_bytes: int = SEGMENT_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
+#: A chunk's texts (slice -1), or its n-grams of one slice.
+ASKED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+ASKED_DDL = "chunk long, slice int, keys binary, doc_ids array<long>, held array<boolean>, texts array<string>"
+CHUNK = 1 << 20
+
+
+class Chunk:
+    """Tokens of some texts, and what of them the filter is asked for."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray], slices: int) -> None:
+        self.word, self.bounds = tokens(data, offsets)
+        self.distinct, self.which = np.unique(self.word, return_inverse=True)
+        self.hit, self.exact, self.sums = known(self.distinct, common)
+        pairs, self.pair = np.unique(pair_keys(histories(self.word, self.bounds), self.word), return_inverse=True)
+        keys = np.concatenate([self.distinct[~self.hit], pairs])
+        where = slice_of(keys, slices)
+        self.order = np.lexsort((keys, where))
+        self.keys, self.where = keys[self.order], where[self.order]
+
+    def scored(self, ids: pa.Array, held_out: pa.Array, first: int, found: np.ndarray, start: float, more: float, mu: float, divisor: float, of_model: float) -> pa.RecordBatch:
+        """A row for each text, from the levels of ``keys``. ``more``: what is added to each t."""
+        level = np.empty(len(found), np.uint8)
+        level[self.order] = found
+        words = int((~self.hit).sum())
+        own = self.exact.astype(np.float64)
+        own[~self.hit] = MIDDLES[level[:words]]
+        hit, bounds = self.hit[self.which], self.bounds
+        # Divisors of words outside the dictionary come with the join, as many as the word is there.
+        after = np.where(self.hit, np.log10(self.sums + more), 0.0)[self.which]
+        ahead = np.concatenate([[0.0], after[:-1]])
+        ahead[bounds[:-1]] = np.log10(start + more)
+        logs = np.log10(MIDDLES[level[words:]][self.pair] + (mu * (own + 0.5) / of_model)[self.which]) - ahead
+        base = np.where(self.hit, np.log10((self.exact + 0.5) / divisor), 0.0)[self.which]
+        many = len(bounds) - 1
+        text = np.repeat(np.arange(many), np.diff(bounds))
+        rare = np.flatnonzero(~hit)
+        pair, n = np.unique(np.column_stack([text[rare], self.which[rare]]), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        lists = pa.array(np.searchsorted(pair[:, 0], np.arange(many + 1)), pa.int32())
+        return batch_of(
+            SCORED,
+            ids,
+            held_out,
+            first + np.arange(many),
+            np.diff(bounds),
+            np.add.reduceat(hit.astype(np.int64), bounds[:-1]),
+            np.add.reduceat(base, bounds[:-1]),
+            np.add.reduceat(logs, bounds[:-1]),
+            pa.ListArray.from_arrays(lists, pa.array(self.distinct[pair[:, 1]].view(np.int64))),
+            pa.ListArray.from_arrays(lists, pa.array(n, pa.int64())),
+        )
+
+
+def answered(asked: DataFrame, blocks: DataFrame, slices: int) -> DataFrame:
+    """(chunk, found): the levels of each chunk's n-grams, by slice. A slice's n-grams meet its filter in one task; there are
+    as many slices as the corpus is large."""
+    schema = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("levels", pa.binary())])
+
+    def look_up(rows: pa.Table, block: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
+        if len(block) and len(rows):
+            filter_ = block.column("filter")[0].as_py()
+            part = Filter(slices, [(block.column("slice")[0].as_py(), block.column("probes")[0].as_py(), len(filter_))])
+            part.put(block.column("slice")[0].as_py(), filter_)
+            levels = part.levels(np.concatenate(keys))
+        else:
+            levels = np.zeros(sum(map(len, keys)), np.uint8)
+        ends = np.cumsum([0] + [len(k) for k in keys])
+        return pa.table([rows.column("chunk").combine_chunks(), rows.column("slice").combine_chunks(), pa.array([levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=schema)
+
+    left = asked.where("slice >= 0").select("chunk", "slice", "keys").groupBy("slice")
+    found = left.cogroup(blocks.select("slice", "probes", "filter").groupBy("slice")).applyInArrow(look_up, "chunk long, slice int, levels binary")
+    return found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "levels"))), lambda x: x["levels"]).alias("found"))
+
+
+def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; ``held_out`` is a
     boolean column, true for the rows that aren't learnt from."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     model = train(rows.where(~F.col("held_out")), mu, dictionary)
-    blocks, words, slices, top, n_train, start, more = model.blocks, model.words, model.slices, model.top, model.n_train, model.start, model.false + mu
+    blocks, words, slices, top, n_train, more = model.blocks, model.words, model.slices, model.top, model.n_train, model.false + mu
     held = sc.broadcast(model.common)
     sizes = [(r[0], r[1], r[2]) for r in blocks.select("slice", "probes", F.octet_length("filter")).collect()]  # a row per slice
-    todo = segments(sizes, segment_bytes)
-    divisor, of_model = n_train + 0.5 * (model.vocabulary + 1), model.total + 0.5 * (model.vocabulary + 1)
+    divisor = n_train + 0.5 * (model.vocabulary + 1)
+    numbers = (model.start, more, mu, divisor, model.total + 0.5 * (model.vocabulary + 1))
 
-    def look_up(batches, shared, last: bool, carried: bool) -> Iterator[pa.RecordBatch]:
+    def first_number() -> int:
         from pyspark import TaskContext
 
-        parts = [x.value for x in shared]
-        number = TaskContext.get().partitionId() << 40
-        for batch, data, offsets in in_chunks(batches, "text", 1 << 20):
-            word, bounds = tokens(data, offsets)
-            distinct, which = np.unique(word, return_inverse=True)
-            hit, exact, sums = known(distinct, held.value)
-            level = np.zeros(len(distinct), np.uint8)
-            level[~hit] = levels_in(parts, distinct[~hit])
-            one, two = level[which], levels_in(parts, pair_keys(histories(word, bounds), word))
-            if carried:
-                seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
-                one = np.maximum(one, np.frombuffer(b"".join(x[0] for x in seen), np.uint8))
-                two = np.maximum(two, np.frombuffer(b"".join(x[1] for x in seen), np.uint8))
-            ids, out = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
-            if not last:
-                found = [[one[a:b].tobytes(), two[a:b].tobytes()] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield batch_of(LOOKED_UP, ids, out, batch.column(batch.schema.get_field_index("text")).cast(pa.string()), found)
-                continue
-            in_common = hit[which]
-            own = np.where(in_common, exact[which], MIDDLES[one])
-            # Divisors of words outside the dictionary come with the join, as many as the word is there.
-            after = np.where(hit, np.log10(sums + more), 0.0)[which]
-            ahead = np.concatenate([[0.0], after[:-1]])
-            ahead[bounds[:-1]] = np.log10(start + more)
-            logs = np.log10(MIDDLES[two] + mu * (own + 0.5) / of_model) - ahead
-            base = np.where(in_common, np.log10((exact + 0.5) / divisor)[which], 0.0)
-            text = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            rare = np.flatnonzero(~in_common)
-            pair, n = np.unique(np.column_stack([text[rare], which[rare]]), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            lists = pa.array(np.searchsorted(pair[:, 0], np.arange(len(batch) + 1)), pa.int32())
-            yield batch_of(
-                SCORED,
-                ids,
-                out,
-                number + np.arange(len(batch)),
-                np.diff(bounds),
-                np.add.reduceat(in_common.astype(np.int64), bounds[:-1]),
-                np.add.reduceat(base, bounds[:-1]),
-                np.add.reduceat(logs, bounds[:-1]),
-                pa.ListArray.from_arrays(lists, pa.array(distinct[pair[:, 1]].view(np.int64))),
-                pa.ListArray.from_arrays(lists, pa.array(n, pa.int64())),
-            )
-            number += len(batch)
-
-    for i, segment in enumerate(todo or [[]]):
-        shared = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(segment, PART_BYTES)]
-        last = i + 1 >= len(todo)
-        step = lambda batches, shared=shared, last=last, carried=i > 0: look_up(batches, shared, last, carried)
-        rows = write_shared(rows.mapInArrow(step, SCORED_DDL if last else "doc_id long, held_out boolean, text string, seen array<binary>"), "scored")
+        return TaskContext.get().partitionId() << 40
+
+    if sum(n for _, _, n in sizes) <= broadcast_bytes:
+        shared = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(sizes, PART_BYTES)]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, parts = first_number(), [x.value for x in shared]
+            for batch, data, offsets in in_chunks(batches, "text", CHUNK):
+                chunk = Chunk(data, offsets, held.value, slices)
+                yield chunk.scored(batch.column(0), batch.column(1), number, levels_in(parts, chunk.keys), *numbers)
+                number += len(batch)
+
+        rows = write_shared(rows.mapInArrow(score, SCORED_DDL), "scored")
         for x in shared:
             x.destroy()
         release(docs.sparkSession)
+    else:
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = first_number()
+            for batch, data, offsets in in_chunks(batches, "text", CHUNK):
+                chunk = Chunk(data, offsets, held.value, slices)
+                heads = np.flatnonzero(np.diff(chunk.where, prepend=-1))
+                ends = np.append(heads[1:], len(chunk.keys))
+                keys = [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
+                none = [None] * len(keys)
+                yield batch_of(ASKED, [number] * len(keys), chunk.where[heads], keys, none, none, none)
+                yield batch_of(ASKED, [number], [-1], [None], *[[batch.column(i).to_pylist()] for i in range(3)])
+                number += len(batch)
+
+        def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, ids, out, texts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data, offsets = buffers(texts_of(pa.array(texts, pa.string())))
+                    levels = np.frombuffer(b"".join(found or []), np.uint8)
+                    yield Chunk(data, offsets, held.value, slices).scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
+
+        asked = write_shared(rows.mapInArrow(ask, ASKED_DDL), "asked")
+        chunks = asked.where("slice < 0").select("chunk", "doc_ids", "held", "texts").join(answered(asked, blocks, slices), "chunk", "left")
+        rows = write_shared(chunks.mapInArrow(score_chunks, SCORED_DDL), "scored")
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -91,13 +91,19 @@ def check(got):
         assert abs(r.score - w[6]) < 0.05 * max(1, abs(w[6]))
 
 
-def test_scores_in_one_pass_and_in_segments(docs):
-    check(lm.score_texts(docs, lm.fold(1)))
-    check(lm.score_texts(docs, lm.fold(1), segment_bytes=4000))
+def test_scores_with_the_filter_broadcast_and_where_it_is(docs):
+    """Both ways give the same scores."""
+    order = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    one = lm.score_texts(docs, lm.fold(1))
+    check(one)
+    two = lm.score_texts(docs, lm.fold(1), broadcast_bytes=0)
+    check(two)
+    assert order(one.collect()) == order(two.collect())
 
 
 def test_words_outside_the_dictionary_meet_their_counts(docs):
     check(lm.score_texts(docs, lm.fold(1), dictionary=10))
+    check(lm.score_texts(docs, lm.fold(1), dictionary=10, broadcast_bytes=0))
 
 
 def test_without_training_rows_and_without_rows(docs, no_docs):
