@@ -6,14 +6,14 @@ one shingle) have a Jaccard likeness of ``LIKENESS`` or more. Groups are what su
 Equal texts are one node. A node's fingerprint has 128 bits over its distinct words: texts that share four in five
 shingles share nearly all of these, while unrelated ones share only common words. The trie self-join over sampled
 tables links fingerprints within ``BUDGET`` bits; what these links connect is a cluster. Within a cluster of up to
-``BLOCK`` texts every pair is verified on the whole shingle sets. In a larger one the trie's own links are: first one for
-each text, then those between texts that aren't in one group yet. Only verified links make groups.
+``BLOCK`` texts every pair is verified on the whole shingle sets. In a larger one all are held against its medoid, the
+text whose fingerprint is nearest to the majority of all bits; near copies of that are a group, and what is left is
+clustered anew by its links. Only verified links make groups.
 
 The trie can miss pairs, so a prefix-filter join finds all others: with every set in one order of all shingles, sets of
 n shingles that are near copies share one of their first n - ceil(LIKENESS n) + 1. Pairs that do, and are neither in one
-small cluster nor in one group, are counted by the shingles they share there, and verified unless sizes, count and
-places rule the likeness out. The order has shingles that are common in a sample of the texts last; any order gives
-the same pairs.
+small cluster nor in one group, are verified unless sizes, places and the number of first shingles that both have rule
+the likeness out. The order has shingles that are common in a sample of the texts last; any order gives the same pairs.
 
 Of each group the row with the least doc_id stays; of rows with that doc_id and equal texts, one. null text: as empty;
 empty texts are copies of each other. A null doc_id stays only where a group has no other. Empty table: no rows. Further
@@ -23,6 +23,7 @@ columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ WIDTH, LIKENESS = 5, 0.8
 BITS, BUDGET, TABLES, SAMPLE = 128, 18, 24, 20
 #: Texts that are compared in one task; columns of the membership matrix at once.
 BLOCK, COLUMNS = 1024, 2048
+#: How often large clusters are split by their medoids; what is still large then is left to the prefix-filter join.
+ROUNDS = 4
 #: One text in so many is looked at for common shingles; how often these occur there at least, and the most of them.
 SAMPLED, COMMON, MOST = 16, 4, 1 << 20
 #: What rounding may take from a product with the likeness.
@@ -163,17 +166,28 @@ def other_pairs(nodes: DataFrame, clusters: DataFrame, likeness: float) -> DataF
             fit &= np.minimum(size[a] - place[a], size[b] - place[b]) >= likeness / (1 + likeness) * (size[a] + size[b]) - SLACK
             a, b = a[fit], b[fit]
             a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], size[a], size[b], place[a], place[b])], names=["a", "b", "size_a", "size_b", "place_a", "place_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = np.zeros(len(batch), bool)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                # What is shared besides lies beyond the first shingles of one set, and in both beyond the last of these.
+                beyond = max(np.ceil(likeness * n - SLACK) - 1 for n in (size_a[k], size_b[k]))
+                after = min(size_a[k] - at_x.max() - 1, size_b[k] - at_y.max() - 1)
+                keep[k] = len(both) + min(beyond, after) >= np.ceil(likeness / (1 + likeness) * (size_a[k] + size_b[k]) - SLACK)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     rows = nodes.where("size > 0").select("node", "size", "shingles").join(clusters, "node", "left")
     dealt = rows.select("node", "root", "size", "shingles").mapInArrow(deal, "key long, node long, root long, size int, place int")
     ordered = dealt.repartition(parts, "key").sortWithinPartitions("key").select("key", F.lit(0).alias("part"), F.coalesce("root", "node").alias("root"), "node", "size", "place")
-    met = ordered.mapInArrow(lambda batches: by_cell(batches, meet), "a long, b long, size_a int, size_b int, place_a int, place_b int")
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size_a", "size_b", "place_a", "place_b")])
-    # What is shared besides lies, in both sets, beyond the last of these.
-    after = F.least(F.expr("size_a - place_a - 1"), F.expr("size_b - place_b - 1"))
-    enough = F.ceil(likeness / (1 + likeness) * F.expr("size_a + size_b") - SLACK)
-    return pairs.where(F.col("n") + after >= enough).select("a", "b")
+    pairs = ordered.mapInArrow(lambda batches: by_cell(batches, meet), "a long, b long").distinct()
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("shingles").alias(f"first_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "size_b", "first_a", "first_b")
+    return both.mapInArrow(sift, "a long, b long")
 
 
 def compared(docs: DataFrame, members: DataFrame, width: int, likeness: float) -> DataFrame:
@@ -215,24 +229,40 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, li
     return compared(docs, members.join(nodes.select("node", "least"), "node"), width, likeness)
 
 
+def medoids(members: DataFrame) -> DataFrame:
+    """(root, hub): of each cluster of ``members`` (root, node, w0, w1) the node nearest to the majority of its bits."""
+    one = lambda w, i: F.shiftrightunsigned(w, i).bitwiseAND(F.lit(1))
+    signed = lambda i: F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")
+    words = ("w0", "w1")
+    sums = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), *[F.sum(one(w, i)).alias(f"{w}_{i}") for w in words for i in range(64)])
+    none = F.lit(0).cast("long")
+    major = [reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"{w}_{i}") > F.col("n"), signed(i)).otherwise(none) for i in range(64)]).alias(f"m{w}") for w in words]
+    away = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m{w}"))) for w in words), F.lit(0))
+    return members.join(sums.select("root", *major), "root").groupBy("root").agg(F.min(F.struct(away.alias("away"), "node")).alias("h")).select("root", F.col("h.node").alias("hub"))
+
+
 def labels_and_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, width: int, likeness: float) -> tuple[DataFrame, DataFrame]:
     """(node, root) of texts whose pairs need no other look, and the verified links among the trie's clusters."""
     links = write_shared(near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "trie-links")
-    clusters = write_shared(components(links), "clusters")
-    large = write_shared(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root"), "large-clusters")
-    small = clusters.join(large, "root", "left_anti")
-    members = small.select(F.col("root").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("hub"), "node").join(nodes.select("node", "least"), "node")
-    found = compared(docs, members, width, likeness)
-    if large.isEmpty():
-        return clusters, found
-    within = links.join(clusters.join(large, "root", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
-    first = write_shared(verified(docs, nodes, within.groupBy("a").agg(F.min("b").alias("b")), width, likeness), "first-links")
-    groups = components(first)
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = within.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
-    second = write_shared(verified(docs, nodes, apart, width, likeness), "second-links")
-    both = first.unionByName(second)
-    return small.select("node", "root").unionByName(components(both)), found.unionByName(both)
+    labels = found = None
+    more = lambda x, y: y if x is None else x.unionByName(y)
+    for _ in range(ROUNDS):
+        clusters = write_shared(components(links), "clusters")
+        large = write_shared(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root"), "large-clusters")
+        small = clusters.join(large, "root", "left_anti").select("node", "root")
+        members = small.select(F.col("root").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("hub"), "node").join(nodes.select("node", "least"), "node")
+        labels, found = more(labels, small), more(found, compared(docs, members, width, likeness))
+        if large.isEmpty():
+            break
+        inside = clusters.join(large, "root", "left_semi").join(nodes.select("node", "w0", "w1"), "node")
+        hubs = write_shared(medoids(inside), "medoids")
+        rays = inside.join(hubs, "root").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        star = write_shared(verified(docs, nodes, rays, width, likeness), "stars")
+        grouped = star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(hubs.select(F.col("hub").alias("node"), F.col("hub").alias("root")))
+        labels, found = labels.unionByName(grouped), found.unionByName(star)
+        rest = inside.select("node").join(grouped, "node", "left_anti")
+        links = write_shared(links.join(rest.withColumnRenamed("node", "a"), "a", "left_semi").join(rest.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "trie-links")
+    return labels, found
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
