@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mann_whitney_u(df: DataFrame, keys: list[str], value: str, first) -> DataFrame:
-    """(keys, n1, n2, u): U of the rows where ``first`` holds, from averaged ranks."""
-    by = Window.partitionBy(*keys)
-    rank = F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
-    rows = df.withColumn("_first", first).withColumn("_r", rank)
-    n1 = F.count(F.when(F.col("_first"), 1))
-    return rows.groupBy(*keys).agg(n1.alias("n1"), F.count(F.when(~F.col("_first"), 1)).alias("n2"), (F.sum(F.when(F.col("_first"), F.col("_r"))) - n1 * (n1 + 1) / F.lit(2.0)).alias("u"))
+def mann_whitney_u(df: DataFrame, keys: list[str], value: str, first, ranges: int = 64) -> DataFrame:
+    """(keys, n1, n2, u): U of the rows where ``first`` holds, from averaged ranks. Equal values are counted first; the
+    distinct ones of a group are dealt by ranges of value, and ranks start at what lies in the ranges below."""
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.when(first, 1)).alias("_n1"), F.count(F.lit(1)).alias("_n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)]).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    below = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_m")).select(*keys, "_range", below.alias("_below"))
+    ahead = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ranked = placed.withColumn("_ahead", ahead).join(starts, [*keys, "_range"])
+    rank = F.col("_below") + F.col("_ahead") + (F.col("_n") + 1) / F.lit(2.0)
+    n1 = F.sum("_n1")
+    return ranked.groupBy(*keys).agg(n1.alias("n1"), (F.sum("_n") - n1).alias("n2"), (F.sum(F.col("_n1") * rank) - n1 * (n1 + 1) / F.lit(2.0)).alias("u"))
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, most: int = 2500) -> float:

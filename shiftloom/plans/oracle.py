@@ -271,8 +271,8 @@ ORACLE_SQL: dict[str, str] = {
     "source_ranking": f"WITH {_MOVES} SELECT * REPLACE (rank::INTEGER AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY prompt, axis ORDER BY similarity DESC, source) AS rank FROM (SELECT prompt, axis, source, round(max(sim), 6) AS similarity FROM sims GROUP BY ALL)) WHERE rank <= 8",
     "formation_links": f"WITH {_BEST_LINKS}, f AS (SELECT prompt, word AS sublimated_from, round(base, 6) AS source_base, round(sft, 6) AS source_sft FROM wide) SELECT prompt, sublimated_from, word, similarity, source_base, source_sft FROM (SELECT prompt, word, other AS sublimated_from, similarity FROM links WHERE link = 'source' AND axis = 'sublimation') LEFT JOIN f USING (prompt, sublimated_from)",
     "overdetermination": f"WITH {_LOGITS}, v AS (SELECT token_id, list(m ORDER BY i) AS vec FROM (SELECT (vec_id % 64)::INTEGER AS token_id, i, round(avg(embedding[i]::DOUBLE), 9) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY token_id), s AS (SELECT a.token_id AS anchor, b.token_id, round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 9) AS sim FROM v a, v b), n AS (SELECT prompt, anchor, prob / sum(prob) OVER (PARTITION BY prompt, anchor) AS p FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, token_id) AS r FROM s) JOIN (SELECT prompt, token_id, prob FROM sm WHERE layer = 'base') USING (token_id) WHERE r <= 20) SELECT prompt, anchor, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM n GROUP BY prompt, anchor",
-    "perm_test_mean": f"WITH {_PERM.format(n=200)}, sz AS (SELECT perm, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM pm GROUP BY perm), su AS (SELECT perm, i, sum(vec[i]) FILTER (pm.grp = 0) AS s0, sum(vec[i]) FILTER (pm.grp = 1) AS s1 FROM pm JOIN it USING (id), range(1, 65) AS t(i) GROUP BY perm, i), pv AS (SELECT perm, sum(s0 * s1) / (max(n0) * max(n1)) AS value FROM su JOIN sz USING (perm) GROUP BY perm) {_P_VALUE}",
-    "perm_test_best": f"WITH {_PERM.format(n=20)}, s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM it a JOIN it b ON a.id <> b.id), bm AS (SELECT x.perm, s.a, max(sim) AS m FROM s JOIN pm x ON x.id = s.a AND x.grp = 0 JOIN pm y ON y.id = s.b AND y.grp = 1 AND y.perm = x.perm GROUP BY ALL), pv AS (SELECT perm, avg(m) AS value FROM bm GROUP BY perm) {_P_VALUE}",
+    "perm_test_mean": f"WITH {_PERM.format(n=1000)}, sz AS (SELECT perm, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM pm GROUP BY perm), su AS (SELECT perm, i, sum(vec[i]) FILTER (pm.grp = 0) AS s0, sum(vec[i]) FILTER (pm.grp = 1) AS s1 FROM pm JOIN it USING (id), range(1, 65) AS t(i) GROUP BY perm, i), pv AS (SELECT perm, sum(s0 * s1) / (max(n0) * max(n1)) AS value FROM su JOIN sz USING (perm) GROUP BY perm) {_P_VALUE}",
+    "perm_test_best": f"WITH {_PERM.format(n=1000)}, s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM it a JOIN it b ON a.id <> b.id), bm AS (SELECT x.perm, s.a, max(sim) AS m FROM s JOIN pm x ON x.id = s.a AND x.grp = 0 JOIN pm y ON y.id = s.b AND y.grp = 1 AND y.perm = x.perm GROUP BY ALL), pv AS (SELECT perm, avg(m) AS value FROM bm GROUP BY perm) {_P_VALUE}",
     "perm_test_mean_1000": f"WITH {_PERM.format(n=1000)}, sz AS (SELECT perm, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM pm GROUP BY perm), su AS (SELECT perm, i, sum(vec[i]) FILTER (pm.grp = 0) AS s0, sum(vec[i]) FILTER (pm.grp = 1) AS s1 FROM pm JOIN it USING (id), range(1, 65) AS t(i) GROUP BY perm, i), pv AS (SELECT perm, sum(s0 * s1) / (max(n0) * max(n1)) AS value FROM su JOIN sz USING (perm) GROUP BY perm) {_P_VALUE}",
     "perm_test_best_1000": f"WITH {_PERM.format(n=1000)}, s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM it a JOIN it b ON a.id <> b.id), bm AS (SELECT x.perm, s.a, max(sim) AS m FROM s JOIN pm x ON x.id = s.a AND x.grp = 0 JOIN pm y ON y.id = s.b AND y.grp = 1 AND y.perm = x.perm GROUP BY ALL), pv AS (SELECT perm, avg(m) AS value FROM bm GROUP BY perm) {_P_VALUE}",
     "transfer_v4": f"WITH {_T4} SELECT prompt, word, round(prob, 6) AS prob FROM moved",
