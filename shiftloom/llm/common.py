@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path, write_shared  # noqa: F401
+
 #: Python-side work is done on so many bytes of text at a time, whatever the Arrow batch holds.
 CHUNK_BYTES = 4 << 20
 
@@ -20,29 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/shiftloom-checkpoints"
-    return f"{base.rstrip('/')}/shiftloom-{spark.sparkContext.applicationId}"
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and broadcasts that nothing refers to any more: Spark deletes them when the driver's collector
     runs, which with a roomy heap can be long after."""
