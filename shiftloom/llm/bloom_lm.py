@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, buffers, in_chunks, read_table, release, text_col, texts_of, write_shared
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
-PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 256 << 20, 1 << 20, 500.0
+PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 384 << 20, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.

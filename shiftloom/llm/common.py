@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and broadcasts that nothing refers to any more: Spark deletes them when the driver's collector
     runs, which with a roomy heap can be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of holds more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_shared(table: DataFrame) -> None:
