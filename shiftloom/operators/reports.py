@@ -10,8 +10,9 @@ from .distributions import top_k
 
 
 def places(x: str | Column, n: int = 4) -> Column:
-    """A number with ``n`` decimals, as text."""
-    return F.round(x, n).cast(f"decimal(20,{n})").cast("string")
+    """A number with ``n`` decimals, as text. A little is added, so that no engine sees a tie."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x + F.lit(1e-9), n).cast(f"decimal(20,{n})").cast("string")
 
 
 def present(a: str, b: str, least: float) -> Column:

@@ -149,7 +149,7 @@ def shift_report(spark, sf_dir):
 
 @query
 def metrics_report(spark, sf_dir):
-    return reports.metric_lines(rounded(c.pair_metrics(spark, sf_dir)))
+    return reports.metric_lines(c.pair_metrics(spark, sf_dir))
 
 
 @query

@@ -13,7 +13,7 @@ _STEM = r"CASE WHEN regexp_matches(label, '\d$') THEN regexp_replace(label, '_[^
 
 
 def _dec(x: str, n: int = 4) -> str:
-    return f"round({x}, {n})::DECIMAL(20, {n})::VARCHAR"
+    return f"round({x} + 1e-9, {n})::DECIMAL(20, {n})::VARCHAR"
 
 
 def _sections(a: str, b: str, down: str, up: str) -> str:
@@ -60,7 +60,7 @@ TABLE_SQL: dict[str, str] = {
     "formation_report": f"WITH {_W} " + " UNION ALL ".join(_sections(*x) for x in (("base", "sft", "sublimated", "introduced"), ("sft", "dpo", "repressed", "amplified"), ("dpo", "rlvr", "further suppressed", "further amplified"))),
     "shift_report": f"""WITH {_W}, d AS (SELECT *, CASE WHEN sft - dpo > 0.0005 THEN 'repressed' WHEN sft - dpo < -0.0005 THEN 'amplified' END AS section, round(abs(sft - dpo), 9) AS size, CASE WHEN sft > dpo THEN sft / (dpo + 1e-10) ELSE dpo / (sft + 1e-10) END AS ratio FROM wide WHERE sft > 0 OR dpo > 0 OR base > 0)
       SELECT prompt, section, rank::INTEGER AS rank, word || ': ' || {_dec('sft')} || ' -> ' || {_dec('dpo')} || ' (' || {_dec('ratio', 1)} || 'x)' AS line FROM (SELECT *, row_number() OVER (PARTITION BY prompt, section ORDER BY size DESC, word) AS rank FROM d WHERE section IS NOT NULL) WHERE rank <= 15""",
-    "metrics_report": f"WITH {_PAIR_METRICS} SELECT prompt, pair, 'kl=' || {_dec('round(kl, 6)')} || ' js=' || {_dec('round(js, 6)')} || ' overlap=' || {_dec('round(overlap, 6)')} || ' rank_corr=' || {_dec('round(rank_corr, 6)')} AS line FROM met",
+    "metrics_report": f"WITH {_PAIR_METRICS} SELECT prompt, pair, 'kl=' || {_dec('kl')} || ' js=' || {_dec('js')} || ' overlap=' || {_dec('overlap')} || ' rank_corr=' || {_dec('rank_corr')} AS line FROM met",
     "pairs_report": f"WITH {_MOVES} SELECT prompt, axis, rank::INTEGER AS rank, source || ' -> ' || target || ' sim=' || {_dec('similarity')} || ' layer=' || net_layer AS line FROM (SELECT *, row_number() OVER (PARTITION BY prompt, axis ORDER BY similarity DESC, source, target, net_layer) AS rank FROM (SELECT *, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.15)) WHERE rank <= 25",
     "label_categories": f"SELECT label, CASE WHEN label LIKE 'sexual\\_liminal%' ESCAPE '\\' THEN 'sexual (liminal)' WHEN label LIKE 'sexual\\_explicit%' ESCAPE '\\' THEN 'sexual (explicit)' WHEN label LIKE 'violence%' THEN 'violence' WHEN label LIKE 'neutral%' THEN 'neutral' ELSE 'other' END AS coarse, CASE {_STEM} {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in CATEGORY_NAMES.items())} ELSE {_STEM} END AS category FROM (VALUES {_VALUES}) AS t(label)",
     "prefixed_labels": f"SELECT label, n_down, n_up FROM ({ORACLE_SQL['battery_summary']}) WHERE starts_with(label, 'en')",
@@ -73,7 +73,7 @@ TABLE_SQL: dict[str, str] = {
     "coerced_numbers": r"SELECT doc_id, coalesce(try_cast(source AS DOUBLE), 0) AS source_number, coalesce(try_cast(regexp_extract(source, '(\d+)', 1) AS DOUBLE), 0) AS digits, coalesce(try_cast(doc_id::VARCHAR AS DOUBLE), 0) AS id_number FROM documents",
     "passage_vectors": f"WITH {_GENS} SELECT gen_id, label, model, len(vec)::INTEGER AS dims, round(list_sum(vec), 6) AS total FROM gv",
     "embedded_passages": f"WITH {_GENS} SELECT gen_id, {_LETTERS} FROM gens",
-    "contextual_vectors": "WITH h AS (SELECT vec_id // 8 AS word, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 8 >= (vec_id // 8) % 3 + 2), m AS (SELECT word, (i - 1)::INTEGER AS dim, avg(vec[i]) AS x FROM h, range(1, 65) AS t(i) GROUP BY ALL) SELECT word, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY word)), 1e-12), 5) AS x FROM m",
+    "contextual_vectors": "WITH h AS (SELECT vec_id // 8 AS word, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 8 >= (vec_id // 8) % 3 + 2), m AS (SELECT word, (i - 1)::INTEGER AS dim, avg(vec[i]) AS x FROM h, range(1, 65) AS t(i) GROUP BY ALL) SELECT word, dim, round((x / greatest(sqrt(sum(x * x) OVER (PARTITION BY word)), 1e-12))::FLOAT::DOUBLE, 5) AS x FROM m",
     "csv_round_trip": ORACLE_SQL["formation_table"],
     "parquet_round_trip": f"SELECT * FROM ({ORACLE_SQL['formation_table']}) WHERE trajectory <> 'flat'",
     "json_round_trip": f"SELECT prompt, word, coalesce(drive_weight, 0) AS drive_weight, n_condensation_sources, role FROM ({ORACLE_SQL['analysis_table']})",
