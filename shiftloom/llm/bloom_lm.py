@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, buffers, in_chunks, read_table, release, text_col, texts_of, write_shared
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
-PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 384 << 20, 1 << 20, 500.0
+PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 96 << 20, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.
@@ -375,10 +375,10 @@ def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 SCORED_DDL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>"
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int64()))])
-#: A chunk's texts (slice -1), or its n-grams of one slice.
-ASKED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
-ASKED_DDL = "chunk long, slice int, keys binary, doc_ids array<long>, held array<boolean>, texts array<string>"
-CHUNK = 1 << 20
+CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+ASKED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary())])
+#: Bytes of text that are scored at once, with the filter broadcast and where it is.
+CHUNK, LARGE_CHUNK = 1 << 20, 4 << 20
 
 
 class Chunk:
@@ -444,8 +444,7 @@ def answered(asked: DataFrame, blocks: DataFrame, slices: int) -> DataFrame:
         ends = np.cumsum([0] + [len(k) for k in keys])
         return pa.table([rows.column("chunk").combine_chunks(), rows.column("slice").combine_chunks(), pa.array([levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=schema)
 
-    left = asked.where("slice >= 0").select("chunk", "slice", "keys").groupBy("slice")
-    found = left.cogroup(blocks.select("slice", "probes", "filter").groupBy("slice")).applyInArrow(look_up, "chunk long, slice int, levels binary")
+    found = asked.groupBy("slice").cogroup(blocks.select("slice", "probes", "filter").groupBy("slice")).applyInArrow(look_up, "chunk long, slice int, levels binary")
     return found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "levels"))), lambda x: x["levels"]).alias("found"))
 
 
@@ -482,28 +481,32 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
         release(docs.sparkSession)
     else:
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = first_number()
-            for batch, data, offsets in in_chunks(batches, "text", CHUNK):
-                chunk = Chunk(data, offsets, held.value, slices)
+            for batch, _, _ in in_chunks(batches, "text", LARGE_CHUNK):
+                yield batch_of(CHUNKS, [number], *[[batch.column(i).to_pylist()] for i in range(3)])
+                number += len(batch)
+
+        def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                for number, ids, out, texts, *found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield Chunk(*buffers(texts_of(pa.array(texts, pa.string()))), held.value, slices), number, ids, out, found
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, number, *_ in chunks_of(batches):
                 heads = np.flatnonzero(np.diff(chunk.where, prepend=-1))
                 ends = np.append(heads[1:], len(chunk.keys))
-                keys = [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
-                none = [None] * len(keys)
-                yield batch_of(ASKED, [number] * len(keys), chunk.where[heads], keys, none, none, none)
-                yield batch_of(ASKED, [number], [-1], [None], *[[batch.column(i).to_pylist()] for i in range(3)])
-                number += len(batch)
+                yield batch_of(ASKED, [number] * len(heads), chunk.where[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
 
         def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, ids, out, texts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    data, offsets = buffers(texts_of(pa.array(texts, pa.string())))
-                    levels = np.frombuffer(b"".join(found or []), np.uint8)
-                    yield Chunk(data, offsets, held.value, slices).scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
-
-        asked = write_shared(rows.mapInArrow(ask, ASKED_DDL), "asked")
-        chunks = asked.where("slice < 0").select("chunk", "doc_ids", "held", "texts").join(answered(asked, blocks, slices), "chunk", "left")
-        rows = write_shared(chunks.mapInArrow(score_chunks, SCORED_DDL), "scored")
+            for chunk, number, ids, out, (found,) in chunks_of(batches):
+                levels = np.frombuffer(b"".join(found or []), np.uint8)
+                yield chunk.scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
+
+        chunks = write_shared(rows.mapInArrow(gather, "chunk long, doc_ids array<long>, held array<boolean>, texts array<string>"), "chunks")
+        asked = chunks.mapInArrow(ask, "chunk long, slice int, keys binary")
+        rows = write_shared(chunks.join(answered(asked, blocks, slices), "chunk", "left").mapInArrow(score_chunks, SCORED_DDL), "scored")
+        release(docs.sparkSession)
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
