@@ -7,8 +7,8 @@ Equal texts are one node. A node's fingerprint has 128 bits over its distinct wo
 shingles share nearly all of these, while unrelated ones share only common words. The trie self-join over sampled
 tables links fingerprints within ``BUDGET`` bits; what these links connect is a cluster. Within a cluster of up to
 ``BLOCK`` texts every pair is verified on the whole shingle sets. In a larger one all are held against its medoid, the
-text whose fingerprint is nearest to the majority of all bits; near copies of that are a group, and what is left is
-clustered anew by its links. Only verified links make groups.
+text whose fingerprint is nearest to the majority of all bits, and near copies of that are a group. Only verified links
+make groups.
 
 The trie can miss pairs, so a prefix-filter join finds all others: with every set in one order of all shingles, sets of
 n shingles that are near copies share one of their first n - ceil(LIKENESS n) + 1. Pairs that do, and are neither in one
@@ -40,8 +40,6 @@ WIDTH, LIKENESS = 5, 0.8
 BITS, BUDGET, TABLES, SAMPLE = 128, 18, 24, 20
 #: Texts that are compared in one task; columns of the membership matrix at once.
 BLOCK, COLUMNS = 1024, 2048
-#: How often large clusters are split by their medoids; what is still large then is left to the prefix-filter join.
-ROUNDS = 4
 #: One text in so many is looked at for common shingles; how often these occur there at least, and the most of them.
 SAMPLED, COMMON, MOST = 16, 4, 1 << 20
 #: What rounding may take from a product with the likeness.
@@ -220,7 +218,7 @@ def compared(docs: DataFrame, members: DataFrame, width: int, likeness: float) -
     return ordered.mapInArrow(lambda batches: by_cell(batches, compare, 512), "a long, b long")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, likeness: float) -> DataFrame:
+def verified_star(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, likeness: float) -> DataFrame:
     """Those of the links (a, b) that are near copies. All of one b are stars around it, of ``BLOCK`` links or so."""
     many = links.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rays = links.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
@@ -229,6 +227,19 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, li
     return compared(docs, members.join(nodes.select("node", "least"), "node"), width, likeness)
 
 
+def verified_pairs(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, pairs: DataFrame, width: int, likeness: float) -> DataFrame:
+    """Links (a, b) that connect those of the pairs that are near copies. A cell holds the texts of all pairs between two blocks
+    of ``BLOCK`` texts or so of their clusters, each once; a text without a cluster is a block of its own."""
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = clusters.join(sizes, "root").select("node", F.struct("root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).alias("place"))
+    of = lambda c: blocks.select(F.col("node").alias(c), F.col("place").alias(f"place_{c}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    where = [F.coalesce(f"place_{c}", F.struct(F.col(c).alias("root"), F.lit(0).alias("block"))) for c in ("a", "b")]
+    cell = F.xxhash64(F.least(*where), F.greatest(*where))
+    members = placed.select(cell.alias("cell"), F.explode(F.array("a", "b")).alias("node")).distinct().select("cell", F.lit(0).alias("block"), F.lit(False).alias("hub"), "node")
+    return compared(docs, members.join(nodes.select("node", "least"), "node"), width, likeness)
+
+
 def medoids(members: DataFrame) -> DataFrame:
     """(root, hub): of each cluster of ``members`` (root, node, w0, w1) the node nearest to the majority of its bits."""
     one = lambda w, i: F.shiftrightunsigned(w, i).bitwiseAND(F.lit(1))
@@ -241,28 +252,20 @@ def medoids(members: DataFrame) -> DataFrame:
     return members.join(sums.select("root", *major), "root").groupBy("root").agg(F.min(F.struct(away.alias("away"), "node")).alias("h")).select("root", F.col("h.node").alias("hub"))
 
 
-def labels_and_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, width: int, likeness: float) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of texts whose pairs need no other look, and the verified links among the trie's clusters."""
-    links = write_shared(near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "trie-links")
-    labels = found = None
-    more = lambda x, y: y if x is None else x.unionByName(y)
-    for _ in range(ROUNDS):
-        clusters = write_shared(components(links), "clusters")
-        large = write_shared(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root"), "large-clusters")
-        small = clusters.join(large, "root", "left_anti").select("node", "root")
-        members = small.select(F.col("root").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("hub"), "node").join(nodes.select("node", "least"), "node")
-        labels, found = more(labels, small), more(found, compared(docs, members, width, likeness))
-        if large.isEmpty():
-            break
-        inside = clusters.join(large, "root", "left_semi").join(nodes.select("node", "w0", "w1"), "node")
-        hubs = write_shared(medoids(inside), "medoids")
-        rays = inside.join(hubs, "root").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        star = write_shared(verified(docs, nodes, rays, width, likeness), "stars")
-        grouped = star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(hubs.select(F.col("hub").alias("node"), F.col("hub").alias("root")))
-        labels, found = labels.unionByName(grouped), found.unionByName(star)
-        rest = inside.select("node").join(grouped, "node", "left_anti")
-        links = write_shared(links.join(rest.withColumnRenamed("node", "a"), "a", "left_semi").join(rest.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "trie-links")
-    return labels, found
+def labels_and_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of texts whose pairs need no other look, and the verified links within the trie's clusters."""
+    large = write_shared(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root"), "large-clusters")
+    small = clusters.join(large, "root", "left_anti").select("node", "root")
+    members = small.select(F.col("root").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("hub"), "node").join(nodes.select("node", "least"), "node")
+    found = compared(docs, members, width, likeness)
+    if large.isEmpty():
+        return small, found
+    inside = clusters.join(large, "root", "left_semi").join(nodes.select("node", "w0", "w1"), "node")
+    hubs = write_shared(medoids(inside), "medoids")
+    rays = inside.join(hubs, "root").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    star = write_shared(verified_star(docs, nodes, rays, width, likeness), "stars")
+    grouped = star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(hubs.select(F.col("hub").alias("node"), F.col("hub").alias("root")))
+    return small.unionByName(grouped), found.unionByName(star)
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
@@ -270,9 +273,10 @@ def without_near_copies(docs: DataFrame, width: int = WIDTH, likeness: float = L
     nodes = write_shared(text_nodes(docs, width, likeness), "text-nodes")
     size = max(SAMPLE, nodes.count().bit_length() + 3)  # so that few texts share a key by chance
     near = linked(nodes.select("node", "w0", "w1"), Tables.sampled(BITS, BUDGET, TABLES, size))
-    labels, found = labels_and_links(docs, nodes, near, width, likeness)
+    clusters = write_shared(components(near), "clusters")
+    labels, found = labels_and_links(docs, nodes, clusters, width, likeness)
     pairs = write_shared(other_pairs(nodes, labels, likeness), "other-pairs")
-    groups = components(found.unionByName(verified(docs, nodes, pairs, width, likeness)))
+    groups = components(found.unionByName(verified_pairs(docs, nodes, clusters, pairs, width, likeness)))
     rooted = nodes.join(groups, "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
     # The least row of each group, by doc_id, then by node where doc_ids are equal or null.
     rank = F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "check")
