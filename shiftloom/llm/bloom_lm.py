@@ -7,16 +7,17 @@ level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter
 word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that fewer
 than ``FALSE_MASS`` times ``MU`` of V pairs that aren't there are hit; that is 10 bits a probe for each entry.
 
-Scoring: a filter of up to ``BROADCAST_BYTES`` goes to all workers by broadcast, in parts so that the driver never holds it
-whole. A larger one stays in its table: each chunk of texts sends its distinct n-grams to their slices and gets their
-levels back. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing, and
-then of those between. Then
+Scoring: the filter goes to all workers by broadcast, in segments of at most ``BROADCAST_BYTES`` and each in parts, so that
+the driver never holds one whole; each takes a pass over the texts, and the levels found so far stay beside them. A filter
+of more than ``PASSES`` segments stays in its table: each chunk of texts sends its distinct n-grams to their slices and gets
+their levels back. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing,
+and then of those between. Then
 
     p(w | h) = (c(h w) + MU p(w)) / (t(h) + f + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
 
 with c(h w) the middle of a level's counts, t(h) the sum of these over all words after h, t that of c(w), and f the
-false hits in V probes, from the filter's bits: so both sum to 1 over the vocabulary and one unknown word. t(h) is the count of h and what quantising added, which slices give
-out only for pairs that it changed. The score is the sum of log10 p over all words and the end.
+false hits in V probes, from the filter's bits: so both sum to 1 over the vocabulary and one unknown word.
+t(h) is the count of h and what quantising added, which slices give out only for pairs that it changed. The score is the sum of log10 p over all words and the end.
 
 ``base_score`` and ``n_known`` are exact. Words in a broadcast dictionary (all from a count on, the least that leaves
 no more than ``DICTIONARY`` words) are looked up there, with their t; the others meet theirs in a join.
@@ -41,6 +42,8 @@ from .common import batch_of, buffers, in_chunks, read_table, release, text_col,
 
 PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
 PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 96 << 20, 1 << 20, 500.0
+#: Broadcasts, one after the other, up to which a filter is broadcast.
+PASSES = 4
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.
@@ -375,10 +378,11 @@ def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 SCORED_DDL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>"
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int64()))])
-CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string())), ("found", pa.binary())])
+CHUNKS_DDL = "chunk long, doc_ids array<long>, held array<boolean>, texts array<string>, found binary"
 ASKED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary())])
-#: Bytes of text that are scored at once, with the filter broadcast and where it is.
-CHUNK, LARGE_CHUNK = 1 << 20, 4 << 20
+#: Bytes of text that are scored at once.
+CHUNK = 2 << 20
 
 
 class Chunk:
@@ -448,7 +452,7 @@ def answered(asked: DataFrame, blocks: DataFrame, slices: int) -> DataFrame:
     return found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "levels"))), lambda x: x["levels"]).alias("found"))
 
 
-def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, passes: int = PASSES, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; ``held_out`` is a
     boolean column, true for the rows that aren't learnt from."""
     sc = docs.sparkSession.sparkContext
@@ -465,33 +469,40 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
 
         return TaskContext.get().partitionId() << 40
 
-    if sum(n for _, _, n in sizes) <= broadcast_bytes:
-        shared = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(sizes, PART_BYTES)]
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = first_number()
+        for batch, _, _ in in_chunks(batches, "text", CHUNK):
+            yield batch_of(CHUNKS, [number], *[[batch.column(i).to_pylist()] for i in range(3)], [None])
+            number += len(batch)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number, parts = first_number(), [x.value for x in shared]
-            for batch, data, offsets in in_chunks(batches, "text", CHUNK):
-                chunk = Chunk(data, offsets, held.value, slices)
-                yield chunk.scored(batch.column(0), batch.column(1), number, levels_in(parts, chunk.keys), *numbers)
-                number += len(batch)
-
-        rows = write_shared(rows.mapInArrow(score, SCORED_DDL), "scored")
-        for x in shared:
-            x.destroy()
-        release(docs.sparkSession)
+    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for number, ids, out, texts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield Chunk(*buffers(texts_of(pa.array(texts, pa.string()))), held.value, slices), number, ids, out, texts, found
+
+    todo = segments(sizes, broadcast_bytes) or [[]]
+    if len(todo) <= passes:
+
+        def look_up(batches: Iterator[pa.RecordBatch], shared: list, last: bool) -> Iterator[pa.RecordBatch]:
+            parts = [x.value for x in shared]
+            for chunk, number, ids, out, texts, found in chunks_of(batches):
+                levels = levels_in(parts, chunk.keys)
+                if found is not None:
+                    levels = np.maximum(levels, np.frombuffer(found, np.uint8))
+                if last:
+                    yield chunk.scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
+                else:
+                    yield batch_of(CHUNKS, [number], [ids], [out], [texts], [levels.tobytes()])
+
+        rows = rows.mapInArrow(gather, CHUNKS_DDL)
+        for i, segment in enumerate(todo):
+            shared, last = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(segment, PART_BYTES)], i + 1 == len(todo)
+            rows = write_shared(rows.mapInArrow(lambda batches, shared=shared, last=last: look_up(batches, shared, last), SCORED_DDL if last else CHUNKS_DDL), "scored")
+            for x in shared:
+                x.destroy()
+            release(docs.sparkSession)
     else:
 
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = first_number()
-            for batch, _, _ in in_chunks(batches, "text", LARGE_CHUNK):
-                yield batch_of(CHUNKS, [number], *[[batch.column(i).to_pylist()] for i in range(3)])
-                number += len(batch)
-
-        def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
-                for number, ids, out, texts, *found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield Chunk(*buffers(texts_of(pa.array(texts, pa.string()))), held.value, slices), number, ids, out, found
-
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, number, *_ in chunks_of(batches):
                 heads = np.flatnonzero(np.diff(chunk.where, prepend=-1))
@@ -499,12 +510,12 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
                 yield batch_of(ASKED, [number] * len(heads), chunk.where[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
 
         def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, number, ids, out, (found,) in chunks_of(batches):
+            for chunk, number, ids, out, _, found in chunks_of(batches):
                 levels = np.frombuffer(b"".join(found or []), np.uint8)
                 yield chunk.scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
 
-        chunks = write_shared(rows.mapInArrow(gather, "chunk long, doc_ids array<long>, held array<boolean>, texts array<string>"), "chunks")
-        asked = chunks.mapInArrow(ask, "chunk long, slice int, keys binary")
+        chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks").drop("found")
+        asked = chunks.withColumn("found", F.lit(None)).mapInArrow(ask, "chunk long, slice int, keys binary")
         rows = write_shared(chunks.join(answered(asked, blocks, slices), "chunk", "left").mapInArrow(score_chunks, SCORED_DDL), "scored")
         release(docs.sparkSession)
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
