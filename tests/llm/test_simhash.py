@@ -106,7 +106,7 @@ def alike(a, b):
 
 @pytest.mark.parametrize("block", [1024, 3])
 def test_one_row_of_each_group_of_near_copies_stays(spark, docs, no_docs, monkeypatch, block):
-    """With whole clusters compared, and with the trie's links and the prefix-filter join for all of more than three texts."""
+    """With clusters of one block, and dealt to pairs of blocks."""
     monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = random.Random(3)
     rows = []
