@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, buffers, in_chunks, read_table, release, text_col, texts_of, write_shared
 
-PRESUM_TOKENS, SLICE_BYTES = 4_000_000, 8 << 20
+PRESUM_TOKENS, SLICE_BYTES = 1_500_000, 8 << 20
 PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 96 << 20, 1 << 20, 500.0
 #: Broadcasts, one after the other, up to which a filter is broadcast.
 PASSES = 4
