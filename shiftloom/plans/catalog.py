@@ -375,6 +375,7 @@ def silhouette(spark, sf_dir):
 
 
 def _concepts(spark, sf_dir):
+    """Concept axes from vectors with labels, and the passages' mean scores along them."""
     e = b.table(spark, sf_dir, "embeddings").where("label IN (0, 1, 2, 3)")
     seeds = e.select(F.when(F.col("label") < 2, "first").otherwise("second").alias("axis"), F.when(F.col("label") % 2 == 0, "positive").otherwise("negative").alias("polarity"), F.col("embedding").alias("vec"))
     return generations.concept_scores(_counted(spark, sf_dir, "label", "model"), generations.concept_axis(seeds), ["label", "model"])
@@ -595,4 +596,4 @@ def generation_deficit(spark, sf_dir):
     return grid.join(have, ["family", "label", "model"], "left").select("family", "label", "model", F.greatest(F.lit(0), F.lit(30) - F.coalesce("n", F.lit(0))).cast("long").alias("deficit"))
 
 
-from . import catalog_tables  # noqa: E402, F401  (registers its queries)
+from . import catalog_learnt, catalog_tables  # noqa: E402, F401  (they register their queries)
