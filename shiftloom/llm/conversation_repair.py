@@ -18,8 +18,8 @@ earlier ones (texts seen there) meets it in a window by (conversation, hash of r
 conversation's parts come together, in order, in one task, as they are one row of the result.
 
 null turn: sorted first, and not a turn for ``gaps``. null role or text: as one space (the query), as empty (the
-operator). A null conv_id is a conversation of its own. Rows of one turn: by a hash of role and text; equal rows are
-duplicates after the first. Roles other than system, user and assistant can't be kept unless they begin as these do. A
+operator). A null conv_id is a conversation of its own. Rows of one turn: by role, then by text (32 characters, then
+a hash); equal rows are duplicates after the first. Roles other than system, user and assistant can't be kept unless they begin as these do. A
 conversation without rows left: zeros, an empty audit, no turns. Empty table: no rows. Other columns are not read, and
 their names don't matter. Texts are compared by 128-bit hashes across parts.
 """
@@ -161,8 +161,8 @@ def packed(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
             yield held[0], (number << 33) + k, False, *held[1:4]
 
     keyed = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("ckey"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "gone")
-    keyed = keyed.withColumns({"tie": F.xxhash64("role", "text"), "row": F.monotonically_increasing_id()})
-    order = ["ckey", "turn", "tie", "row"]
+    keyed = keyed.withColumns({"head": F.substring("text", 1, 32), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ["ckey", "turn", "role", "head", "tie", "row"]
     ranges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return ranges.select("ckey", "turn", "role", "text", "gone").mapInArrow(lambda b: batches_of(run(b), PART_DDL, 64), PART_DDL)
 

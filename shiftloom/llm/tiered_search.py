@@ -107,7 +107,7 @@ def histogram(table: DataFrame, many: int, total: int) -> DataFrame:
             order = np.argsort(term * (SCALE + 1) + c)
             key = term[order] * STEPS + np.minimum(c[order] * STEPS // SCALE, STEPS - 1)
             heads = np.flatnonzero(np.diff(key, prepend=-1))
-            ends = np.append(heads[1:], len(key))
+            ends = np.append(heads[1:], len(key))[: len(heads)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((key[heads] // STEPS, pa.int32()), (key[heads] % STEPS, pa.int32()), (ends - heads, pa.int64()), (c[order][ends - 1], pa.int64()))], names=["term", "step", "n", "top"])
 
     each = table.select("n", "terms", "counts").mapInArrow(run, "term int, step int, n long, top long")

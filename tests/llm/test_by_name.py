@@ -16,6 +16,8 @@ from shiftloom.llm.bpe_codec import default_path
 from shiftloom.llm.quality_qda import FLOOR, SHRINK, statistics
 from shiftloom.llm.registry import QUERIES
 
+from . import plain
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
@@ -215,3 +217,24 @@ def test_op10_removes_what_starts_twice(spark, texts):
         kept = bytes(np.frombuffer(r, np.uint8)[~gone[:-1]])
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(r), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and got[i].text == kept.decode("utf-8", "ignore")
+
+
+def test_op11_ranks_as_all_scores_do(spark):
+    got = sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in run(spark, "op11_tiered_search")), key=repr)
+    assert got == plain.search(table("documents", "doc_id, text"), table("benchmark", "item_id, text"))
+
+
+def test_op12_hits_what_windows_hit(spark):
+    items = table("benchmark", "item_id, text")
+    got = {r.doc_id: r for r in run(spark, "op12_window_leaks")}
+    for i, text in table("documents", "doc_id, text"):
+        words, hit, names = plain.leaks(text, items)
+        r = got.pop(i)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(words), sum(hit), len(names), plain.sha(",".join(names)), any(hit))
+    assert not got
+
+
+def test_op13_repairs_as_all_edits_do(spark):
+    kept = plain.damaged(table("conversations", "conv_id, turn, role, text"))
+    got = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in run(spark, "op13_lattice_repair")}
+    assert got == {c: plain.repaired(sorted(rows, key=lambda r: r[0])) for c, rows in kept.items()}
