@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import write_shared
+from .sums import DDL, block_row, blocks_of, merged, placed
 
 FEATURES, DIMS, EXTRA, PASSES = 1 << 14, 48, 16, 4
-#: Columns in a block of sums, and counts worked on at a time.
-COLUMNS, COUNTS = 256, 1 << 17
+#: Counts worked on at a time.
+COUNTS = 1 << 17
 
 
 def feature_ids(text, size: int = FEATURES):
@@ -80,9 +81,8 @@ def pieces(column: pa.ListArray) -> Iterator[pa.ListArray]:
 
 def passed(rows: DataFrame, idf: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(R, Z) of a pass over ``rows`` (ids): R of A ``by``, and A'A ``by``."""
-    spark, thin = rows.sparkSession, by.shape[1]
-    given = spark.sparkContext.broadcast((idf, by))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    thin = by.shape[1]
+    given = rows.sparkSession.sparkContext.broadcast((idf, by))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf_, by_ = given.value
@@ -97,35 +97,15 @@ def passed(rows: DataFrame, idf: np.ndarray, by: np.ndarray) -> tuple[np.ndarray
                 heads = np.flatnonzero(np.diff(column[order], prepend=-1))
                 if len(heads):
                     z[column[order][heads]] += np.add.reduceat(value[order, None] * y[row[order]], heads)
-        blocks = [(-1, r), *((k, z[at : at + COLUMNS]) for k, at in enumerate(range(0, len(z), COLUMNS)))]
-        for k, x in blocks:
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
+        if len(r):
+            yield block_row(0, r)
+        yield from blocks_of(z, 1)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # rows come sorted by block: one at a time
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, thin)
-                if held and k not in held:
-                    yield row_of(*held.popitem())
-                held[k] = x if k not in held else np.linalg.qr(np.vstack([held[k], x]), "r") if k < 0 else held[k] + x
-        if held:
-            yield row_of(*held.popitem())
-
-    def row_of(k: int, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
-
-    ddl = "block int, data binary"
-    sums = rows.select("ids").mapInArrow(run, ddl).repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(merge, ddl)
-    r, z = np.zeros((1, thin)), np.zeros((len(idf), thin))
-    for k, data in sums.collect():  # size / COLUMNS blocks, and R
-        x = np.frombuffer(data, np.float64).reshape(-1, thin)
-        if k < 0:
-            r = x
-        else:
-            z[k * COLUMNS : k * COLUMNS + len(x)] = x
-    return r, z
+    def combine(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b if k else np.linalg.qr(np.vstack([a.reshape(-1, thin), b.reshape(-1, thin)]), "r").ravel()
+
+    sums = merged(rows.select("ids").mapInArrow(run, DDL), combine)
+    return sums.get(0, np.zeros(thin)).reshape(-1, thin), placed(sums, by.shape, 1)
 
 
 @dataclass
