@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from shiftloom.functions.text import GENRE_TOKENS
 from shiftloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,28 @@ def test_concept_scores_order_and_shift(spark, passages):
     for (label, axis), x in shift.items():
         last = scores.get((label, "dpo", axis), scores.get((label, "sft", axis)))
         assert abs(x - (last - scores[label, "base", axis])) < 2e-6
+
+
+def test_taxonomy_by_word_classes(spark):
+    classes = {(r.prompt, r.word): (f"C{r.cls}", r.n) for r in catalog.QUERIES["word_classes"](spark, SF).collect()}
+    total = sum(n for _, n in classes.values())
+    often = Counter()
+    for (_, word), (_, n) in classes.items():
+        often[word] += n
+    pairs = catalog.QUERIES["taxonomy_class_pairs"](spark, SF).collect()
+    assert len(pairs) > 20 and len({k for k, _ in classes.values()}) > 3
+    kinds = Counter()
+    for r in pairs:
+        assert r.source_pos == classes[r.prompt, r.source][0]
+        if r.target is None:
+            want = "genre_change"
+        else:
+            pos, freq = classes[r.prompt, r.target][0], np.log10(often[r.target] / total * 1e9)
+            assert r.target_pos == pos and abs(r.target_freq - freq) < 2e-6
+            want = "genre_change" if r.target in GENRE_TOKENS else "archaic" if freq < 3 else "register_shift" if pos == r.source_pos else "category_shift"
+        assert r.displacement_type == want
+        kinds[r.axis, want] += 1
+    sums = Counter()
+    for (axis, _), n in kinds.items():
+        sums[axis] += n
+    assert {(r.axis, r.displacement_type): (r.n, r.pct) for r in catalog.QUERIES["taxonomy_class_pct"](spark, SF).collect()} == {k: (n, pytest.approx(100 * n / sums[k[0]], abs=1e-5)) for k, n in kinds.items()}

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from shiftloom.plans import catalog
+from shiftloom.plans import catalog, catalog_learnt
 
 SF = "/root/testdata/sf0.001"
 HELD = ("shift_sft_dpo", "formation_table", "id_scores", "battery_summary", "metrics_wide", "top_movers", "best_links", "orphans", "transfer_v4", "absorption", "prompt_words", "silhouette", "step_metrics", "perplexity", "lens_rows", "taxonomy_pairs", "mann_whitney", "discover_words", "sample_tokens", "redistributed_step",
@@ -36,7 +36,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_of_the_same_columns(spark, duck):
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) | {"generated_ids"}
+    plain = {"generated_ids", *catalog_learnt.NAMES}  # held against plain versions here and in test_learnt
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) | plain
     for name in sorted(set(catalog.ORACLE_SQL) - set(HELD)):
         sql = catalog.ORACLE_SQL[name]
         assert sorted(catalog.QUERIES[name](spark, SF).columns) == sorted(r[0] for r in duck.execute(f"DESCRIBE {sql}").fetchall())
