@@ -90,3 +90,21 @@ def test_taxonomy_by_word_classes(spark):
     for (axis, _), n in kinds.items():
         sums[axis] += n
     assert {(r.axis, r.displacement_type): (r.n, r.pct) for r in catalog.QUERIES["taxonomy_class_pct"](spark, SF).collect()} == {k: (n, pytest.approx(100 * n / sums[k[0]], abs=1e-5)) for k, n in kinds.items()}
+
+
+def test_token_queries_equal_a_plain_model(spark):
+    from .test_token_words import Plain
+
+    plain = Plain(duckdb.sql(f"SELECT lang, text FROM '{SF}/documents.parquet'").fetchall())
+    found = defaultdict(dict)
+    for r in catalog.QUERIES["token_discover_words"](spark, SF).collect():
+        found[r.prompt][r.word] = r.prob
+    for lang, words in found.items():
+        want = plain.discover(lang, 200, 4)
+        assert words.keys() == want.keys() and all(abs(p - want[w]) < 2e-6 for w, p in words.items())
+    assert set(found) == set(plain.words)
+    scores = {(r.prompt, r.word): r for r in catalog.QUERIES["token_word_logprobs"](spark, SF).collect()}
+    first = {(r.prompt, r.word): r.prob for r in catalog.QUERIES["token_first_scores"](spark, SF).collect()}
+    assert set(first) <= set(scores) and len({g for g, _ in scores}) == len(found)
+    some = sorted(scores)[:: max(1, len(scores) // 60)]
+    assert all(abs(scores[k].logp - plain.logp(*k)) < 1e-5 for k in some)
