@@ -596,4 +596,4 @@ def generation_deficit(spark, sf_dir):
     return grid.join(have, ["family", "label", "model"], "left").select("family", "label", "model", F.greatest(F.lit(0), F.lit(30) - F.coalesce("n", F.lit(0))).cast("long").alias("deficit"))
 
 
-from . import catalog_learnt, catalog_sql, catalog_tables  # noqa: E402, F401  (they register their queries)
+from . import catalog_learnt, catalog_sql, catalog_stats, catalog_tables  # noqa: E402, F401  (they register their queries)
