@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import itertools
 import math
 import os
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shiftloom.operators import permutations, stats
+from shiftloom.operators import permutations, sampling, stats
 from shiftloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +126,32 @@ def test_correlation_p(spark):
     assert got["g"].n == 4 and math.isclose(got["g"].r, r) and math.isclose(got["g"].p, simpson(r, 4), rel_tol=1e-6) and got["h"].p is None and got["c"].p is None
 
 
+def plain_draws(weights, key, draws):
+    rows = sorted(((w, -n) for w, n in weights.items() if n and n > 0), key=lambda x: (x[1], x[0]))
+    cum = np.cumsum([-n for _, n in rows])
+    out = []
+    for k in range(draws):
+        u = int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:8], 16) / 4294967296 * cum[-1]
+        out.append(rows[min(len(rows) - 1, int(np.searchsorted(cum, u, side="left")))][0])
+    return out
+
+
+def test_draws_from_a_large_vocabulary(spark):
+    size = 200_000
+    weights = {f"w{k:06d}": (k * 7919 % 1000) ** 2 // 100 + (10**6 if k == 77 else 0) for k in range(size)}
+    df = spark.range(size).select(F.lit("big").alias("key"), F.format_string("w%06d", "id").alias("word"))
+    n = F.floor(F.pow(F.substring("word", 2, 6).cast("long") * 7919 % 1000, 2) / 100) + F.when(F.col("word") == "w000077", 10**6).otherwise(0)
+    small = spark.createDataFrame([("one", "x", 2.0), ("two", "a", 1.0), ("two", "b", 1.0), ("two", "c", 0.0), ("two", "d", None), ("none", "z", 0.0)], "key string, word string, weight double")
+    got = {}
+    drawn = sampling.draw_by_ranges(df.withColumn("weight", n.cast("double")).unionByName(small), ["key"], 1000)
+    for r in drawn.collect():
+        got.setdefault(r.key, {})[r.draw] = r.word
+    assert set(got) == {"big", "one", "two"} and "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert [got["big"][k] for k in range(1000)] == plain_draws(weights, "big", 1000)
+    assert [got["two"][k] for k in range(1000)] == plain_draws({"a": 1, "b": 1}, "two", 1000) and set(got["one"].values()) == {"x"}
+    assert sampling.draw_by_ranges(small.where("false"), ["key"], 3).count() == 0
+
+
 @needs_tables
 def test_queries(spark):
     con = duckdb.connect()
@@ -133,6 +160,8 @@ def test_queries(spark):
     for name in ("perm_keyed_mean", "perm_keyed_best"):
         got, want = catalog.QUERIES[name](spark, SF).first(), con.execute(catalog.ORACLE_SQL[name]).df().iloc[0]
         assert math.isclose(got.observed, want.observed, abs_tol=1e-6) and math.isclose(got.p_value, want.p_value, abs_tol=1e-9)
+    drawn = sorted(tuple(r) for r in catalog.QUERIES["sample_words"](spark, SF).collect())
+    assert len(drawn) > 10_000 and drawn == sorted(con.execute(catalog.ORACLE_SQL["sample_words"]).fetchall())
     pairs = {(r.a, r.b): r for r in catalog.QUERIES["perm_pairs_mean"](spark, SF).collect()}
     labels = con.execute("SELECT count(DISTINCT label) FROM embeddings").fetchone()[0]
     assert len(pairs) == labels * (labels - 1) // 2 and pairs[0, 1].p_value == catalog.QUERIES["perm_keyed_mean"](spark, SF).first().p_value
