@@ -109,3 +109,45 @@ def best_across(items: DataFrame, groups: DataFrame) -> DataFrame:
 
     best = over_blocks(pairs, [], work, "perm int, a long, m double")
     return best.groupBy("perm", "a").agg(F.max("m").alias("m"))
+
+
+#: Dimensions whose signs deal rows to blocks that lie near each other.
+SIGNS = 4
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float, block: int = BLOCK) -> DataFrame:
+    """(keys, source, target, sim) of all pairs of ``left`` and ``right`` rows (keys, item, vec) of the same keys whose product is at
+    least ``least``. Rows are dealt to blocks by the signs of their first components, and by hash where such a block would be
+    larger than ``block``. A pair of blocks with centres c, d and radii r, s has no product above c d + r |d| + s |c| + r s:
+    where that is too little, neither block is sent. The others meet in a task that multiplies two matrices."""
+    kind = left.schema["item"].dataType.simpleString()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        signs = F.aggregate(F.slice("vec", 1, SIGNS), F.lit(0), lambda s, x: s * 2 + (x > 0).cast("int"))
+        rows = df.select(*keys, "item", F.transform("vec", lambda x: x.cast("double")).alias("vec")).withColumn("_signs", signs)
+        sizes = rows.groupBy(*keys, "_signs").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_many"))
+        return rows.join(sizes, [*keys, "_signs"]).withColumn("_block", F.struct("_signs", F.pmod(F.xxhash64("item"), F.col("_many")).cast("int").alias("part"))).drop("_signs", "_many")
+
+    def measured(rows: DataFrame, c: str, r: str, b: str) -> DataFrame:
+        each = rows.select(*keys, "_block", F.posexplode("vec").alias("dim", "x")).groupBy(*keys, "_block", "dim").agg(F.avg("x").alias("m"))
+        centre = each.groupBy(*keys, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias(c))
+        far = F.sqrt(F.aggregate(F.zip_with("vec", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        return rows.join(centre, [*keys, "_block"]).groupBy(*keys, "_block").agg(F.first(c).alias(c), F.max(far).alias(r)).withColumnRenamed("_block", b)
+
+    first, second = dealt(left), dealt(right)
+    pairs = measured(first, "_c", "_r", "_bi").join(measured(second, "_d", "_s", "_bj"), keys)
+    dot_ = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: F.sqrt(dot_(a, a))
+    bound = dot_("_c", "_d") + F.col("_r") * norm("_d") + F.col("_s") * norm("_c") + F.col("_r") * F.col("_s")
+    asked = pairs.where(bound >= least - 1e-9).select(*keys, "_bi", "_bj")
+    sent = [asked.join(rows.withColumnRenamed("_block", own), [*keys, own]).select(*keys, F.col("_bi").alias("bi"), F.col("_bj").alias("bj"), "item", "vec", F.lit(side).alias("side")) for side, rows, own in ((0, first, "_bi"), (1, second, "_bj"))]
+    schema = ", ".join([*(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys), f"source {kind}, target {kind}, sim double"])
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = not len(a) or not len(b)
+        sim = np.zeros((0, 0)) if none else matrix(a) @ matrix(b).T
+        i, j = np.nonzero(sim >= least)
+        out = a if none else b
+        return pa.table([out.column(k).take(pa.array(i if out is a else j)) for k in keys] + [a.column("item").take(pa.array(i)), b.column("item").take(pa.array(j)), pa.array(sim[i, j], pa.float64())], names=[*keys, "source", "target", "sim"])
+
+    return over_blocks(sent[0].unionByName(sent[1]), keys, work, schema)

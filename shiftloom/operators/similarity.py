@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
-from .blocks import best_across, nearest
+from .blocks import best_across, nearest, similar_pairs
 
 
 def movement(wide: DataFrame, threshold: float, least: float) -> DataFrame:
@@ -25,6 +25,13 @@ def similarity_join(moves: DataFrame, vectors: DataFrame) -> DataFrame:
     return left.join(right, ["prompt", "axis", "net_layer"]).select("prompt", "axis", "net_layer", "source", "target", dot(F.col("sv"), F.col("tv")).alias("sim"))
 
 
+def similar_words(moves: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """``similarity_join`` without the pairs below ``least``: by pairs of blocks, of which those that can't reach it don't meet."""
+    vec = moves.join(vectors, ["prompt", "word"])
+    of = lambda side: vec.where(F.col("side") == side).select("prompt", "axis", "net_layer", F.col("word").alias("item"), "vec")
+    return similar_pairs(of("source"), of("target"), ["prompt", "axis", "net_layer"], least)
+
+
 def best_links(sims: DataFrame, middle: int, least: float, places: int = 6) -> DataFrame:
     """At the middle layer: each source's best target and each target's best source, on rounded similarities."""
     at = sims.where(F.col("net_layer") == middle).withColumn("similarity", F.round("sim", places))

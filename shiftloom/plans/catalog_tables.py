@@ -12,7 +12,7 @@ from ..functions.text import coarse_category, full_category, slug, stage_label
 from ..operators import discovery, distributions, generations, reports, sampling, shift, transfer
 from ..schemas import LAYERS
 from ..sources import bindings as b
-from ..sources import registry, tables
+from ..sources import registry, tables, versions
 from ..sources.shared import shared_path, write_shared
 from . import catalog as c
 from .catalog import query, rounded
@@ -314,6 +314,19 @@ def cached_scores(spark, sf_dir):
     return cache.read_through(w.select("prompt"), of, 2)
 
 
+@query
+def versioned_scores(spark, sf_dir):
+    """Scores read through a table of versions that has some prompts, one version of which was out of date."""
+    w = c.kept_wide(spark, sf_dir)
+    of = lambda keys: rounded(shift.drive_scores(w.join(keys, "prompt", "left_semi")))
+    schema = ", ".join(f"{n} {t}" for n, t in of(w.select("prompt")).dtypes)
+    table = versions.VersionedTable(spark, shared_path(spark, "versions"), schema, ("prompt",), 4)
+    some = w.select("prompt").distinct().where("prompt < 'f'")
+    table.put(of(some).withColumn("id_score", F.lit(0.0)))
+    table.put(of(some))
+    return table.read_through(w.select("prompt"), of)
+
+
 @query
 def uncached_keys(spark, sf_dir):
     """Sources whose documents are not all in a cache of the labelled ones' sources."""

@@ -78,6 +78,7 @@ TABLE_SQL: dict[str, str] = {
     "parquet_round_trip": f"SELECT * FROM ({ORACLE_SQL['formation_table']}) WHERE trajectory <> 'flat'",
     "json_round_trip": f"SELECT prompt, word, coalesce(drive_weight, 0) AS drive_weight, n_condensation_sources, role FROM ({ORACLE_SQL['analysis_table']})",
     "cached_scores": ORACLE_SQL["id_scores"],
+    "versioned_scores": ORACLE_SQL["id_scores"],
     "uncached_keys": "SELECT source FROM documents EXCEPT SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "logged_passages": f"WITH {_GENS} SELECT family, label, model, gen_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY family, label, model ORDER BY 1 - gen_id % 2, gen_id) AS seq FROM gens) WHERE seq <= 3",
     "missing_passages": f"WITH {_GENS} SELECT family, label, model, 40 - count(*) AS deficit FROM gens GROUP BY ALL HAVING count(*) < 40",
