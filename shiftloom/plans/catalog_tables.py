@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log_perplexity, number_or_zero, ordering
 from ..functions.text import coarse_category, full_category, slug, stage_label
-from ..operators import discovery, distributions, generations, reports, sampling, shift, transfer
+from ..operators import discovery, distributions, generations, redistribution, reports, sampling, shift, transfer
 from ..schemas import LAYERS
 from ..sources import bindings as b
 from ..sources import registry, tables, versions
@@ -277,6 +277,35 @@ def generated_ids(spark, sf_dir):
     return out.select("prompt", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+#: Steps, and how many of them use the same links, of the generation whose vectors are refreshed.
+STEPS, REFRESH = 7, 3
+
+
+@query
+def refreshed_ids(spark, sf_dir):
+    """Seven tokens for each prompt by redistributed steps whose contextual vectors are made anew every three steps; vectors and
+    stages follow from the ids so far, and token 0 ends a text."""
+    side = distributions.softmax(b.token_logits(spark, sf_dir), ["prompt", "layer"], temperature=0.05)
+    side = write_shared(side.groupBy("prompt", "token_id").agg(*[F.max(F.when(F.col("layer") == s, F.col("prob"))).alias(s) for s in ("base", "sft", "dpo")]).where("base IS NOT NULL AND sft IS NOT NULL AND dpo IS NOT NULL"), "side")
+    many = side.agg(F.max("prompt") + 1).first()[0]
+    rows = b.vector_rows(spark, sf_dir)
+    vectors = rows.count()
+    said = F.aggregate("ids", F.lit(0), lambda s, x: s + x)
+
+    def next_probs(state: DataFrame) -> DataFrame:
+        to = state.select("prompt", F.pmod(F.col("prompt") + said, F.lit(many)).alias("like"))
+        return to.join(side.withColumnRenamed("prompt", "like"), "like").drop("like")
+
+    def vectors_of(state: DataFrame) -> DataFrame:
+        each = state.select("prompt", F.explode(F.sequence(F.lit(0), F.lit(b.TOKENS - 1))).alias("token_id"), said.alias("said"))
+        return each.withColumn("vec_row", F.pmod(F.col("prompt") * 31 + F.col("said") * 7 + F.col("token_id"), F.lit(vectors)).cast("long")).join(rows, "vec_row").select("prompt", "token_id", "vec")
+
+    settings = redistribution.Settings(falls=0.0005, refresh=REFRESH, end=0)
+    out = redistribution.generate(next_probs, vectors_of, side.select("prompt").distinct(), STEPS, write_shared, settings)
+    logged = F.transform("log", lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["token_id"].cast("string")))
+    return out.select("prompt", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(logged, ",").alias("log"))
+
+
 # Sources and sinks: written to the shared folder and read again.
 
 

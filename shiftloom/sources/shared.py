@@ -22,9 +22,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
+def write_shared(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

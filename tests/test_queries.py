@@ -36,7 +36,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_of_the_same_columns(spark, duck):
-    plain = {"generated_ids", *catalog_learnt.NAMES, *catalog_sql.NAMES, *catalog_stats.NAMES}  # held against plain versions here, in test_learnt, test_sql and test_statistics
+    plain = {"generated_ids", "refreshed_ids", *catalog_learnt.NAMES, *catalog_sql.NAMES, *catalog_stats.NAMES}  # held against plain versions here, in test_learnt, test_sql and test_statistics
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) | plain
     for name in sorted(set(catalog.ORACLE_SQL) - set(HELD)):
         sql = catalog.ORACLE_SQL[name]
@@ -81,6 +81,53 @@ def test_generated_ids_against_a_plain_loop(spark, duck):
     assert same == 40
 
 
+def test_refreshed_ids_against_a_plain_loop(spark, duck):
+    import hashlib
+
+    import numpy as np
+
+    from shiftloom.plans.catalog_tables import REFRESH, STEPS
+
+    rows = {v: np.array(e, float) for v, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()}
+    logits = {(v // 4, v % 4): e for v, e in rows.items()}
+    many = 1 + max(p for p, s in logits if all((p, t) in logits for t in range(3)))
+    soft = lambda x: np.exp(x / 0.05 - (x / 0.05).max()) / np.exp(x / 0.05 - (x / 0.05).max()).sum()
+    got, stale, ended = {r.prompt: r for r in catalog.QUERIES["refreshed_ids"](spark, SF).collect()}, 0, 0
+    assert len(got) == many
+    for prompt in range(many):
+        ids, log, links = [], [], None
+        for step in range(STEPS):
+            base, sft, dpo = (soft(logits[(prompt + sum(ids)) % many, s]) for s in range(3))
+            fall = sft - dpo
+            gone = fall > 0.0005
+            mass = np.where(gone, fall * (1 + np.log(1 + base / (base[base > 0].mean() + 1e-10))) * 0.3, 0.0)
+            sources = sorted(np.flatnonzero(gone), key=lambda t: (-mass[t], t))[:20]
+            targets = sorted(np.flatnonzero(~gone & (dpo > 1e-6)), key=lambda t: (-dpo[t], t))[:100]
+            if (step % REFRESH == 0 or links is None) and sources and targets:
+                vec = [rows[(prompt * 31 + sum(ids) * 7 + t) % len(rows)] for t in range(64)]
+                unit = [v / np.linalg.norm(v) for v in vec]
+                links = {(s, t): max(0.0, float(unit[s] @ unit[t])) for s in sources for t in targets}
+            out = np.where(gone, 0.0, dpo)
+            for s in {s for s, _ in links or {}}:
+                total = sum(x for (a, _), x in links.items() if a == s)
+                if mass[s] >= 1e-6 and total > 0:
+                    for (a, t), x in links.items():
+                        if a == s:
+                            out[t] += mass[s] * x / total
+                            stale += gone[t] and x > 0
+            p = out / out.sum()
+            order = sorted(range(64), key=lambda t: (-p[t], t))
+            u = int(hashlib.md5(f"{prompt}:{step}:0".encode()).hexdigest()[:8], 16) / 4294967296
+            token = next((t for t, c in zip(order, np.cumsum(p[order]), strict=True) if c >= u), order[-1])
+            ids.append(token)
+            log += [f"{step}:{token}"] if p[token] - dpo[token] > 0.003 else []
+            if token == 0:
+                ended += 1
+                break
+        assert (got[prompt].ids, got[prompt].log) == (",".join(map(str, ids)), ",".join(log)), prompt
+    assert stale > 0 and ended > 0 and any(r.log for r in got.values())
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
