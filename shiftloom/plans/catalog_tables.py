@@ -163,13 +163,12 @@ def pairs_report(spark, sf_dir):
 # Labels and registries.
 
 
-def _labels(spark) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in LABELS], "label string")
-
-
 @query
 def label_categories(spark, sf_dir):
-    return _labels(spark).select("label", coarse_category(F.col("label")).alias("coarse"), full_category(F.col("label")).alias("category"))
+    """Categories of the documents' labels: a document's number picks its label."""
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.pmod("doc_id", F.lit(len(LABELS))) + 1).cast("int"))
+    rows = b.table(spark, sf_dir, "documents").select(label.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("label", coarse_category(F.col("label")).alias("coarse"), full_category(F.col("label")).alias("category"), "n")
 
 
 @query
@@ -207,14 +206,17 @@ def prompt_slugs(spark, sf_dir):
 
 @query
 def model_families(spark, sf_dir):
-    """Families and stages, with the number of stages of each."""
-    rows = registry.model_registry(spark, registry.FAMILIES)
-    return rows.join(registry.layer_counts(rows), "family").withColumn("is_default", F.col("family") == registry.DEFAULT_FAMILY).drop("display")
+    """Families (languages) and the stages that have documents to learn from, with the number of stages of each."""
+    rows = b.model_registry(spark, sf_dir)
+    return rows.join(registry.layer_counts(rows), "family").withColumn("is_default", F.col("family") == "en")
 
 
 @query
 def tracked_words(spark, sf_dir):
-    return registry.tracked_words(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    """Lists of words to follow, from the benchmark's items dealt to five lists; a word on several counts for the first."""
+    lists = b.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.filter(F.split(F.lower("text"), b.WORD_SPLIT), lambda w: w != "")).alias("pos", "token"))
+    first = lists.groupBy("token").agg(F.min("item_id").alias("ord"))
+    return first.withColumn("category", F.concat(F.lit("list_"), (F.col("ord") % 5).cast("string"))).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
 @query
@@ -384,7 +386,7 @@ def missing_passages(spark, sf_dir):
 @query
 def loaded_checkpoints(spark, sf_dir):
     """Checkpoints that a family's analysis needs, by how many are loaded together."""
-    rows = registry.model_registry(spark, registry.FAMILIES)
+    rows = b.model_registry(spark, sf_dir)
     wanted = {1: ["base"], 3: ["base", "sft", "dpo"], 4: list(LAYERS)}
     each = F.explode(F.create_map(*[x for n, s in wanted.items() for x in (F.lit(n), F.array(*[F.lit(y) for y in s]))]))
     plan = spark.range(1).select(each.alias("together", "stages")).select("together", F.explode("stages").alias("layer"))

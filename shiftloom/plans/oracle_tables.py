@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from ..functions.text import CATEGORY_NAMES
 from ..schemas import LAYERS, STAGE_LABELS
-from ..sources.registry import DEFAULT_FAMILY, FAMILIES, TRACKED_WORDS
-from .oracle import _ANALYSIS, _BEST_LINKS, _FORMATION, _GENS, _LENS, _LOGITS, _MOVES, _PAIR_METRICS, _PIECES, _STEP_WORDS, _T4, _W, ORACLE_SQL
+from .oracle import _ANALYSIS, _BEST_LINKS, _FORMATION, _GENS, _LENS, _LOGITS, _MOVES, _PAIR_METRICS, _PIECES, _SPLIT, _STAGES, _STEP_WORDS, _T4, _W, ORACLE_SQL
 
 _LABELS = ("sexual_liminal_1", "sexual_explicit_12", "violence_liminal_2", "violence_explicit", "death_3", "power_1", "profanity_9", "substance_2", "neutral_1", "neutral", "unknown_thing_4", "other")
-_VALUES = ", ".join(f"('{x}')" for x in _LABELS)
+_VALUES = ", ".join(f"'{x}'" for x in _LABELS)
 _STEM = r"CASE WHEN regexp_matches(label, '\d$') THEN regexp_replace(label, '_[^_]*$', '') ELSE label END"
 
 
@@ -27,8 +26,7 @@ def _trajectories(by: str, keep: str) -> str:
 
 
 _T = "greatest(-1.0, least(1.0, log10(greatest(b, 1e-7) / greatest(a, 1e-7)) / 1.5))"
-_FAMILY_ROWS = ", ".join(f"('{f}', '{s}', {LAYERS.index(s)}, '{m}', {len(stages)}, {str(f == DEFAULT_FAMILY).lower()})" for f, stages in FAMILIES.items() for s, m in stages.items())
-_TRACKED_ROWS = ", ".join(f"('{c}', {len(words)}, {sum(len(x) for x in list(TRACKED_WORDS.values())[:k])})" for k, (c, words) in enumerate(TRACKED_WORDS.items()))
+_FAMILIES = "fm AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT lang AS family, '{x}' AS layer, {k}::INTEGER AS ord, lang || '/{x}' AS model_id, count(*) FILTER ({_STAGES[x]}) AS n_documents FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang" for k, x in enumerate(LAYERS)) + ") WHERE n_documents > 0)"
 _TOGETHER = {1: ["base"], 3: ["base", "sft", "dpo"], 4: list(LAYERS)}
 _LETTERS = ", ".join(f"(length(coalesce(psg, '')) - length(replace(coalesce(psg, ''), '{x}', '')))::DOUBLE AS v_{x}" for x in "etaoinsr")
 
@@ -62,14 +60,14 @@ TABLE_SQL: dict[str, str] = {
       SELECT prompt, section, rank::INTEGER AS rank, word || ': ' || {_dec('sft')} || ' -> ' || {_dec('dpo')} || ' (' || {_dec('ratio', 1)} || 'x)' AS line FROM (SELECT *, row_number() OVER (PARTITION BY prompt, section ORDER BY size DESC, word) AS rank FROM d WHERE section IS NOT NULL) WHERE rank <= 15""",
     "metrics_report": f"WITH {_PAIR_METRICS} SELECT prompt, pair, 'kl=' || {_dec('kl')} || ' js=' || {_dec('js')} || ' overlap=' || {_dec('overlap')} || ' rank_corr=' || {_dec('rank_corr')} AS line FROM met",
     "pairs_report": f"WITH {_MOVES} SELECT prompt, axis, rank::INTEGER AS rank, source || ' -> ' || target || ' sim=' || {_dec('similarity')} || ' layer=' || net_layer AS line FROM (SELECT *, row_number() OVER (PARTITION BY prompt, axis ORDER BY similarity DESC, source, target, net_layer) AS rank FROM (SELECT *, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.15)) WHERE rank <= 25",
-    "label_categories": f"SELECT label, CASE WHEN label LIKE 'sexual\\_liminal%' ESCAPE '\\' THEN 'sexual (liminal)' WHEN label LIKE 'sexual\\_explicit%' ESCAPE '\\' THEN 'sexual (explicit)' WHEN label LIKE 'violence%' THEN 'violence' WHEN label LIKE 'neutral%' THEN 'neutral' ELSE 'other' END AS coarse, CASE {_STEM} {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in CATEGORY_NAMES.items())} ELSE {_STEM} END AS category FROM (VALUES {_VALUES}) AS t(label)",
+    "label_categories": f"SELECT label, CASE WHEN label LIKE 'sexual\\_liminal%' ESCAPE '\\' THEN 'sexual (liminal)' WHEN label LIKE 'sexual\\_explicit%' ESCAPE '\\' THEN 'sexual (explicit)' WHEN label LIKE 'violence%' THEN 'violence' WHEN label LIKE 'neutral%' THEN 'neutral' ELSE 'other' END AS coarse, CASE {_STEM} {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in CATEGORY_NAMES.items())} ELSE {_STEM} END AS category, count(*) AS n FROM (SELECT [{_VALUES}][doc_id % {len(_LABELS)} + 1] AS label FROM documents) GROUP BY label",
     "prefixed_labels": f"SELECT label, n_down, n_up FROM ({ORACLE_SQL['battery_summary']}) WHERE starts_with(label, 'en')",
     "stage_captions": f"WITH {_LOGITS}, n AS (SELECT layer, count(*) AS n FROM lg GROUP BY layer UNION ALL SELECT 'other', 0) SELECT CASE layer {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in STAGE_LABELS.items())} ELSE layer END AS caption, CASE layer {' '.join(f'''WHEN '{k}' THEN {i + 1}''' for i, k in enumerate(LAYERS))} ELSE 5 END::INTEGER AS ord, n FROM n",
     "prompt_labels": "WITH p AS (SELECT item_id AS ord, 'item_' || (item_id % 50) AS label, text AS prompt FROM benchmark) SELECT md5(prompt) AS prompt_md5, arg_min(label, ord) AS label FROM p WHERE label IN (SELECT label FROM p WHERE ord % 50 < 40) AND prompt IN (SELECT prompt FROM p WHERE ord % 3 = 0) GROUP BY prompt",
     "prompt_prefixes": f"SELECT item_id, {', '.join(f'substr(text, 1, {n}) AS first_{n}' for n in (50, 60, 80, 100))} FROM benchmark",
     "prompt_slugs": r"SELECT item_id, trim(substr(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), 1, 50), '_') AS slug, array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 5), '_') AS first_words FROM benchmark",
-    "model_families": f"SELECT family, layer, ord::INTEGER AS ord, model_id, n_layers::BIGINT AS n_layers, is_default FROM (VALUES {_FAMILY_ROWS}) AS t(family, layer, ord, model_id, n_layers, is_default)",
-    "tracked_words": f"SELECT category, n::BIGINT AS n, first::INTEGER AS first FROM (VALUES {_TRACKED_ROWS}) AS t(category, n, first)",
+    "model_families": f"WITH {_FAMILIES} SELECT *, count(*) OVER (PARTITION BY family) AS n_layers, family = 'en' AS is_default FROM fm",
+    "tracked_words": f"SELECT 'list_' || (ord % 5) AS category, count(*) AS n, min(ord) AS first FROM (SELECT token, min(item_id) AS ord FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{_SPLIT}')) AS token FROM benchmark) WHERE token <> '' GROUP BY token) GROUP BY ALL",
     "coerced_numbers": r"SELECT doc_id, coalesce(try_cast(source AS DOUBLE), 0) AS source_number, coalesce(try_cast(regexp_extract(source, '(\d+)', 1) AS DOUBLE), 0) AS digits, coalesce(try_cast(doc_id::VARCHAR AS DOUBLE), 0) AS id_number FROM documents",
     "passage_vectors": f"WITH {_GENS} SELECT gen_id, label, model, len(vec)::INTEGER AS dims, round(list_sum(vec), 6) AS total FROM gv",
     "embedded_passages": f"WITH {_GENS} SELECT gen_id, {_LETTERS} FROM gens",
@@ -82,6 +80,6 @@ TABLE_SQL: dict[str, str] = {
     "uncached_keys": "SELECT source FROM documents EXCEPT SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "logged_passages": f"WITH {_GENS} SELECT family, label, model, gen_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY family, label, model ORDER BY 1 - gen_id % 2, gen_id) AS seq FROM gens) WHERE seq <= 3",
     "missing_passages": f"WITH {_GENS} SELECT family, label, model, 40 - count(*) AS deficit FROM gens GROUP BY ALL HAVING count(*) < 40",
-    "loaded_checkpoints": f"SELECT family, together::INTEGER AS together, count(*) AS n, arg_max(model_id, ord) AS last_model FROM (VALUES {_FAMILY_ROWS}) AS t(family, layer, ord, model_id, n_layers, is_default) JOIN (VALUES {', '.join(f'({n}, {chr(39)}{s}{chr(39)})' for n, stages in _TOGETHER.items() for s in stages)}) AS u(together, layer) USING (layer) GROUP BY ALL",
+    "loaded_checkpoints": f"WITH {_FAMILIES} SELECT family, together::INTEGER AS together, count(*) AS n, arg_max(model_id, ord) AS last_model FROM fm JOIN (VALUES {', '.join(f'({n}, {chr(39)}{s}{chr(39)})' for n, stages in _TOGETHER.items() for s in stages)}) AS u(together, layer) USING (layer) GROUP BY ALL",
     "rank_by_layer": f"WITH {_FORMATION} SELECT prompt, layer, word, (row_number() OVER (PARTITION BY prompt, layer ORDER BY prob DESC, word))::INTEGER AS place FROM melted",
 }

@@ -32,6 +32,15 @@ def stage_conditions() -> dict:
     return {"base": F.lit(True), "sft": good, "dpo": good & clean, "rlvr": good & clean & (F.col("n_chars") >= 1000)}
 
 
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, layer, ord, model_id, n_documents): a language is a family, with a checkpoint at each stage that has documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    counts = docs.groupBy(F.col("lang").alias("family")).agg(*[F.count(F.when(c, 1)).alias(s) for s, c in stage_conditions().items()])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("layer"), F.lit(k).alias("ord"), F.col(s).alias("n")) for k, s in enumerate(LAYERS)]))
+    rows = counts.select("family", each.alias("x")).where("x.n > 0")
+    return rows.select("family", "x.layer", "x.ord", F.concat_ws("/", "family", "x.layer").alias("model_id"), F.col("x.n").alias("n_documents"))
+
+
 def stage_counts(words: DataFrame, *keys: str) -> DataFrame:
     """Occurrences per key and stage, all stages in one aggregation."""
     return words.groupBy(*keys, "word").agg(*[F.count(F.when(c, 1)).alias(f"n_{s}") for s, c in stage_conditions().items()])
