@@ -1,6 +1,10 @@
 """The corpus pipeline: quality filter, near-duplicate removal, repeat removal, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``, whatever these are called.
+
+null text: as empty, and kept, one row of each group of equal texts as for any other. A null doc_id stays null, and is no row of
+``labels``. Repeated rows: one stays. Very long texts are read whole by every stage. No labelled rows to learn from: the
+first stage rejects nothing. Empty ``documents``: no rows.
 """
 
 from __future__ import annotations
