@@ -7,11 +7,11 @@ level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter
 word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that fewer
 than ``FALSE_MASS`` times ``MU`` of V pairs that aren't there are hit; that is 10 bits a probe for each entry.
 
-Scoring: the filter goes to all workers by broadcast, in segments of at most ``BROADCAST_BYTES`` and each in parts, so that
-the driver never holds one whole; each takes a pass over the texts, and the levels found so far stay beside them. A filter
-of more than ``PASSES`` segments stays in its table: each chunk of texts sends its distinct n-grams to their slices and gets
-their levels back. A level is found by membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing,
-and then of those between. Then
+Scoring: texts are gathered to chunks, and each chunk's distinct n-grams are written once, in the order of their slices. The
+filter goes to all workers by broadcast, in segments of at most ``BROADCAST_BYTES`` and each in parts, so that the driver
+never holds one whole; a segment answers its own n-grams alone and is then let go of. The levels come back to their chunks in
+one join. So a text is read three times and an n-gram once, however many segments there are. A level is found by
+membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing, and then of those between. Then
 
     p(w | h) = (c(h w) + MU p(w)) / (t(h) + f + MU),   p(w) = (c(w) + 0.5) / (t + 0.5 (V + 1))
 
@@ -38,16 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, buffers, in_chunks, read_table, release, text_col, texts_of, write_shared
+from .common import batch_of, buffers, drop_shared, in_chunks, in_small_steps, read_table, text_col, texts_of, write_shared
+from .words import NOT_SPACE, mixed, words_of
 
-PRESUM_TOKENS, SLICE_BYTES = 1_500_000, 8 << 20
-PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 96 << 20, 1 << 20, 500.0
-#: Broadcasts, one after the other, up to which a filter is broadcast.
-PASSES = 4
+PRESUM_TOKENS, SLICE_BYTES = 1_000_000, 8 << 20
+PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 48 << 20, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
 #: Bytes of a part of the filter that the driver holds at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def level_starts() -> np.ndarray:
@@ -64,23 +63,13 @@ MIDDLES = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, [float(LEVE
 START, END = np.uint64(0x51A7_0000_0000_0001), np.uint64(xxhash.xxh64_intdigest(b"", 42))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, each text's end among them; offsets by text)."""
-    raw, digest = data.tobytes().lower(), xxhash.xxh64_digest
-    parts, sizes = [], []
-    end = int(END).to_bytes(8, "big")
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        words = raw[a:b].split()
-        parts.append(b"".join([digest(w, 42) for w in words]))
-        parts.append(end)
-        sizes.append(len(words) + 1)
-    return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    _, _, hashes, bounds = words_of(data, offsets, NOT_SPACE)
+    texts = np.arange(len(offsets) - 1)
+    out = np.full(len(hashes) + len(texts), END)
+    out[np.arange(len(hashes)) + np.repeat(texts, np.diff(bounds))] = hashes
+    return out, bounds + np.arange(len(offsets))
 
 
 def histories(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -167,7 +156,7 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
         pairs: list[np.ndarray] = []
         before: list[np.ndarray] = []
         size = 0
-        for _, data, offsets in in_chunks(batches, "text"):
+        for _, data, offsets in in_chunks(batches, "text", CHUNK):
             got, bounds = tokens(data, offsets)
             words.append(got)
             before.append(histories(got, bounds))
@@ -181,8 +170,9 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
             yield from packed_rows(False, words, [])
             yield from packed_rows(True, pairs, before)
 
-    def summed(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, before, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64), strict=True)) if rows else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+    def summed(rows: list[tuple[pa.Scalar, pa.Scalar, pa.Scalar]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = lambda x, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(y.as_buffer(), kind) for y in x]])
+        key, before, n = (of([row[k] for row in rows], kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
@@ -204,12 +194,12 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, {False: [], True: []}  # one slice at a time
         for batch in batches:
-            for number, pair, *parts_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, (number, pair) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if number != now:
                     if now is not None:
                         yield block(now, rows)
                     now, rows = number, {False: [], True: []}
-                rows[pair].append(tuple(parts_))
+                rows[pair].append(tuple(batch.column(k)[i] for k in (2, 3, 4)))
         if now is not None:
             yield block(now, rows)
 
@@ -321,7 +311,7 @@ class Model:
     blocks: DataFrame
     words: DataFrame
     slices: int
-    common: tuple[np.ndarray, np.ndarray, np.ndarray]
+    common: tuple[np.ndarray, np.ndarray, np.ndarray] | None
     top: int | None
     n_train: int
     vocabulary: int
@@ -333,15 +323,14 @@ class Model:
 def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) -> Model:
     parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = slices_for(training)
-    blocks = write_shared(count_ngrams(training, parts, slices, mu), "ngrams")
-    release(training.sparkSession)
+    with in_small_steps(training.sparkSession):
+        blocks = write_shared(count_ngrams(training, parts, slices, mu), "ngrams")
     counts = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.counts").alias("c"))
     surplus = blocks.select(F.explode(F.arrays_zip("histories", "surplus")).alias("w")).select(F.col("w.histories").alias("key"), F.col("w.surplus").alias("s")).groupBy("key").agg(F.sum("s").alias("s"))
     words = write_shared(counts.join(surplus, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), (F.coalesce("c", F.lit(0)) + F.coalesce("s", F.lit(0.0))).alias("t")), "words")
     ends = {r["key"]: r for r in words.where(F.col("key").isin(int(START.view(np.int64)), int(END.view(np.int64)))).collect()}
     texts = ends.get(int(END.view(np.int64)))
     start = (texts["c"] if texts else 0) + (ends[int(START.view(np.int64))]["t"] if int(START.view(np.int64)) in ends else 0.0)
-    release(training.sparkSession)
     words = words.where("c > 0")  # the start alone is no word
     by_count = words.groupBy("c").agg(F.count(F.lit(1)).alias("v"))
     sums = by_count.agg(F.coalesce(F.sum(F.col("c") * F.col("v")), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -378,9 +367,10 @@ def known(words: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 SCORED_DDL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>"
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int64()))])
-CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string())), ("found", pa.binary())])
-CHUNKS_DDL = "chunk long, doc_ids array<long>, held array<boolean>, texts array<string>, found binary"
-ASKED = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary())])
+CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+CHUNKS_DDL = "chunk long, doc_ids array<long>, held array<boolean>, texts array<string>"
+ASKED, ASKED_DDL = pa.schema([("chunk", pa.int64()), ("segment", pa.int32()), ("keys", pa.binary())]), "chunk long, segment int, keys binary"
+ANSWERED, ANSWERED_DDL = pa.schema([("chunk", pa.int64()), ("segment", pa.int32()), ("levels", pa.binary())]), "chunk long, segment int, levels binary"
 #: Bytes of text that are scored at once.
 CHUNK = 2 << 20
 
@@ -431,35 +421,14 @@ class Chunk:
         )
 
 
-def answered(asked: DataFrame, blocks: DataFrame, slices: int) -> DataFrame:
-    """(chunk, found): the levels of each chunk's n-grams, by slice. A slice's n-grams meet its filter in one task; there are
-    as many slices as the corpus is large."""
-    schema = pa.schema([("chunk", pa.int64()), ("slice", pa.int32()), ("levels", pa.binary())])
-
-    def look_up(rows: pa.Table, block: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
-        if len(block) and len(rows):
-            filter_ = block.column("filter")[0].as_py()
-            part = Filter(slices, [(block.column("slice")[0].as_py(), block.column("probes")[0].as_py(), len(filter_))])
-            part.put(block.column("slice")[0].as_py(), filter_)
-            levels = part.levels(np.concatenate(keys))
-        else:
-            levels = np.zeros(sum(map(len, keys)), np.uint8)
-        ends = np.cumsum([0] + [len(k) for k in keys])
-        return pa.table([rows.column("chunk").combine_chunks(), rows.column("slice").combine_chunks(), pa.array([levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=schema)
-
-    found = asked.groupBy("slice").cogroup(blocks.select("slice", "probes", "filter").groupBy("slice")).applyInArrow(look_up, "chunk long, slice int, levels binary")
-    return found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "levels"))), lambda x: x["levels"]).alias("found"))
-
-
-def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, passes: int = PASSES, dictionary: int = DICTIONARY) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; ``held_out`` is a
     boolean column, true for the rows that aren't learnt from."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     model = train(rows.where(~F.col("held_out")), mu, dictionary)
     blocks, words, slices, top, n_train, more = model.blocks, model.words, model.slices, model.top, model.n_train, model.false + mu
-    held = sc.broadcast(model.common)
+    held, model.common = sc.broadcast(model.common), None  # the driver needs it no more
     sizes = [(r[0], r[1], r[2]) for r in blocks.select("slice", "probes", F.octet_length("filter")).collect()]  # a row per slice
     divisor = n_train + 0.5 * (model.vocabulary + 1)
     numbers = (model.start, more, mu, divisor, model.total + 0.5 * (model.vocabulary + 1))
@@ -472,52 +441,53 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = first_number()
         for batch, _, _ in in_chunks(batches, "text", CHUNK):
-            yield batch_of(CHUNKS, [number], *[[batch.column(i).to_pylist()] for i in range(3)], [None])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(i)) for i in range(3)]
+            yield batch_of(CHUNKS, [number], *[x.cast(f.type) for x, f in zip(lists, list(CHUNKS)[1:], strict=True)])
             number += len(batch)
 
     def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for number, ids, out, texts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield Chunk(*buffers(texts_of(pa.array(texts, pa.string()))), held.value, slices), number, ids, out, texts, found
-
-    todo = segments(sizes, broadcast_bytes) or [[]]
-    if len(todo) <= passes:
-
-        def look_up(batches: Iterator[pa.RecordBatch], shared: list, last: bool) -> Iterator[pa.RecordBatch]:
-            parts = [x.value for x in shared]
-            for chunk, number, ids, out, texts, found in chunks_of(batches):
-                levels = levels_in(parts, chunk.keys)
-                if found is not None:
-                    levels = np.maximum(levels, np.frombuffer(found, np.uint8))
-                if last:
-                    yield chunk.scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
-                else:
-                    yield batch_of(CHUNKS, [number], [ids], [out], [texts], [levels.tobytes()])
-
-        rows = rows.mapInArrow(gather, CHUNKS_DDL)
-        for i, segment in enumerate(todo):
-            shared, last = [sc.broadcast(part_of_filter(blocks, slices, part)) for part in segments(segment, PART_BYTES)], i + 1 == len(todo)
-            rows = write_shared(rows.mapInArrow(lambda batches, shared=shared, last=last: look_up(batches, shared, last), SCORED_DDL if last else CHUNKS_DDL), "scored")
-            for x in shared:
-                x.destroy()
-            release(docs.sparkSession)
-    else:
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, number, *_ in chunks_of(batches):
-                heads = np.flatnonzero(np.diff(chunk.where, prepend=-1))
-                ends = np.append(heads[1:], len(chunk.keys))
-                yield batch_of(ASKED, [number] * len(heads), chunk.where[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
-
-        def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk, number, ids, out, _, found in chunks_of(batches):
-                levels = np.frombuffer(b"".join(found or []), np.uint8)
-                yield chunk.scored(pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), number, levels, *numbers)
-
-        chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks").drop("found")
-        asked = chunks.withColumn("found", F.lit(None)).mapInArrow(ask, "chunk long, slice int, keys binary")
-        rows = write_shared(chunks.join(answered(asked, blocks, slices), "chunk", "left").mapInArrow(score_chunks, SCORED_DDL), "scored")
-        release(docs.sparkSession)
+            for i in range(len(batch)):
+                number, ids, out, texts, *found = (batch.column(k)[i] for k in range(batch.num_columns))
+                yield Chunk(*buffers(texts_of(texts.values)), held.value, slices), number.as_py(), ids.values, out.values, *found
+
+    todo = segments(sizes, broadcast_bytes)
+    firsts = [part[0][0] for part in todo[1:]]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, number, *_ in chunks_of(batches):
+            segment = np.searchsorted(firsts, chunk.where, side="right")
+            heads = np.flatnonzero(np.diff(segment, prepend=-1))
+            ends = np.append(heads[1:], len(segment))[: len(heads)]
+            yield batch_of(ASKED, [number] * len(heads), segment[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
+
+    def look_up(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+        parts = [x.value for x in shared]
+        for batch in batches:
+            for number, segment, keys in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                yield batch_of(ANSWERED, [number.as_py()], [segment.as_py()], [levels_in(parts, np.frombuffer(keys.as_buffer(), np.uint64)).tobytes()])
+
+    def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, number, ids, out, found in chunks_of(batches):
+            levels = np.frombuffer(b"".join(found.as_py() or []), np.uint8) if todo else np.zeros(len(chunk.keys), np.uint8)
+            yield chunk.scored(ids, out, number, levels, *numbers)
+
+    with in_small_steps(docs.sparkSession):
+        chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks")
+        asked = write_shared(chunks.mapInArrow(ask, ASKED_DDL), "asked", "segment") if todo else None
+        answers = docs.sparkSession.createDataFrame([], ANSWERED_DDL)
+        for i, part in enumerate(todo):
+            shared = [sc.broadcast(part_of_filter(blocks, slices, few)) for few in segments(part, PART_BYTES)]
+            own = asked.where(F.col("segment") == i).select("chunk", "segment", "keys")
+            answer = write_shared(own.mapInArrow(lambda batches, shared=shared: look_up(batches, shared), ANSWERED_DDL), "answers")
+            answers = answer if not i else answers.unionByName(answer)
+            for x in shared:  # and are gone before the next ones come
+                x.destroy(blocking=True)
+        if todo:
+            drop_shared(asked)
+        found = answers.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "levels"))), lambda x: x["levels"]).alias("found"))
+        rows = write_shared(chunks.join(found, "chunk", "left").select("chunk", "doc_ids", "held", "texts", "found").mapInArrow(score_chunks, SCORED_DDL), "scored")
+        drop_shared(chunks)
     # Words outside the dictionary: exact counts, and the divisors of what follows them, by a join.
     others = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_n").alias("n"))
     met = others.join(words.where(F.col("c") < top) if top is not None else words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files and broadcasts that nothing refers to any more: Spark deletes them when the driver's collector
-    runs, which with a roomy heap can be long after."""
-    for _ in range(2):  # what the first round lets go of holds more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+#: For queries of ``in_small_steps``: shuffle files go when a query ends, and Arrow batches have no more bytes than a chunk.
+SMALL_STEPS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(CHUNK_BYTES)}
+
+
+@contextlib.contextmanager
+def in_small_steps(spark: SparkSession) -> Iterator[None]:
+    """What is written as a table inside leaves no shuffle files behind and passes batches of bounded bytes to Python. The
+    session's settings are as before afterwards."""
+    before = {name: spark.conf.get(name) for name in SMALL_STEPS}
+    try:
+        for name, value in SMALL_STEPS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drop_shared(table: DataFrame) -> None:
@@ -36,6 +44,8 @@ def drop_shared(table: DataFrame) -> None:
     spark = table.sparkSession
     for file in table.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        while "=" in folder.getName():
+            folder = folder.getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

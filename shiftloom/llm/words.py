@@ -1,5 +1,6 @@
-"""Words of text bytes: runs of ASCII letters, digits and whatever isn't ASCII, with A-Z lower-cased; in NumPy, for many
-texts at once. A word has a 64-bit hash; whoever must not take two words for one compares bytes."""
+"""Words of text bytes, with A-Z lower-cased; in NumPy, for many texts at once. Words are runs of the bytes of a table: ASCII
+letters, digits and whatever isn't ASCII, or all that isn't white space. A word has a 64-bit hash; whoever must not take two
+words for one compares bytes."""
 
 from __future__ import annotations
 
@@ -8,12 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom_lm import mixed
 from .common import buffers, ragged, text_col
 
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
 IN_WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     IN_WORD[_a:_b] = True
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -28,9 +37,9 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of all words, and each text's first word (with one more at the end)."""
-    mask = IN_WORD[data]
+    mask = inside[data]
     before, after = np.zeros((2, len(mask) + 1), bool)
     before[1:], after[:-1] = mask, mask
     before[offsets] = False  # words don't go on from text to text

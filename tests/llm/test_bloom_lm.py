@@ -91,19 +91,22 @@ def check(got):
         assert abs(r.score - w[6]) < 0.05 * max(1, abs(w[6]))
 
 
-def test_scores_with_the_filter_broadcast_and_where_it_is(docs):
-    """One pass, several, and n-grams sent to the filter's slices give the same scores."""
+def test_scores_with_one_segment_and_with_many(docs, monkeypatch):
+    """However many segments the filter is broadcast in, the scores are the same."""
     order = lambda rows: sorted(repr(tuple(r)) for r in rows)
     one = lm.score_texts(docs, lm.fold(1))
     check(one)
     want = order(one.collect())
-    for passes in (100, 1):
-        assert order(lm.score_texts(docs, lm.fold(1), broadcast_bytes=40_000, passes=passes).collect()) == want
+    many, cut = [], lm.segments
+    monkeypatch.setattr(lm, "segments", lambda sizes, most: (many.append(x) if (x := cut(sizes, most)) and most < lm.PART_BYTES else None) or x)
+    for size in (40_000, 0):
+        assert order(lm.score_texts(docs, lm.fold(1), broadcast_bytes=size).collect()) == want
+    assert len(many[-1]) >= 4 and len(many[-1]) > len(many[0])
 
 
 def test_words_outside_the_dictionary_meet_their_counts(docs):
     check(lm.score_texts(docs, lm.fold(1), dictionary=10))
-    check(lm.score_texts(docs, lm.fold(1), dictionary=10, broadcast_bytes=0, passes=0))
+    check(lm.score_texts(docs, lm.fold(1), dictionary=10, broadcast_bytes=0))
 
 
 def test_without_training_rows_and_without_rows(docs, no_docs):
