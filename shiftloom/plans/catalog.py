@@ -459,24 +459,24 @@ def step_category(spark, sf_dir):
 
 @query
 def perplexity(spark, sf_dir):
-    """Benchmark passages under the corpus' add-one bigram model. Only the pairs that are asked for are counted; words are
-    counted once for the vocabulary and for how often each is followed by another."""
+    """Benchmark passages under the corpus' add-one bigram model. One pass over the documents counts how often each word is
+    followed, and apart by which of the followers that are asked for: a table with a row per word."""
 
-    def words_of(name: str, key: str) -> DataFrame:
-        return b.table(spark, sf_dir, name).select(key, F.filter(F.split(F.lower("text"), b.WORD_SPLIT), lambda w: w != "").alias("w"))
-
-    def bigrams(words: DataFrame, key: str) -> DataFrame:
-        pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.col("w")[i - 1].alias("a"), F.col("w")[i].alias("c"))))
+    def followed(name: str, key: str) -> DataFrame:
+        words = b.table(spark, sf_dir, name).select(key, F.filter(F.split(F.lower("text"), b.WORD_SPLIT), lambda w: w != "").alias("w"))
+        pairs = F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.col("w")[i].alias("a"), F.get("w", i + 1).alias("c"))))
         return words.select(key, F.explode_outer(pairs).alias("x")).select(key, "x.a", "x.c")
 
-    asked = bigrams(words_of("benchmark", "item_id"), "item_id")
-    pairs = asked.where("a IS NOT NULL").select("a", "c").distinct()
-    corpus = bigrams(words_of("documents", "doc_id"), "doc_id").join(pairs, ["a", "c"], "left_semi").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
-    each = words_of("documents", "doc_id").select(F.posexplode("w").alias("i", "a"), F.size("w").alias("many"))
-    counts = write_shared(each.groupBy("a").agg(F.count(F.when(F.col("i") < F.col("many") - 1, 1)).alias("na")), "followed-words")
-    asked = asked.join(corpus, ["a", "c"], "left").join(counts, "a", "left")
-    logp = F.when(F.col("a").isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + F.lit(1.0)) / (F.coalesce("na", F.lit(0)) + F.lit(counts.count()))))
-    return rounded(distributions.perplexity(asked.withColumn("logp", logp), ["item_id"]), perplexity=4)
+    # A passage of one word, or none, is asked for nothing, but has a row.
+    asked = followed("benchmark", "item_id").withColumn("a", F.when(F.col("c").isNotNull(), F.col("a")))
+    pairs = asked.where("a IS NOT NULL").select("a", "c").distinct().withColumn("asked", F.lit(True))
+    each = followed("documents", "doc_id").where("a IS NOT NULL").join(pairs, ["a", "c"], "left")
+    counts = each.withColumn("follower", F.when(F.col("asked"), F.col("c"))).groupBy("a", "follower").agg(F.count("c").alias("n")).withColumnRenamed("follower", "c")
+    by_follower = F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "n"))))
+    words = write_shared(counts.groupBy("a").agg(F.sum("n").alias("na"), by_follower.alias("of")), "followed-words")
+    found = asked.join(words, "a", "left")
+    logp = F.when(F.col("a").isNotNull(), F.ln((F.coalesce(F.col("of")[F.col("c")], F.lit(0)) + F.lit(1.0)) / (F.coalesce("na", F.lit(0)) + F.lit(words.count()))))
+    return rounded(distributions.perplexity(found.withColumn("logp", logp), ["item_id"]), perplexity=4)
 
 
 def _lens(spark, sf_dir):
@@ -548,7 +548,8 @@ def _pieces(spark, sf_dir):
     at = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 3).cast("int"))
     cut = words.withColumn("p", F.concat(F.transform(at, lambda i: F.substring(F.col("word"), i * 3 + 1, F.lit(3))), F.array(F.lit(discovery.BOUNDARY))))
     first = cut.groupBy("prompt", F.col("p")[0].alias("piece")).agg(F.sum("n").alias("n"))
-    pairs = cut.select("prompt", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.col("p")[i - 1].alias("cur"), F.col("p")[i].alias("nxt")))).alias("x"))
+    # The outer form: every word has a pair, and no filter is drawn from it that would set this scan apart from the other's.
+    pairs = cut.select("prompt", "n", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.col("p")[i - 1].alias("cur"), F.col("p")[i].alias("nxt")))).alias("x"))
     moves = pairs.groupBy("prompt", "x.cur", "x.nxt").agg(F.sum("n").alias("n"))
     return words, first, discovery.transitions(moves)
 
