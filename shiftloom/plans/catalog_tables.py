@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log_perplexity, number_or_zero, ordering
 from ..functions.text import coarse_category, full_category, slug, stage_label
-from ..operators import discovery, distributions, generations, redistribution, reports, sampling, shift, transfer
+from ..operators import discovery, distributions, generations, redistribution, reports, sampling, shift, similarity, transfer
 from ..schemas import LAYERS
 from ..sources import bindings as b
 from ..sources import registry, tables, versions
@@ -160,6 +160,15 @@ def pairs_report(spark, sf_dir):
     return reports.pair_lines(c.moves_and_sims(spark, sf_dir)[1].where(F.col("sim") >= c.SIMILAR), 25)
 
 
+@query
+def large_sim_pairs(spark, sf_dir):
+    """The similarity join over ten times the words and with a tenth of the threshold of change, by pairs of blocks."""
+    dist = distributions.word_distribution(b.long_counts(c.word_counts(spark, sf_dir), "prompt"), ["prompt"], 10 * c.TOP)
+    w = write_shared(distributions.merged_stages(dist, ["prompt"]), "wide")
+    moves = similarity.movement(w, c.SHIFT / 10, c.LEAST / 10)
+    return rounded(similarity.similar_words(moves, b.word_vectors(w, spark, sf_dir, c.NET_LAYERS), 0.4).withColumnRenamed("sim", "similarity"))
+
+
 # Labels and registries.
 
 

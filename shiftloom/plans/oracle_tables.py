@@ -75,6 +75,7 @@ TABLE_SQL: dict[str, str] = {
     "csv_round_trip": ORACLE_SQL["formation_table"],
     "parquet_round_trip": f"SELECT * FROM ({ORACLE_SQL['formation_table']}) WHERE trajectory <> 'flat'",
     "json_round_trip": f"SELECT prompt, word, coalesce(drive_weight, 0) AS drive_weight, n_condensation_sources, role FROM ({ORACLE_SQL['analysis_table']})",
+    "large_sim_pairs": f"WITH {_MOVES.replace('r <= 200', 'r <= 2000').replace('0.0005', '0.00005')} SELECT prompt, axis, net_layer, source, target, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.4",
     "cached_scores": ORACLE_SQL["id_scores"],
     "versioned_scores": ORACLE_SQL["id_scores"],
     "uncached_keys": "SELECT source FROM documents EXCEPT SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",

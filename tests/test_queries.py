@@ -12,7 +12,7 @@ from shiftloom.plans import catalog, catalog_learnt, catalog_sql, catalog_stats
 
 SF = "/root/testdata/sf0.001"
 HELD = ("shift_sft_dpo", "formation_table", "id_scores", "battery_summary", "metrics_wide", "top_movers", "best_links", "orphans", "transfer_v4", "absorption", "prompt_words", "silhouette", "step_metrics", "perplexity", "lens_rows", "taxonomy_pairs", "mann_whitney", "discover_words", "sample_tokens", "redistributed_step",
-        "overdetermination", "perm_test_best_1000", "formation_links", "link_plot", "formation_report", "pairs_report", "lens_words", "generation_metrics", "cached_scores", "versioned_scores", "logged_passages", "csv_round_trip", "json_round_trip", "contextual_vectors", "prompt_labels", "label_categories", "first_piece_scores", "model_families", "tracked_words", "loaded_checkpoints")
+        "overdetermination", "perm_test_best_1000", "formation_links", "link_plot", "formation_report", "pairs_report", "lens_words", "generation_metrics", "cached_scores", "large_sim_pairs", "versioned_scores", "logged_passages", "csv_round_trip", "json_round_trip", "contextual_vectors", "prompt_labels", "label_categories", "first_piece_scores", "model_families", "tracked_words", "loaded_checkpoints")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
