@@ -58,12 +58,12 @@ def _twin(name: str, sql_text: str) -> None:
 
 
 _twin("sql_prompts", f"WITH {_W} SELECT prompt, count(DISTINCT layer) AS n_stages, count(DISTINCT word) AS n_words FROM dist GROUP BY prompt")
-_twin("sql_top_words", f"WITH {_W} SELECT prompt, word, round(prob, 6) AS prob, place FROM (SELECT prompt, word, prob, row_number() OVER (PARTITION BY prompt ORDER BY prob DESC, word) AS place FROM dist WHERE layer = 'sft') WHERE place <= 15")
+_twin("sql_top_words", f"WITH {_W} SELECT prompt, word, round(prob, 6) AS prob, place::INTEGER AS place FROM (SELECT prompt, word, prob, row_number() OVER (PARTITION BY prompt ORDER BY prob DESC, word) AS place FROM dist WHERE layer = 'sft') WHERE place <= 15")
 _twin("sql_analyze", f"WITH {_FORMATION} SELECT prompt, word, base, sft, dpo, rlvr, trajectory FROM formation WHERE prompt = 'en' AND trajectory <> 'flat'")
 _twin("sql_shift", ORACLE_SQL["shift_sft_dpo"])
 _twin("sql_shift_sums", f"WITH {_W} SELECT prompt, base - rlvr > 0.0005 AS down, count(*) AS n, round(sum(base - rlvr), 6) AS mass FROM wide WHERE base - rlvr > 0.0005 OR base - rlvr < -0.0005 GROUP BY ALL")
 _SCORES = ORACLE_SQL["id_scores"].replace("round(repression * drive_weight, 6)", "repression * drive_weight")
-_twin("sql_id_scores", f"SELECT prompt, word, round(id_score, 6) AS id_score, place FROM (SELECT prompt, word, id_score, row_number() OVER (PARTITION BY prompt ORDER BY id_score DESC, word) AS place FROM ({_SCORES})) WHERE place <= 10")
+_twin("sql_id_scores", f"SELECT prompt, word, round(id_score, 6) AS id_score, place::INTEGER AS place FROM (SELECT prompt, word, id_score, row_number() OVER (PARTITION BY prompt ORDER BY id_score DESC, word) AS place FROM ({_SCORES})) WHERE place <= 10")
 _twin("sql_score_vocabulary", ORACLE_SQL["score_vocabulary"])
 _twin("sql_metrics", f"SELECT prompt, kl, js FROM ({ORACLE_SQL['kl_pairs']}) JOIN ({ORACLE_SQL['js_pairs']}) USING (prompt, pair) WHERE pair = 'sft_dpo'")
 _twin("sql_movers", f"""WITH {_TOKEN_PAIRS}, moved AS (SELECT prompt, token_id, pa, pb, pa - pb AS delta FROM pt WHERE pair = 'sft_dpo'),
