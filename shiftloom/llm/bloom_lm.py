@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, buffers, drop_shared, in_chunks, in_small_steps, read_table, text_col, texts_of, write_shared
+from .common import batch_of, buffers, drop_shared, give_back, in_chunks, in_small_steps, read_table, text_col, texts_of, write_shared
 from .words import NOT_SPACE, mixed, words_of
 
 PRESUM_TOKENS, SLICE_BYTES = 1_000_000, 8 << 20
@@ -166,9 +166,12 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
                 yield from packed_rows(False, words, [])
                 yield from packed_rows(True, pairs, before)
                 words, pairs, before, size = [], [], [], 0
+                give_back()
         if words:
             yield from packed_rows(False, words, [])
             yield from packed_rows(True, pairs, before)
+        del words, pairs, before
+        give_back()
 
     def summed(rows: list[tuple[pa.Scalar, pa.Scalar, pa.Scalar]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         of = lambda x, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(y.as_buffer(), kind) for y in x]])
@@ -198,6 +201,8 @@ def count_ngrams(training: DataFrame, parts: int, slices: int, mu: float = MU) -
                 if number != now:
                     if now is not None:
                         yield block(now, rows)
+                        rows.clear()
+                        give_back()
                     now, rows = number, {False: [], True: []}
                 rows[pair].append(tuple(batch.column(k)[i] for k in (2, 3, 4)))
         if now is not None:
@@ -273,21 +278,23 @@ def part_of_filter(blocks: DataFrame, slices: int, sizes: list[tuple[int, int, i
     return out
 
 
-def packed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, sums t) of a table (key, c, t) of bounded size, sorted by key; it comes as a few binary rows."""
+def packed(counts: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, sums t) of a table (key, c, t) of ``many`` rows, sorted by key; it comes as a few binary rows, one
+    at a time."""
     schema = pa.schema([(c, pa.binary()) for c in ("keys", "counts", "sums")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch_of(schema, *[[c.to_numpy().tobytes()] for c in batch.columns])
 
-    parts: tuple[list, list, list] = ([], [], [])
-    for row in counts.select("key", "c", "t").mapInArrow(run, "keys binary, counts binary, sums binary").toLocalIterator():
-        for part, value, kind in zip(parts, row, (np.int64, np.int64, np.float64), strict=True):
-            part.append(np.frombuffer(value, kind))
-    key, c, t = (np.concatenate([np.zeros(0, kind), *part]) for part, kind in zip(parts, (np.int64, np.int64, np.float64), strict=True))
-    order = np.argsort(key)
-    return key[order], c[order], t[order]
+    out = np.zeros(many, np.int64), np.zeros(many, np.int64), np.zeros(many)
+    at = 0
+    for row in counts.select("key", "c", "t").orderBy("key").mapInArrow(run, "keys binary, counts binary, sums binary").toLocalIterator():
+        n = len(row[0]) // 8
+        for whole, part in zip(out, row, strict=True):
+            whole[at : at + n] = np.frombuffer(part, whole.dtype)
+        at += n
+    return out
 
 
 def segments(slices: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int, int]]]:
@@ -350,7 +357,7 @@ def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) ->
     common = by_count.where(F.col("c") >= top).agg(F.sum(F.col("c") * F.col("v"))).first()[0] if top is not None else 0
     total = float(common or 0) + (rare.select("c", "v").mapInArrow(middles, "t double").agg(F.sum("t")).first()[0] or 0.0)
     none = np.zeros(0, np.int64)
-    held = packed(words.where(F.col("c") >= top)) if top is not None else (none, none, none.astype(np.float64))
+    held = packed(words.where(F.col("c") >= top), dictionary - room) if top is not None else (none, none, none.astype(np.float64))
     false = blocks.agg(F.avg("false")).first()[0] or 0.0
     return Model(blocks, words, slices, held, top, int(sums[0]), int(sums[1]), total, float(start), int(sums[1]) * false)
 
@@ -460,8 +467,11 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
             heads = np.flatnonzero(np.diff(segment, prepend=-1))
             ends = np.append(heads[1:], len(segment))[: len(heads)]
             yield batch_of(ASKED, [number] * len(heads), segment[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
+            del chunk, segment
+            give_back()
 
     def look_up(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+        give_back()
         parts = [x.value for x in shared]
         for batch in batches:
             for number, segment, keys in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -471,6 +481,8 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
         for chunk, number, ids, out, found in chunks_of(batches):
             levels = np.frombuffer(b"".join(found.as_py() or []), np.uint8) if todo else np.zeros(len(chunk.keys), np.uint8)
             yield chunk.scored(ids, out, number, levels, *numbers)
+            del chunk, levels
+            give_back()
 
     with in_small_steps(docs.sparkSession):
         chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,13 @@ def in_small_steps(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system; workers are kept from stage to stage, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_shared(table: DataFrame) -> None:
     """Delete what ``write_shared`` wrote; nothing may read it any more."""
     spark = table.sparkSession
