@@ -468,7 +468,7 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
             ends = np.append(heads[1:], len(segment))[: len(heads)]
             yield batch_of(ASKED, [number] * len(heads), segment[heads], [chunk.keys[a:b].tobytes() for a, b in zip(heads, ends, strict=True)])
             del chunk, segment
-            give_back()
+        give_back()
 
     def look_up(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -482,7 +482,7 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
             levels = np.frombuffer(b"".join(found.as_py() or []), np.uint8) if todo else np.zeros(len(chunk.keys), np.uint8)
             yield chunk.scored(ids, out, number, levels, *numbers)
             del chunk, levels
-            give_back()
+        give_back()
 
     with in_small_steps(docs.sparkSession):
         chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks")
