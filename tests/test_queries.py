@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -136,3 +138,13 @@ def test_entry_points(spark):
 def test_scans_read_only_what_they_need(spark):
     plan = catalog.QUERIES["silhouette"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "conv_id" in plan and "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string>" in plan
+
+
+@pytest.mark.parametrize("name", ("catalog", "catalog_tables", "catalog_learnt", "catalog_sql", "catalog_stats"))
+def test_modules_of_the_catalogue_can_come_first(name):
+    """A Python worker imports the module of the function that it runs, before any other."""
+    subprocess.run([sys.executable, "-c", f"import shiftloom.plans.{name} as m; from shiftloom.plans import catalog as c; assert 'embedded_passages' in c.QUERIES"], check=True, timeout=100)
+
+
+def test_embedded_passages_equal_their_sql(spark, duck):
+    assert rows(catalog.QUERIES["embedded_passages"](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLE_SQL["embedded_passages"]).df())
