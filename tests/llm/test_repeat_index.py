@@ -126,3 +126,29 @@ def test_repeats_across_the_ends_of_stretches(spark, hot_rows):
     masks = covered([*texts, texts[1]], LENGTH)
     want = Counter((i, int(m.sum())) for i, m in zip([*range(len(texts)), 1], masks, strict=True))
     assert Counter((r.doc_id, r.n_removed) for r in digests(with_spans(df, LENGTH, hot_rows, 500)).collect()) == want
+
+
+@pytest.mark.parametrize("hot_rows", [20_000, 2])
+def test_joins_leave_the_texts_where_they_are(docs, hot_rows):
+    """Every exchange in the plans of the results moves keys, spans or cut strings; the texts are read in their buckets."""
+    for result in (without_repeats(docs, LENGTH, hot_rows), with_spans(docs, LENGTH, hot_rows)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.split("\n") if "FileScan" in x and "dealt_texts" in x]
+        assert len(scans) > 1 and all("Bucketed: true" in x for x in scans)
+        assert not [x for x in plan.split("\n") if "Exchange" in x and "doc_id" in x and "text" in x.replace("text_hash", "")]
+
+
+def test_stretches_of_known_pieces_are_put_together():
+    """Rows for the pieces that stand and one for what a text's known ones cover, not one for every piece."""
+    text, start, size = ri.joint(np.array([1, 0, 0, 0, 1]), np.array([5, 40, 0, 10, 7]), np.array([9, 50, 12, 20, 8]))
+    assert np.column_stack([text, start, size]).tolist() == [[0, 0, 20], [0, 40, 10], [1, 5, 4]]
+    assert [len(x) for x in ri.joint(*np.zeros((3, 0), np.int64))] == [0, 0, 0]
+
+
+def test_copies_of_a_piece_make_few_rows(spark):
+    passage = "".join(chr(97 + k * k % 23) for k in range(700))
+    runs = "array(struct(7L AS parent, 0 AS first, 0 AS start, 600 AS n))"
+    rows = spark.createDataFrame([(k, k, passage) for k in range(50)], "doc_id long, text_hash long, text string").coalesce(1)
+    got = ri.pieces(rows.selectExpr("*", f"{runs} AS runs"), LENGTH, 32).collect()
+    assert len(got) == 50 + 19 and sum(r.stands for r in got) == 19
+    assert {(r.start, r.n) for r in got if not r.stands} == {(0, 600)}
