@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import ragged
 
@@ -20,6 +20,8 @@ from .common import ragged
 CACHE_ENTRIES, CACHED_BYTES = 300_000, 64
 #: A run without white space beyond so many bytes is encoded as a tree.
 LONG_CHUNK = 4096
+#: ASCII white space; chunks that are encoded as one text, where tokens tell their bytes.
+SPACES, JOINED = frozenset(b" \t\n\v\f\r"), 64
 #: Characters of a leaf of that tree, and tokens on either side in the first window around a join.
 LEAF, WINDOW = 1024, 8
 
@@ -32,6 +34,18 @@ def library(path: str) -> Tokenizer:
     return t
 
 
+def token_sizes(lib: Tokenizer) -> np.ndarray | None:
+    """Bytes of each token where tokens are of a text's own bytes: byte-level, and nothing normalized or put before."""
+    if lib.normalizer is not None or not isinstance(lib.pre_tokenizer, pre_tokenizers.ByteLevel) or lib.pre_tokenizer.add_prefix_space:
+        return None
+    vocab, added = lib.get_vocab(with_added_tokens=True), lib.get_added_tokens_decoder()
+    out = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+    out[list(vocab.values())] = [len(t) for t in vocab]  # a character for each byte
+    for k, t in added.items():
+        out[k] = len(t.content.encode())
+    return out
+
+
 #: Punctuation that parts from a letter before it. The apostrophe isn't among them, nor what special tokens hold.
 STOPS = np.zeros(256, bool)
 STOPS[list(b".,;:!?")] = True
@@ -68,6 +82,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, tree: bool = False, folded: bool = False) -> None:
         self.lib, self.tree, self.folded = library(path), tree, folded
+        self.sizes = token_sizes(self.lib)
         self.cache: dict[bytes, bytes] = {}
         self.former: dict[bytes, bytes] = {}
 
@@ -105,6 +120,9 @@ class ChunkEncoder:
         for c in long:
             fresh[c] = np.asarray(encode_long(self.lib, c.decode("utf-8", "replace")), np.uint32).tobytes()
         plain = [c for c in new if c not in fresh] if long else new
+        if self.sizes is not None:
+            some = [len(c) <= CACHED_BYTES and c[0] in SPACES and not c.decode("utf-8", "replace")[-1].isspace() and c[-1] > 32 for c in plain]
+            plain = [c for c, x in zip(plain, some, strict=True) if not x] + self._joined([c for c, x in zip(plain, some, strict=True) if x])
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
             for c, e in zip(part, self.lib.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
@@ -113,6 +131,27 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+    def _joined(self, chunks: list[bytes]) -> list[bytes]:
+        """Encode chunks that begin with ASCII white space and end with none, many in a row as one text, into the cache; those
+        that are left are given back, as none are unless a token spans two."""
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        left = []
+        for i in range(0, len(groups), 64):
+            part = groups[i : i + 64]
+            for group, e in zip(part, self.lib.encode_batch_fast([b"".join(g).decode("utf-8", "replace") for g in part], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, np.uint32)
+                ends = np.cumsum(self.sizes[ids])
+                want = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+                at = np.searchsorted(ends, want)
+                if not len(ids) or ends[-1] != want[-1] or (ends[at] != want).any():
+                    left += group
+                    continue
+                raw, to = ids.tobytes(), (4 * (at + 1)).tolist()
+                for c, x, y in zip(group, [0, *to[:-1]], to, strict=True):
+                    self.cache[c] = raw[x:y]
+        return left
+
+
 @functools.lru_cache(4)
 def encoder(path: str, tree: bool = False, folded: bool = False) -> ChunkEncoder:
     """A worker's encoder: it keeps its chunks from task to task."""

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shiftloom.llm.bpe_codec import TreeEncoder, default_path, encode_documents
-from shiftloom.llm.chunk_encoder import ChunkEncoder, encode_long
+from shiftloom.llm.chunk_encoder import ChunkEncoder, encode_long, library
 
 ALPHABETS = ["ab", "abcdefghijklmnopqrstuvwxyz", "aé日", "!.-_=", "\n\t ", "a1 ", "the'sre  　 x", "aZ.,é!?'s×", "<|endoftext|> .A", "<|ENDOFTEXT|> .A"]
 
@@ -67,3 +67,22 @@ def test_codes_every_row(spark, docs, no_docs):
     digest = {r.doc_id: r for r in encode_documents(docs, default_path("byte_bpe_50k.json"), digest=True).collect()}
     assert digest[0].decoded_sha256 == hashlib.sha256(docs.where("doc_id = 0").first().text.encode()).hexdigest()
     assert encode_documents(no_docs, default_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_new_words_go_through_the_library_many_at_a_time():
+    """Ids are the library's, and so are those of words that are met again, alone."""
+    path = default_path("byte_bpe_50k.json")
+    coder, given = ChunkEncoder(path), []
+
+    class Recorded:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library(path).encode_batch_fast(texts, **options)
+
+    coder.lib = Recorded()
+    texts = [" ".join(f"ré{k}x<|endoftext|>don't  \n{k * k}　y" for k in range(1000)), "", "".join(f" w{k}" for k in range(3000, 0, -1))]
+    for part in (texts, texts[::-1], [f" w{k}" for k in range(50)]):
+        raw = [t.encode() for t in part]
+        ids, bounds = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in library(path).encode_batch_fast(part, add_special_tokens=False)]
+    assert sum(" w7 " in f"{t} " for t in given) == 1 and len([t for t in given if " w" in t]) < 100
