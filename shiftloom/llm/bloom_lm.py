@@ -7,9 +7,9 @@ level q into its Bloom filter q times, as (n-gram, 1) .. (n-gram, q). The filter
 word in which ``PROBE_BITS`` bits must be set. With a vocabulary of V words a slice takes so many probes that fewer
 than ``FALSE_MASS`` times ``MU`` of V pairs that aren't there are hit; that is 10 bits a probe for each entry.
 
-Scoring: texts are gathered to chunks, and each chunk's distinct n-grams are written once, in the order of their slices. The
-filter goes to all workers by broadcast, in segments of at most ``BROADCAST_BYTES`` and each in parts, so that the driver
-never holds one whole; a segment answers its own n-grams alone and is then let go of. The levels come back to their chunks in
+Scoring: texts are gathered to chunks, and each chunk's distinct n-grams are dealt by segments of the filter (neighbouring
+slices, about ``PART_BYTES``). A segment meets what it is asked for in one task, which holds no other segment by then, so
+that neither the driver nor a worker ever has the filter. The levels come back to their chunks in
 one join. So a text is read three times and an n-gram once, however many segments there are. A level is found by
 membership probes of (n-gram, 1), (n-gram, 2), (n-gram, 4) .. until one is missing, and then of those between. Then
 
@@ -42,10 +42,10 @@ from .common import batch_of, buffers, drop_shared, give_back, in_chunks, in_sma
 from .words import NOT_SPACE, mixed, words_of
 
 PRESUM_TOKENS, SLICE_BYTES = 1_000_000, 8 << 20
-PROBE_BITS, WORD_BITS, BROADCAST_BYTES, DICTIONARY, MU = 5, 10, 48 << 20, 1 << 20, 500.0
+PROBE_BITS, WORD_BITS, DICTIONARY, MU = 5, 10, 1 << 20, 500.0
 #: Share of the filter's words that hold all bits of a probe by chance, about; what false hits may come to, in ``MU``.
 FALSE, FALSE_MASS = 0.015, 0.025
-#: Bytes of a part of the filter that the driver holds at once.
+#: Bytes of a segment of the filter, which a task holds at once.
 PART_BYTES = 4 << 20
 
 
@@ -271,13 +271,6 @@ def levels_in(parts: list[Filter], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def part_of_filter(blocks: DataFrame, slices: int, sizes: list[tuple[int, int, int]]) -> Filter:
-    out = Filter(slices, sizes)
-    for number, data in blocks.where(F.col("slice").between(sizes[0][0], sizes[-1][0])).select("slice", "filter").collect():
-        out.put(number, data)
-    return out
-
-
 def packed(counts: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, counts, sums t) of a table (key, c, t) of ``many`` rows, sorted by key; it comes as a few binary rows, one
     at a time."""
@@ -334,7 +327,8 @@ def train(training: DataFrame, mu: float = MU, dictionary: int = DICTIONARY) ->
         blocks = write_shared(count_ngrams(training, parts, slices, mu), "ngrams")
     counts = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.counts").alias("c"))
     surplus = blocks.select(F.explode(F.arrays_zip("histories", "surplus")).alias("w")).select(F.col("w.histories").alias("key"), F.col("w.surplus").alias("s")).groupBy("key").agg(F.sum("s").alias("s"))
-    words = write_shared(counts.join(surplus, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), (F.coalesce("c", F.lit(0)) + F.coalesce("s", F.lit(0.0))).alias("t")), "words")
+    with in_small_steps(training.sparkSession):
+        words = write_shared(counts.join(surplus, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), (F.coalesce("c", F.lit(0)) + F.coalesce("s", F.lit(0.0))).alias("t")), "words")
     ends = {r["key"]: r for r in words.where(F.col("key").isin(int(START.view(np.int64)), int(END.view(np.int64)))).collect()}
     texts = ends.get(int(END.view(np.int64)))
     start = (texts["c"] if texts else 0) + (ends[int(START.view(np.int64))]["t"] if int(START.view(np.int64)) in ends else 0.0)
@@ -428,7 +422,7 @@ class Chunk:
         )
 
 
-def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int = PART_BYTES, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; ``held_out`` is a
     boolean column, true for the rows that aren't learnt from."""
     sc = docs.sparkSession.sparkContext
@@ -470,12 +464,34 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
             del chunk, segment
         give_back()
 
-    def look_up(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
-        give_back()
-        parts = [x.value for x in shared]
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks_, held = None, [], None  # a segment's slices come before what it is asked for
         for batch in batches:
-            for number, segment, keys in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                yield batch_of(ANSWERED, [number.as_py()], [segment.as_py()], [levels_in(parts, np.frombuffer(keys.as_buffer(), np.uint64)).tobytes()])
+            chunk, segment, number, probes = (batch.column(k).to_pylist() for k in range(4))
+            begin, answers = 0, []
+            while begin < len(batch):
+                if segment[begin] != now:
+                    now, blocks_, held = segment[begin], [], None
+                if chunk[begin] is None:
+                    blocks_.append((number[begin], probes[begin], batch.column(4)[begin].as_buffer().to_pybytes()))
+                    begin += 1
+                    continue
+                end = begin
+                while end < len(batch) and segment[end] == now:
+                    end += 1
+                if held is None:
+                    held = Filter(slices, sorted((k, p, len(x)) for k, p, x in blocks_))
+                    for k, _, x in blocks_:
+                        held.put(k, x)
+                    blocks_ = []
+                keys = [np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64) for k in range(begin, end)]
+                levels, ends = levels_in([held], np.concatenate(keys)), np.cumsum([len(x) for x in keys])
+                answers += [levels[b - len(x) : b].tobytes() for x, b in zip(keys, ends.tolist(), strict=True)]
+                begin = end
+            asked = [k for k, x in enumerate(chunk) if x is not None]
+            if asked:
+                yield batch_of(ANSWERED, [chunk[k] for k in asked], [segment[k] for k in asked], answers)
+        give_back()
 
     def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, number, ids, out, found in chunks_of(batches):
@@ -486,17 +502,13 @@ def score_texts(docs: DataFrame, held_out, mu: float = MU, broadcast_bytes: int
 
     with in_small_steps(docs.sparkSession):
         chunks = write_shared(rows.mapInArrow(gather, CHUNKS_DDL), "chunks")
-        asked = write_shared(chunks.mapInArrow(ask, ASKED_DDL), "asked", "segment") if todo else None
         answers = docs.sparkSession.createDataFrame([], ANSWERED_DDL)
-        for i, part in enumerate(todo):
-            shared = [sc.broadcast(part_of_filter(blocks, slices, few)) for few in segments(part, PART_BYTES)]
-            own = asked.where(F.col("segment") == i).select("chunk", "segment", "keys")
-            answer = write_shared(own.mapInArrow(lambda batches, shared=shared: look_up(batches, shared), ANSWERED_DDL), "answers")
-            answers = answer if not i else answers.unionByName(answer)
-            for x in shared:  # and are gone before the next ones come
-                x.destroy(blocking=True)
         if todo:
-            drop_shared(asked)
+            of = docs.sparkSession.createDataFrame([(each[0], k) for k, part in enumerate(todo) for each in part], "slice int, segment int")
+            filters = blocks.join(F.broadcast(of), "slice").select(F.lit(None).cast("long").alias("chunk"), "segment", "slice", "probes", F.col("filter").alias("data"))
+            asked = chunks.mapInArrow(ask, ASKED_DDL).select("chunk", "segment", F.lit(0).alias("slice"), F.lit(0).alias("probes"), F.col("keys").alias("data"))
+            met = filters.unionByName(asked).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "segment")
+            answers = write_shared(met.sortWithinPartitions("segment", F.asc_nulls_first("chunk")).mapInArrow(look_up, ANSWERED_DDL), "answers")
         found = answers.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "levels"))), lambda x: x["levels"]).alias("found"))
         rows = write_shared(chunks.join(found, "chunk", "left").select("chunk", "doc_ids", "held", "texts", "found").mapInArrow(score_chunks, SCORED_DDL), "scored")
         drop_shared(chunks)

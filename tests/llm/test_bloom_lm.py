@@ -119,3 +119,12 @@ def test_segments_hold_every_slice():
     numbers = lambda sizes: [[x[0] for x in part] for part in lm.segments([(k, 3, n) for k, n in sizes], 10)]
     assert numbers([(2, 5), (0, 5), (1, 9), (3, 20)]) == [[0], [1], [2], [3]]
     assert numbers([(0, 5), (1, 5), (2, 1)]) == [[0, 1], [2]] and lm.segments([], 10) == []
+
+
+def test_the_filter_stays_off_the_driver(docs, monkeypatch):
+    """What is broadcast is the dictionary alone; segments of the filter meet their n-grams in tasks."""
+    sc, sent = docs.sparkSession.sparkContext, []
+    real = sc.broadcast
+    monkeypatch.setattr(sc, "broadcast", lambda value: sent.append(value) or real(value))
+    assert lm.score_texts(docs, lm.fold(1), broadcast_bytes=0).count() == docs.count()
+    assert [type(x) for x in sent] == [tuple]
