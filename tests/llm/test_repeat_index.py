@@ -79,6 +79,17 @@ def test_a_passage_in_very_many_places(spark, hot_rows):
     assert {r.doc_id: r.n_removed for r in digests(with_spans(df, LENGTH, hot_rows)).collect()} == want
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    """The query's limit is in bytes: 57 words that take 399 of them stay in every text, with one byte more they go."""
+    draw = np.random.default_rng(11)
+    some = lambda: " ".join(draw.integers(97, 123, 6).astype(np.uint8).tobytes().decode() for _ in range(57))
+    stays, goes = some() + "x", some() + "xy"
+    texts = [f"{k} before {k}{x}{k} after" for k, x in enumerate([stays[:399], stays[:399], goes[:400], goes[:400]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.text) for r in digests(with_spans(df)).collect())
+    assert got == [(k, len(t), 0, t) if k < 2 else (k, len(t), 400, f"{k} before {k}{k} after") for k, t in enumerate(texts)]
+
+
 def test_texts_keep_whole_characters_and_other_columns(docs):
     want = Counter()
     for t, m, _ in expected(LENGTH):
