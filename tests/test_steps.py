@@ -33,3 +33,7 @@ def same(spark, folder, name):
 
 def test_onset_curve_at_the_ends_of_steps(spark, events):
     same(spark, events, "onset_curve")
+
+
+def test_step_category_at_the_ends_of_steps(spark, events):
+    same(spark, events, "step_category")
