@@ -37,3 +37,7 @@ def test_onset_curve_at_the_ends_of_steps(spark, events):
 
 def test_step_category_at_the_ends_of_steps(spark, events):
     same(spark, events, "step_category")
+
+
+def test_step_metrics_at_the_ends_of_steps(spark, events):
+    same(spark, events, "step_metrics")
