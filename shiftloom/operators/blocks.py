@@ -1,9 +1,11 @@
 """Work on pairs of vectors, dealt by pairs of blocks: a task multiplies two matrices of at most ``BLOCK`` rows or so,
-whatever the size of a group, and gives out sums or best partners, never pairs."""
+whatever the size of a group, and gives out sums or best partners, never pairs. Where all pairs of a group are needed
+(``against_all``), a block is one row and tasks read parts of the table of blocks, so what is moved doesn't grow with the
+number of pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +43,116 @@ def over_blocks(pairs: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.
     return pairs.groupBy(*keys, "bi", "bj").applyInArrow(run, schema)
 
 
-def distance_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+#: Bytes of vectors that a task meets as its right side, and cells of a product that are worked on at a time.
+HELD, CELLS = 1 << 26, 1 << 19
+
+
+def packed(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFrame:
+    """(keys, block, data): the rows of a group in blocks of about ``block`` by hash, each block as one row of bytes."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    placed = (rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))).withColumn("block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int")).drop("_blocks")
+    names = [c for c in rows.columns if c not in keys]
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "block int, data binary"])
+
+    def run(table: pa.Table) -> pa.Table:
+        inner, sink = table.select(names).combine_chunks(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, inner.schema) as out:
+            out.write_table(inner)
+        return pa.table({c: table.column(c).slice(0, 1) for c in [*keys, "block"]} | {"data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return placed.groupBy(*keys, "block").applyInArrow(run, schema)
+
+
+def opened(data: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
+
+
+def parts_of(rows: DataFrame, block: int, held: int) -> tuple[int, int]:
+    """How many parts the left and the right side of all pairs of ``rows`` (.., vec) have: right ones of ``held`` bytes, and as many left
+    ones as give each task some pairs."""
+    many, dims = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    right = max(1, -(-many * max(1, dims) * 8 // held))
+    return max(1, min(-(-many // block), -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // right))), right
+
+
+def against_all(rows: DataFrame, keys: list[str], item: str, start: Callable[[pa.Table], object], schema: str, parts: tuple[int, int], block: int) -> DataFrame:
+    """What each block of ``rows`` makes of all blocks of its group: ``start(left)`` meets them by ``add(right)`` and gives ``result()``,
+    a table of ``schema``, once for each right part. Blocks are moved once to either side; a task then reads one part of either
+    (a product of partitions), so nothing is copied by the number of blocks."""
+    blocks = packed(rows, keys, item, block)
+    left = blocks.withColumnRenamed("data", "left").repartition(parts[0])
+    right = blocks.select(*keys, F.col("data").alias("right")).repartition(parts[1]).hint("shuffle_replicate_nl")
+    pairs = (left.join(right, keys) if keys else left.crossJoin(right)).select(*keys, "block", "left", "right")
+    many = len(keys) + 1
+    fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            out = state.result()
+            held = [pa.repeat(k, len(out)) for k in now[:-1]]
+            yield from pa.table([*held, *out.columns], names=[*keys, *out.column_names]).to_batches(1 << 14)
+
+        for batch in batches:
+            for k in range(len(batch)):
+                own = [batch.column(c)[k] for c in range(many)]
+                if now is None or own != now:
+                    if now is not None:
+                        yield from result()
+                    now, state = own, start(opened(batch.column(many)[k]))
+                state.add(opened(batch.column(many + 1)[k]))
+        if now is not None:
+            yield from result()
+
+    return pairs.mapInArrow(run, ", ".join([*fields, schema]))
+
+
+def of_same(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of equal items, those of the first, second, .. equal one on the right."""
+    order = np.argsort(right, kind="stable")
+    first, last = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    for k in range(int((last - first).max(initial=0))):
+        rows = np.flatnonzero(last - first > k)
+        yield rows, order[first[rows] + k]
+
+
+class Distances:
+    """Sums of the Euclidean distances of a block's vectors to each model's."""
+
+    def __init__(self, left: pa.Table) -> None:
+        self.left, a = left, matrix(left)
+        self.a = np.hstack([-2 * a, (a * a).sum(1)[:, None], np.ones((len(a), 1))])
+        self.i = left.column("vec_row").to_numpy()
+        self.sums: dict[str, tuple[int, np.ndarray]] = {}
+
+    def add(self, right: pa.Table) -> None:
+        b, n, sizes = matrix(right), right.column("n").to_numpy(), right.column("size").to_numpy()
+        squares = np.hstack([b, np.ones((len(b), 1)), (b * b).sum(1)[:, None]]).T
+        models = right.column("model").combine_chunks().dictionary_encode()
+        code, names = models.indices.to_numpy(), models.dictionary.to_pylist()
+        share = np.where(code[:, None] == np.arange(len(names))[None, :], n[:, None], 0).astype(np.float64)
+        totals, step = np.zeros((len(self.a), len(names))), max(1, CELLS // len(b))
+        same = np.hstack([np.zeros((2, 0), np.int64), *(np.vstack(x) for x in of_same(self.i, right.column("vec_row").to_numpy()))])
+        for at in range(0, len(self.a), step):
+            d = self.a[at : at + step] @ squares
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            here = same[:, (same[0] >= at) & (same[0] < at + step)]
+            d[here[0] - at, here[1]] = 0.0
+            totals[at : at + step] = d @ share
+        for k, o in enumerate(names):
+            self.sums[o] = (sizes[code == k][0], totals[:, k] + (self.sums[o][1] if o in self.sums else 0.0))
+
+    def result(self) -> pa.Table:
+        many, left = len(self.left), [self.left.column(c) for c in ("model", "vec_row", "n")]
+        return pa.concat_tables([pa.table([*left, pa.repeat(o, many), pa.repeat(pa.scalar(int(so), pa.int64()), many), pa.array(t)], names=["m", "i", "ni", "o", "so", "t"]) for o, (so, t) in sorted(self.sums.items())])
+
+
+def distance_sums(rows: DataFrame, keys: list[str], block: int = BLOCK, held: int = HELD) -> DataFrame:
     """(keys, m, i, ni, o, so, t): for each distinct vector i of model m the sum of its Euclidean distances to model o's
     vectors. ``rows``: keys, model, vec_row, n (how many have the vector), size (of the model), vec."""
-    pairs = block_pairs(rows.select(*keys, "model", "vec_row", "n", "size", "vec"), keys, "vec_row")
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", m string, i long, ni long, o string, so long, t double"
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = matrix(left), matrix(right)
-        i, j = left.column("vec_row").to_numpy(), right.column("vec_row").to_numpy()
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        d = np.sqrt(np.maximum(square, 0.0))
-        d[i[:, None] == j[None, :]] = 0.0
-        n, models, sizes = right.column("n").to_numpy(), np.array(right.column("model").to_pylist(), object), right.column("size").to_numpy()
-        out = []
-        for o in sorted(set(models.tolist())):
-            of = models == o
-            part = {k: left.column(k) for k in keys} | {"m": left.column("model"), "i": left.column("vec_row"), "ni": left.column("n")}
-            many = len(left)
-            out.append(pa.table(part | {"o": pa.array([o] * many, pa.string()), "so": pa.array(np.full(many, sizes[of][0])), "t": pa.array(d[:, of] @ n[of])}))
-        return pa.concat_tables(out) if out else pa.table({**{k: left.column(k) for k in keys}, "m": left.column("model"), "i": left.column("vec_row"), "ni": left.column("n"), "o": left.column("model"), "so": left.column("n"), "t": pa.array(np.zeros(len(left)))}).slice(0, 0)
-
-    sums = over_blocks(pairs, keys, work, schema)
+    given = rows.select(*keys, "model", "vec_row", "n", "size", "vec")
+    sums = against_all(given, keys, "vec_row", Distances, "m string, i long, ni long, o string, so long, t double", parts_of(given, block, held), block)
     return sums.groupBy(*keys, "m", "i", "ni", "o", "so").agg(F.sum("t").alias("t"))
 
 

@@ -46,9 +46,10 @@ def centroid_distance(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def spread(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Variance (of the population) of the distances to the group's centroid, for groups with more than one passage."""
-    c = centroids(counted, keys)
-    each = counted.select(*keys, "vec_row", "n", F.posexplode("vec").alias("dim", "x")).join(c, [*keys, "dim"])
-    d = each.groupBy(*keys, "vec_row", "n").agg(F.sqrt(F.sum((F.col("x").cast("double") - F.col("c")) * (F.col("x").cast("double") - F.col("c")))).alias("d"))
+    centre = centroids(counted, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("c"))
+    square = lambda x, c: F.coalesce((x.cast("double") - c) * (x.cast("double") - c), F.lit(0.0))
+    far = F.sqrt(F.aggregate(F.zip_with("vec", "c", square), F.lit(0.0), lambda s, x: s + x))
+    d = counted.where(F.size("vec") > 0).join(centre, keys).select(*keys, "vec_row", "n", far.alias("d"))
     n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("d")), F.sum(F.col("n") * F.col("d") * F.col("d"))
     return d.groupBy(*keys).agg(n.alias("n"), (q / n - (s / n) * (s / n)).alias("variance")).where("n > 1")
 
