@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shiftloom.operators import blocks, generations
+from shiftloom.plans import catalog
 
 
 def moved(spark, job):
@@ -59,3 +61,11 @@ def test_sums_are_the_same_for_blocks_and_parts_of_any_size(spark, block, held):
     got = {(r.g, r.m, r.i, r.o): (r.ni, r.so, r.t) for r in blocks.distance_sums(df, ["g"], block, held).collect()}
     want = {(g, m, v, o): (n, 9, sum(n2 * np.linalg.norm(x[v] - x[w]) for g2, o2, w, n2, _, _ in rows if (g2, o2) == (g, o))) for g, m, v, n, _, _ in rows for o in ("p", "q")}
     assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and math.isclose(got[k][2], want[k][2], abs_tol=1e-6) for k in want)
+
+
+def test_profile_moves_each_vector_a_few_times(spark, passages):
+    _, counted = passages
+    gens = counted.select("label", "model", "vec_row", F.concat(F.lit("w"), F.col("vec_row") % 50, F.lit(" said")).alias("psg"))
+    got, size = moved(spark, lambda: catalog.profile(gens, counted).collect())
+    assert got[0].entropy_base > 3 and math.isclose(got[0].silhouette, round(plain_silhouette(passages[0]), 6), abs_tol=1e-6)
+    assert size < 16 * MANY, size
