@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sums import DDL, blocks_of, merged, placed
+
 BLOCK = 1024
 
 
@@ -173,32 +175,92 @@ def nearest(vectors: DataFrame, item: str, k: int, places: int = 9) -> DataFrame
     return over_blocks(pairs, [], work, f"anchor {kind}, {item} {kind}, sim double")
 
 
-def best_across(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """(perm, a, m): for every permutation, each item of its group 0 with its best product in group 1. ``items``: id, vec;
-    ``groups``: id, grps (the item's group in each permutation)."""
-    pairs = block_pairs(items.select("id", "vec").join(groups, "id"), [], "id", BLOCK // 2)
+def bits(table: pa.Table, many: int) -> np.ndarray:
+    """``second`` (bytes) of each row as so many truth values."""
+    return np.unpackbits(np.frombuffer(b"".join(table.column("second").to_pylist()), np.uint8).reshape(len(table), -1), axis=1, count=many).astype(bool)
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        sim = matrix(left) @ matrix(right).T
-        own, other = left.column("id").to_numpy(), right.column("id").to_numpy()
-        sim[own[:, None] == other[None, :]] = -np.inf
-        first, second = (matrix(t, "grps").astype(np.int8) for t in (left, right))
-        order = np.argsort(-sim, axis=1, kind="stable")
-        row, perm = np.nonzero(first == 0)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # Best partners first; about half of what is left meets its group in each round.
-        for place in range(sim.shape[1]):
-            if not len(row):
-                break
-            at = order[row, place]
-            hit = (second[at, perm] == 1) & (sim[row, at] > -np.inf)
-            found.append((perm[hit], own[row[hit]], sim[row[hit], at[hit]]))
-            row, perm = row[~hit], perm[~hit]
-        perm, a, m = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), own[:0], np.zeros(0))
-        return pa.table({"perm": pa.array(perm, pa.int32()), "a": pa.array(a, pa.int64()), "m": pa.array(m, pa.float64())})
-
-    best = over_blocks(pairs, [], work, "perm int, a long, m double")
-    return best.groupBy("perm", "a").agg(F.max("m").alias("m"))
+
+class BestPartners:
+    """For each of a block's items and each permutation that has it in group 0, its best product in group 1. Only a product above
+    the least of an item's bests so far can better one, so few are looked at after the first block. Permutation 0, whose
+    groups may follow the vectors, has a maximum of its own."""
+
+    def __init__(self, left: pa.Table, many: int) -> None:
+        self.many, self.a, self.id = many, matrix(left), left.column("id").to_numpy()
+        self.first = ~bits(left, many)
+        self.best = np.full((len(self.a), many), -np.inf)
+
+    def floor(self, rows: np.ndarray) -> np.ndarray:
+        return np.where(self.first[rows, 1:], self.best[rows, 1:], np.inf).min(1, initial=np.inf)
+
+    def add(self, right: pa.Table) -> None:
+        b, second = matrix(right), bits(right, self.many)
+        same = np.hstack([np.zeros((2, 0), np.int64), *(np.vstack(x) for x in of_same(self.id, right.column("id").to_numpy()))])
+        step = max(1, CELLS // len(b))
+        for at in range(0, len(self.a), step):
+            sim = self.a[at : at + step] @ b.T
+            here = same[:, (same[0] >= at) & (same[0] < at + step)]
+            sim[here[0] - at, here[1]] = -np.inf
+            rows = np.arange(at, at + len(sim))
+            own = np.where(self.first[rows, 0], sim[:, second[:, 0]].max(1, initial=-np.inf), -np.inf)
+            self.best[rows, 0] = np.maximum(self.best[rows, 0], own)
+            self.better(rows, sim, second)
+
+    def better(self, rows: np.ndarray, sim: np.ndarray, second: np.ndarray) -> None:
+        floor = self.floor(rows)
+        row, column = np.nonzero(sim > floor[:, None])
+        value = sim[row, column]
+        order = np.lexsort((-value, row))
+        column, value = column[order], value[order]
+        count = np.bincount(row, minlength=len(rows))
+        start, live = np.cumsum(count) - count, np.flatnonzero(count)
+        place = 0
+        while True:
+            live = live[place < count[live]]
+            live = live[value[start[live] + place] > floor[live]]
+            if not len(live):
+                return
+            at = start[live] + place
+            own, v = rows[live], value[at][:, None]
+            now = self.best[own, 1:]
+            now = np.where(self.first[own, 1:] & second[column[at], 1:] & (now < v), v, now)
+            self.best[own, 1:] = now
+            floor[live] = self.floor(own)
+            place += 1
+
+    def result(self) -> pa.Table:
+        return pa.table({"a": pa.array(self.id, pa.int64()), "m": pa.array([x.tobytes() for x in self.best], pa.binary())})
+
+
+def best_across(items: DataFrame, many: int, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(perm, value): for each of ``many`` permutations, the mean over its group 0 of each item's best product in group 1. ``items``:
+    id (long), vec, second (bits: whether the item is in group 1 of each permutation)."""
+    spark = items.sparkSession
+    parts = parts_of(items, block, held)
+    best = against_all(items, [], "id", lambda left: BestPartners(left, many), "a long, m binary", parts, block)
+    if parts[1] > 1:
+        best = best.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now, held_ = np.zeros((many, 2)), None, None  # an item's parts come one after the other
+
+        def close() -> None:
+            has = held_ > -np.inf
+            total[has] += np.stack([held_[has], np.ones(has.sum())], 1)
+
+        for batch in batches:
+            for a, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(m.as_buffer(), np.float64)
+                if now is not None and a != now:
+                    close()
+                held_ = x if a != now else np.maximum(held_, x)
+                now = a
+        if now is not None:
+            close()
+        yield from blocks_of(total)
+
+    total = placed(merged(best.mapInArrow(run, DDL)), (many, 2))
+    return spark.createDataFrame([(p, float(s / n)) for p, (s, n) in enumerate(total) if n], "perm int, value double")
 
 
 #: Dimensions whose signs deal rows to blocks that lie near each other.

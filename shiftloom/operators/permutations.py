@@ -146,10 +146,9 @@ def best_test(items: DataFrame, permutations: int, a, b) -> DataFrame:
             for at in range(0, len(batch), step):
                 piece = batch.slice(at, step)
                 groups, index = np.array(piece.column(1).to_pylist(), object), piece.column(2).to_numpy(zero_copy_only=False)
-                second = (~membership(index, groups == b, n0, n, perms)).astype(np.int8)
-                ends = pa.array(np.arange(len(piece) + 1) * len(perms), pa.int32())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(ends, pa.array(second.ravel()))], names=["id", "grps"])
+                second = np.packbits(~membership(index, groups == b, n0, n, perms), axis=1)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(3), pa.array([x.tobytes() for x in second], pa.binary())], names=["id", "vec", "second"])
 
-    masks = rows.select(F.col("id").cast("long").alias("id"), "grp", "index").mapInArrow(run, "id long, grps array<tinyint>")
-    best = best_across(rows.select(F.col("id").cast("long").alias("id"), "vec"), masks)
-    return p_value(best.groupBy("perm").agg(F.avg("m").alias("value")), "value")
+    kind = rows.schema["vec"].dataType.simpleString()
+    drawn = rows.select(F.col("id").cast("long").alias("id"), "grp", "index", "vec").mapInArrow(run, f"id long, vec {kind}, second binary")
+    return p_value(best_across(drawn, len(perms)), "value")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
+from ..sources.shared import write_shared
 from .blocks import best_across, nearest, similar_pairs
 
 
@@ -99,10 +106,74 @@ def permutation_mean(items: DataFrame, permutations: int) -> DataFrame:
     return p_value(means, "value")
 
 
+#: How far from its expected place the last hash of group 0 is looked for at first, in standard deviations.
+WIDTH = 8.0
+
+
+def md5_draws(tail: str, permutations: int) -> np.ndarray:
+    """(permutation, 2): MD5 of each permutation and an item, as two big-endian words."""
+    end = tail.encode()
+    digests = b"".join(hashlib.md5(b"%d" % p + end).digest() for p in range(1, permutations + 1))
+    return np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def last_draws(tails: DataFrame, permutations: int, n0: int, n: int) -> np.ndarray:
+    """The greatest MD5 (two words) of group 0 in each permutation, that of place ``n0`` of ``n``. Items are not sorted: one pass
+    counts the hashes below a range about the expected place and gives out those in it, which are few, and are sorted
+    by permutation. Where a range misses a place, all ranges are widened."""
+    width = WIDTH
+    while True:
+        share, half = n0 / n, width * math.sqrt(max(n0 * (n - n0), 1) / n) / n + 1 / n
+        low, high = (np.uint64(min(max(x, 0.0), 1.0 - 2.0**-53) * 2.0**64) for x in (share - half, share + half))
+        all_below, all_above = share - half <= 0, share + half >= 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            below = np.zeros(permutations, np.int64)
+            names = ["perm", "h", "below"]
+            for batch in batches:
+                perms, hashes = [], []
+                for tail in batch.column(0).to_pylist():
+                    drawn = md5_draws(tail, permutations)
+                    under = np.zeros(permutations, bool) if all_below else drawn[:, 0] < low  # noqa: B023
+                    below += under
+                    near = np.flatnonzero(~under & (all_above | (drawn[:, 0] <= high)))  # noqa: B023
+                    perms.append(near)
+                    hashes += [x.astype(">u8").tobytes() for x in drawn[near]]
+                at = np.concatenate(perms) if perms else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(hashes, pa.binary()), pa.nulls(len(at), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(permutations), pa.int32()), pa.nulls(permutations, pa.binary()), pa.array(below)], names=names)
+
+        found = write_shared(tails.mapInArrow(run, "perm int, h binary, below long"), "draws")
+        below = found.where("h IS NULL").groupBy("perm").agg(F.sum("below").alias("under"))
+        placed = found.where("h IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("perm").orderBy("h"))).join(below, "perm")
+        last = {r.perm: r.h for r in placed.where(F.col("_n") == F.lit(n0) - F.col("under")).select("perm", "h").collect()}  # one a permutation
+        if len(last) == permutations:
+            return np.array([np.frombuffer(last[p], ">u8").astype(np.uint64) for p in range(permutations)])
+        width *= 8
+
+
 def permutation_best(items: DataFrame, permutations: int) -> DataFrame:
-    """Mean over group 0 of the best match in group 1, against shuffled groups. Similarities are worked out once for all
-    permutations, by pairs of blocks."""
-    groups = shuffled_groups(items.select("id", "grp"), permutations)
-    masks = groups.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "grp"))), lambda x: x["grp"].cast("tinyint")).alias("grps"))
-    best = best_across(items.select(F.col("id").cast("long").alias("id"), "vec"), masks)
-    return p_value(best.groupBy("perm").agg(F.avg("m").alias("value")), "value")
+    """Mean over group 0 of the best match in group 1, against shuffled groups (as ``shuffled_groups`` draws them). ``items``: id, grp
+    (0 or 1), vec. Similarities are worked out once for all permutations, by pairs of blocks; an item's groups in all
+    permutations are drawn where it is, against the last draw of each group 0."""
+    n, n0 = items.agg(F.count(F.lit(1)), F.count(F.when(F.col("grp") == 0, 1))).first()
+    tail = F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit(""))
+    last = last_draws(items.select(tail.alias("tail")), permutations, n0, n) if n0 else None
+    given = items.sparkSession.sparkContext.broadcast(last)
+    kind = items.schema["vec"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = given.value
+        for batch in batches:
+            second = []
+            for tail, grp in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if last is None:
+                    drawn = np.ones(permutations, bool)
+                else:
+                    x = md5_draws(tail, permutations)
+                    drawn = (x[:, 0] > last[:, 0]) | ((x[:, 0] == last[:, 0]) & (x[:, 1] > last[:, 1]))
+                second.append(np.packbits(np.concatenate([[grp == 1], drawn])).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(second, pa.binary())], names=["id", "vec", "second"])
+
+    drawn = items.select(F.col("id").cast("long").alias("id"), "vec", tail.alias("tail"), "grp").mapInArrow(run, f"id long, vec {kind}, second binary")
+    return p_value(best_across(drawn, permutations + 1), "value")

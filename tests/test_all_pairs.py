@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shiftloom.operators import blocks, generations
+from shiftloom.operators import blocks, generations, permutations
 from shiftloom.plans import catalog
 
 
@@ -69,3 +69,21 @@ def test_profile_moves_each_vector_a_few_times(spark, passages):
     got, size = moved(spark, lambda: catalog.profile(gens, counted).collect())
     assert got[0].entropy_base > 3 and math.isclose(got[0].silhouette, round(plain_silhouette(passages[0]), 6), abs_tol=1e-6)
     assert size < 16 * MANY, size
+
+
+@pytest.fixture(scope="module")
+def two_groups(spark):
+    """Items whose true groups follow their vectors."""
+    rng = np.random.default_rng(6)
+    grp = rng.integers(0, 2, 3000)
+    x = rng.normal(size=(3000, DIMS)) + 3 * grp[:, None]
+    items = spark.createDataFrame([(k * 3, int(g), v.tolist()) for k, (g, v) in enumerate(zip(grp, x, strict=True))], "id long, grp int, vec array<double>").repartition(4).cache()
+    items.count()
+    return (x[grp == 0] @ x[grp == 1].T).max(1).mean(), items
+
+
+def test_keyed_best_matches_move_each_item_a_few_times(spark, two_groups):
+    observed, items = two_groups
+    got, size = moved(spark, lambda: permutations.best_test(items, 40, 0, 1).first())
+    assert math.isclose(got.observed, observed, abs_tol=1e-8)
+    assert size < 8 * 3000, size
