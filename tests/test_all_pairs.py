@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shiftloom.operators import blocks, generations, permutations
+from shiftloom.operators import blocks, generations, permutations, similarity
 from shiftloom.plans import catalog
 
 
@@ -87,3 +87,10 @@ def test_keyed_best_matches_move_each_item_a_few_times(spark, two_groups):
     got, size = moved(spark, lambda: permutations.best_test(items, 40, 0, 1).first())
     assert math.isclose(got.observed, observed, abs_tol=1e-8)
     assert size < 8 * 3000, size
+
+
+def test_md5_best_matches_move_each_item_a_few_times(spark, two_groups):
+    observed, items = two_groups
+    got, size = moved(spark, lambda: similarity.permutation_best(items, 40).first())
+    assert math.isclose(got.observed, observed, abs_tol=1e-8)
+    assert size < 8 * 3000, size
