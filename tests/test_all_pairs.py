@@ -1,5 +1,6 @@
 """Work on all pairs of a group moves its rows a few times, not once for every block of others."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -94,3 +95,21 @@ def test_md5_best_matches_move_each_item_a_few_times(spark, two_groups):
     got, size = moved(spark, lambda: similarity.permutation_best(items, 40).first())
     assert math.isclose(got.observed, observed, abs_tol=1e-8)
     assert size < 8 * 3000, size
+
+
+@pytest.mark.parametrize("width", [0.001, 8.0])
+def test_last_draws_are_those_of_a_sort(spark, monkeypatch, width):
+    monkeypatch.setattr(similarity, "WIDTH", width)
+    tails = [f":{k}" for k in range(500)] + [""]
+    df = spark.createDataFrame([(t,) for t in tails], "tail string").repartition(3)
+    for n0 in (1, 100, 501):
+        got = similarity.last_draws(df, 30, n0, len(tails))
+        want = [sorted(hashlib.md5(f"{p}{t}".encode()).hexdigest() for t in tails)[n0 - 1] for p in range(1, 31)]
+        assert [f"{a:016x}{b:016x}" for a, b in got.tolist()] == want
+
+
+def test_query_of_a_thousand_moves_each_item_a_few_times(spark, two_groups, tmp_path):
+    two_groups[1].selectExpr("id AS vec_id", "grp AS label", "vec AS embedding").where("id < 3000").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, size = moved(spark, lambda: catalog.QUERIES["perm_test_best_1000"](spark, str(tmp_path)).first())
+    assert 0 <= got.p_value <= 1
+    assert size < 500 * 1000, size
