@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftloom.operators import blocks, generations, permutations, similarity
-from shiftloom.plans import catalog
+from shiftloom.operators.encoder import Encoder
+from shiftloom.plans import catalog, catalog_learnt
 
 
 def moved(spark, job):
@@ -113,3 +114,15 @@ def test_query_of_a_thousand_moves_each_item_a_few_times(spark, two_groups, tmp_
     got, size = moved(spark, lambda: catalog.QUERIES["perm_test_best_1000"](spark, str(tmp_path)).first())
     assert 0 <= got.p_value <= 1
     assert size < 500 * 1000, size
+
+
+def test_profile_of_encoded_passages_moves_each_vector_a_few_times(spark):
+    rng = np.random.default_rng(8)
+    encoder = Encoder(np.ones(64), rng.normal(size=(64, DIMS)), np.ones(DIMS))
+    gens = spark.createDataFrame([(0, ("base", "sft")[k % 2], f"word{k} of text{k * 7 % 501}") for k in range(MANY)], "label long, model string, psg string").repartition(4)
+    gens, vectors = catalog_learnt.encoded(gens, encoder)
+    counted = generations.counted_vectors(gens, vectors, ["label", "model"]).cache()
+    many = counted.count()
+    got, size = moved(spark, lambda: catalog.profile(gens, counted).collect())
+    assert many > 0.9 * MANY and got[0].silhouette is not None
+    assert size < 16 * MANY, size
